@@ -105,3 +105,12 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken): taken counts a document's words in the mix."""
     m = mixed(docs, keep=["doc_id"], **kw)
     return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_repeats")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, **kw) -> DataFrame:
+    """The documents that the mix takes, each once, with the number of its repetitions as `repeats`.
+
+    Texts are not copied; a reader repeats a row as often as that.
+    """
+    m = mixed(docs, **kw).where("_repeats > 0")
+    return m.select(*[c for c in docs.columns if c != "repeats"], F.col("_repeats").cast("int").alias("repeats"))

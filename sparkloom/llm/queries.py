@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leak_report
+from .language import language_report, page_languages
 from .media_chunks import media_report
 from .mixing import mix_report
+from .near_duplicates import jaccard_report
+from .pii import find_pii
+from .secret_scan import scan
+from .substrings import substring_report
 from .token_counts import token_counts
 from .warc_archive import archive_report
 
@@ -19,25 +25,60 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(table(spark, sf_dir, "pages"))
 
 
+def page_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_media_chunks,
+        op2_secret_forest,
         op3_source_mixing,
+        op4_language_fusion,
+        op5_substring_dedup,
+        op6_pii_spans,
         op7_token_counts,
+        op8_benchmark_leaks,
+        op9_jaccard_join,
         op10_warc_archive,
+        page_language_fusion,
     )
 }
 
