@@ -102,14 +102,14 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
 
-def masked(text: Column) -> Column:
-    """text with each confirmed span replaced by its kind in angle brackets, kind after kind."""
-    for kind in ("card", "iban", "ssn", "ip", "phone", "email"):
-        put = F.lit(f"<{kind.upper()}>")
-        keep = lambda g, m, kind=kind: _valid(kind, m) & ((_score(kind, g) >= THRESHOLD) if kind in ADDED else F.lit(True))
-        parts = _zipped(text, kind, lambda g, m, keep=keep, put=put: F.concat(g, F.when(m.isNull(), "").when(keep(g, m), put).otherwise(m)))
-        text = F.when(text.rlike(HINTS[kind]), F.array_join(parts, "")).otherwise(text)
-    return text
+def masked(text: Column, kind: str) -> Column:
+    """text with each confirmed span of a kind replaced by the kind in angle brackets."""
+
+    def part(gap: Column, m: Column) -> Column:
+        kept = _valid(kind, m) & ((_score(kind, gap) >= THRESHOLD) if kind in ADDED else F.lit(True))
+        return F.concat(gap, F.when(m.isNull(), "").when(kept, F.lit(f"<{kind.upper()}>")).otherwise(m))
+
+    return F.when(text.rlike(HINTS[kind]), F.array_join(_zipped(text, kind, part), "")).otherwise(text)
 
 
 def _named(kind: str) -> Column:
@@ -141,7 +141,9 @@ def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
     A null text stays null. Other columns and the order of columns stay.
     """
-    out = docs.withColumn(text_col, masked(F.col(text_col)))
+    out = docs
+    for kind in ("card", "iban", "ssn", "ip", "phone", "email"):
+        out = out.withColumn(text_col, masked(F.col(text_col), kind))
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)
