@@ -188,10 +188,11 @@ def strong_components(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) ->
     e = staged(edges.where("source != target").select("source", "target").distinct(), "scc")
     found: DataFrame | None = None
     while True:
-        while True:  # trim
-            n = e.count()
+        n = e.count()
+        while n > one_task_edges:  # trim
             e = staged(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "scc")
-            if e.count() == n:
+            was, n = n, e.count()
+            if was == n:
                 break
         if not n:
             break
