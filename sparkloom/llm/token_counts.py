@@ -50,7 +50,8 @@ class Counter:
         plain = [len(self.sp.encode(x)) for x in ("  ", " ")] and self.sp.encode("a  b", out_type=str) != self.sp.encode("a b", out_type=str)
         same = self.sp.decode(self.sp.encode("ﬁ ①")) == "ﬁ ①" and self.sp.encode("a", out_type=str) == ["▁a"]
         self.split = plain and same and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.memo: dict[str, int] = {}
+        # a lone space, as at a text's end, is a segment without characters, which the library would skip
+        self.memo: dict[str, int] = {"": len(self.sp.encode("a ")) - len(self.sp.encode("a"))}
         self.segments = re.compile(" ( *[^ ]*)").findall
 
     def whole(self, texts: list[str]) -> list[int]:
@@ -67,8 +68,10 @@ class Counter:
             parts = self.segments(" " + t.replace("▁", " "))
             if miss := [x for x in set(parts) if x not in memo]:
                 if len(memo) > MEMO:
+                    space = memo[""]
                     memo.clear()
-                    miss = list(set(parts))
+                    memo[""] = space
+                    miss = [x for x in set(parts) if x]
                 memo.update(zip(miss, self.whole(miss), strict=True))
             out.append(sum(map(memo.__getitem__, parts)))
         return out
