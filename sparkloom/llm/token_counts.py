@@ -115,6 +115,7 @@ def token_counts(docs: DataFrame, model: str, cache_path: str | None = None, id_
     new = miss.select("content", "text").mapInArrow(_encode(model), "content binary, n_tokens long")
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
     got = _cache(spark, cache_path).where(F.col("tokenizer") == F.lit(version)).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    got = common.sized(common.staged(got, "token-counts"), 80)  # a plain table, so that a hot text's rows may be split
     return keys.join(got, "content").select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
