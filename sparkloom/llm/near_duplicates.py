@@ -25,7 +25,7 @@ def choose_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
     best = (most, 1)
     for rows in range(1, most + 1):
         p = threshold**rows
-        bands = 1 if p >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+        bands = 1 if p >= 1 else max(1, math.ceil(math.log1p(-recall) / math.log1p(-p)))
         if bands * rows <= most:
             best = (bands, rows)
     return best

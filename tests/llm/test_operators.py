@@ -1,0 +1,364 @@
+"""Each operator against a brute-force version on the odd cases, on an empty table and with clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import media_chunks, near_duplicates, substrings
+from sparkloom.llm.decontaminate import drop_leaks, leak_report
+from sparkloom.llm.language import keep_identified, language_report, page_languages
+from sparkloom.llm.media_chunks import chunk_ends, media_report, padded
+from sparkloom.llm.mixing import mix_report, mix_rows
+from sparkloom.llm.near_duplicates import choose_bands, jaccard_report, keep_one_of_class
+from sparkloom.llm.pii import find_pii, mask_pii
+from sparkloom.llm.secret_scan import scan
+from sparkloom.llm.substrings import substring_report, without_repeats
+from sparkloom.llm.token_counts import token_counts
+from sparkloom.llm.warc_archive import archive_report, read_records
+
+from .fixtures import documents, result, rows, words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MODEL = "piece_bpe_32k.model"
+
+
+# ---- op1 ----
+def test_media_round_trip(spark):
+    want = []
+    for i, t, *_ in rows():
+        raw = (t or "").encode()
+        p = padded(raw)
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+    for clashing in (False, True):
+        got = media_report(documents(spark, clashing)).collect()
+        assert sorted((tuple(r[:5]) for r in got), key=repr) == sorted(want, key=repr)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r.payload_sha256].add(tuple(r[2:]))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert all(r.media_bytes > r.payload_bytes and r.feature for r in got)
+    assert media_report(documents(spark, data=[])).count() == 0
+
+
+def test_chunks_are_stored_once_and_shuffled_join_agrees(spark, monkeypatch):
+    rng = random.Random(1)
+    common = " ".join(words(rng, 8000, 10**6))
+    data = [(i, " ".join(words(rng, 300, 10**6)) + common + str(i), "en", "s") for i in range(4)]
+    path = media_chunks.common.work_dir(spark, "t")
+    near = result(media_report(documents(spark, data=data), path))
+    monkeypatch.setattr(media_chunks.common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(media_chunks.common.sized, "__defaults__", (-1,))
+    assert result(media_report(documents(spark, data=data))) == near
+    store = spark.read.parquet(path)
+    shared = store.select(F.explode("shared.digest").alias("d"))
+    assert shared.count() == shared.distinct().count() > 0
+    held = store.agg(F.sum(F.length("own"))).first()[0] + store.select(F.explode("shared.bytes").alias("b")).agg(F.sum(F.length("b"))).first()[0]
+    assert held < 0.5 * sum(len(padded(t.encode())) for _, t, *_ in data)
+
+
+def test_cuts_follow_content():
+    rng = random.Random(2)
+    a = bytes(rng.randrange(256) for _ in range(60_000))
+    import numpy as np
+
+    one, two = ({x - s for x in chunk_ends(np.frombuffer(b, np.uint8))} for b, s in ((a, 0), (b"0123456789" + a, 10)))
+    assert len(one & two) > 0.7 * len(one)
+    assert not padded(b"") .strip(b"\xff") and len(padded(b"")) == 576 and len(padded(b"a" * 576)) == 576
+
+
+# ---- op2 ----
+def test_secret_scan(spark):
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    data = [(i, f'some words token = "{key()}" and more', "en", "src") for i in range(30)]
+    data += [(100 + i, f"see commit {key()} of the page", "en", "src") for i in range(30)]
+    data += [(200, None, None, None), (201, "", "en", None), (202, "é" * 50 + ' api_key: "your-api-key-1234567" ' + "-" * 40_000, "en", "tests/a"), (None, "4711-0815-1234-5678", None, None)]
+    got = scan(documents(spark, True, data)).collect()
+    found = {r.doc_id for r in got if r.secret}
+    assert len(found & set(range(30))) >= 28 and len(found & set(range(100, 130))) <= 2 and 202 not in found
+    texts = {i: t for i, t, *_ in data}
+    for r in got:
+        if r.doc_id is not None:
+            assert hashlib.sha256(texts[r.doc_id][r.start : r.end].encode()).hexdigest() == r.value_sha256
+    assert scan(documents(spark, data=[])).count() == 0
+
+
+# ---- op3 ----
+def targets(sizes: dict, share: float = 1.5, most: int = 2) -> dict:
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    free, left, out = set(order), share * sum(sizes.values()), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > most * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        out |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(most * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+def test_mixing(spark):
+    sizes = Counter()
+    for _, t, _, s in rows():
+        sizes[s] += len(WORD.findall(t or ""))
+    want = targets(sizes)
+    got = mix_report(documents(spark, True)).collect()
+    source = {(i, len(WORD.findall(t or ""))): s for i, t, _, s in rows()}
+    taken = Counter()
+    assert len(got) == len(rows())
+    for r in got:
+        s = source[r.doc_id, r.size]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    for s, n in taken.items():
+        largest = max(len(WORD.findall(t or "")) for _, t, _, x in rows() if x == s)
+        assert abs(n - want[s]) <= max(0.05 * want[s], largest / 2)
+    assert result(mix_report(documents(spark))) == sorted((tuple(r) for r in got), key=repr)
+    assert mix_report(documents(spark, data=[])).count() == 0
+    mixed = mix_rows(documents(spark)).collect()
+    assert {r.repeats for r in mixed} <= {1, 2}
+
+
+# ---- op4 ----
+TEXTS = {
+    "en": "the of and to in that is was for on with as his they be at one have this from or had by hot word but what some we can out other were all there when",
+    "fr": "le la les des une dans pour que qui sur avec est pas vous nous elle son ses aux cette mais comme tout plus fait être deux même entre après sans leur",
+    "de": "der die das und ist nicht ein eine mit sich auf für von dem den auch als nach wie über werden aber oder wenn durch noch nur schon mehr sehr ihre zwischen",
+}
+
+
+def labelled(seed: int, n: int = 120) -> list[tuple]:
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(TEXTS[x].split()) for _ in range(rng.randrange(3, 60))), x, f"{x}.example.{x}") for i in range(n) for x in [rng.choice(list(TEXTS))]]
+
+
+def test_language_held_out(spark):
+    data = labelled(1, 200)
+    wrong = [(1000 + i, t, random.Random(i).choice(["en", "fr", "de"]), None) for i, t, *_ in data[:60]]  # declared at random
+    odd = [(2000, None, "en", None), (2001, "", None, None), (2002, "123 456 %%% ###", "en", "en.example.en"), (None, "the word that was", None, None)]
+    got = language_report(documents(spark, True, data + wrong + odd)).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(data + wrong + odd)
+    assert sum(by[i].language == x for i, _, x, _ in data) >= 0.98 * len(data)
+    assert sum(by[1000 + i].language == x for i, _, x, _ in data[:60]) >= 54
+    assert all(by[i].language == "und" and not by[i].kept for i in (2000, 2001, 2002)) and by[None].language == "en"
+    assert keep_identified(documents(spark, data=data + odd)).count() == len(data) + 1
+    assert language_report(documents(spark, data=[])).count() == 0
+
+
+def test_language_of_pages(spark):
+    page = [(i, f"https://{s}/a", f'<html lang="{x}"><script>var the="of"</script><p>{t}</p></html>') for i, t, x, s in labelled(2)]
+    page += [(900, None, None), (901, "no address", "<p>"), (None, "", "")]
+    got = {r.page_id: r.language for r in page_languages(spark.createDataFrame(page, "page_id long, url string, html string")).collect()}
+    assert sum(got[i] == x for i, _, x, _ in labelled(2)) >= 0.97 * 120 and got[900] == "und"
+
+
+# ---- op5 ----
+def removed(data, window):
+    order = lambda i: (i is None, i or 0)
+    first = {}
+    for i, t, *_ in data:
+        w = WORD.findall(t or "")
+        for a in range(len(w) - window + 1):
+            k = tuple(w[a : a + window])
+            first[k] = min(first.get(k, (True, 1 << 62)), order(i))
+    out = []
+    for i, t, *_ in data:
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for a in range(len(w) - window + 1):
+            if first[tuple(w[a : a + window])] < order(i):
+                gone[a : a + window] = [True] * window
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        out.append((i, len(w), sum(gone), kept))
+    return out
+
+
+@pytest.mark.parametrize(("window", "group_rows"), [(50, 40_000), (50, 3), (6, 40_000), (7, 5)])
+def test_substrings(spark, window, group_rows):
+    want = removed(rows(), window)
+    assert any(0 < r[2] < r[1] for r in want)
+    assert result(without_repeats(documents(spark, True), window=window, group_rows=group_rows)) == sorted(want, key=repr)
+    if window == 50:
+        assert result(substring_report(documents(spark), group_rows=group_rows)) == sorted(((a, b, c, hashlib.sha256(k.encode()).hexdigest()) for a, b, c, k in want), key=repr)
+        assert substring_report(documents(spark, data=[])).count() == 0
+
+
+def test_anchors_lie_in_every_window():
+    import numpy as np
+
+    h = np.random.default_rng(1).integers(0, 1 << 60, 500).astype(np.uint64)
+    at = np.array([0, 10, 200, 200, 500])
+    p, _ = substrings.anchors_of(h, at, 50)
+    for a, b in zip(at, at[1:]):
+        for s in range(a, b - 49):
+            assert ((p >= s) & (p + 25 <= s + 50)).any()
+    assert not ((p < 10) | ((p + 25 > 200) & (p < 200))).any()
+
+
+# ---- op6 ----
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+PERSONAL = [
+    "mail a.b+c@x-y.example.com or d@e, f@g.h@i.j.k x%@a.b..c @a.b a@b.c.", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 00001.002.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111 1 2 3 4",
+    "+1 (743) 555-3824 +12 +123456789 +1234567890123456 +1-2-3 +44 20 7946 0958.", "é𝒳日 a@b.cd 日 +49 170 1234567 ß 10.0.0.1", "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, bad DE88370400440532013000",
+    "my social security number 123-45-6789, order 123-45-6789", "4111111111111111@a.b.c1.2.3.4+4111111111111111", "1 " * 20_000, "a" * 60_000 + "@", "1." * 20_000, "", None, "+" * 500 + "1" * 9, "1.1.1.1.", "a@b.c\n4111 1111 1111 1111\n",
+]
+
+
+def confirmed(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(float(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        s = sum((2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+        return 13 <= len(d) <= 19 and s % 10 == 0
+    return 9 <= len(d) <= 15 if kind == "phone" else True
+
+
+def test_pii(spark):
+    data = [(i, t, "en", "s") for i, t in enumerate(PERSONAL)] + [(None, PERSONAL[0], None, None), (0, PERSONAL[0], None, None)]
+    got = find_pii(documents(spark, True, data)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        text = PERSONAL[r.doc_id or 0] or ""
+        want = {k: [(m.start(), m.end()) for m in re.finditer(p, text) if confirmed(k, m.group())] if len(text) < 50_000 or k != "email" else [] for k, p in PATTERNS.items()}
+        base = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in want[k])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(v) for v in want.values()]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.spans.startswith(base)
+        assert len(r.scores) == len([x for x in r.spans.split(",") if x])
+    by = {r.doc_id: r.spans for r in got}
+    assert by[5].count("iban:") == 2 and by[6].count("ssn:") == 1
+    assert find_pii(documents(spark, data=[])).count() == 0
+
+
+def test_masking(spark):
+    data = [(i, t, "en", "s") for i, t in enumerate(PERSONAL)]
+    df = documents(spark, True, data)
+    got = {r.doc_id: r for r in mask_pii(df).collect()}
+    assert mask_pii(df).columns == df.columns
+    assert got[3].text == "<PHONE> +12 +123456789 +1234567890123456 +1-2-3 <PHONE>.".replace("+123456789 ", "<PHONE> ")
+    assert got[12].text is None and got[12].n_chars is None and got[11].text == ""
+    assert all(r.text is None or r.n_chars == len(r.text) for r in got.values())
+    assert result(find_pii(mask_pii(df)).select("n_email", "n_card").distinct()) == [(0, 0)]
+
+
+# ---- op7 ----
+def test_token_counts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+    extra = ["  a  b ", "▁ b", "a ▁ ▁▁ b▁", " ", "\n", "<s> a </s><unk>", "ﬁ ① é", " x 　 y", "   ", "a" * 300 + "  " * 40]
+    data = rows() + [(300 + i, t, "en", "s") for i, t in enumerate(extra)]
+    want = sorted(((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t, *_ in data), key=repr)
+    from sparkloom.llm import common
+
+    path = common.work_dir(spark, "cache")
+    assert result(token_counts(documents(spark, True, data[:60]), MODEL, path)) == sorted((x for x in [(i, len((t or "").encode()), len(sp.encode(t or "")), False) for i, t, *_ in data[:60]]), key=repr)
+    first = spark.read.parquet(path).count()
+    assert result(token_counts(documents(spark, data=data), MODEL, path)) == want
+    distinct = len({t or "" for _, t, *_ in data})
+    assert first < spark.read.parquet(path).count() <= distinct + 1
+    before = spark.read.parquet(path).count()
+    assert result(token_counts(documents(spark, data=data), MODEL, path)) == want and spark.read.parquet(path).count() == before
+    assert token_counts(documents(spark, data=[]), MODEL).count() == 0
+
+
+# ---- op8 ----
+def test_leaks(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, rng.randrange(20, 40), 10**6))) for i in range(8)] + [(8, "alpha beta gamma delta epsilon zeta"), (9, None), (10, "too short"), (11, " ".join(words(rng, 30, 10**6)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    data, want = [], {}
+    for i in range(60):
+        w = words(rng, rng.randrange(5, 120))
+        if i % 3 == 0:
+            k = rng.randrange(8)
+            p = items[k][1].split()
+            for _ in range(i % 2 * 2):  # substitutions
+                p[rng.randrange(len(p))] = "zzz"
+            w[len(w) // 2 : len(w) // 2] = p
+            want[i] = str(k)
+        data.append((i, " ".join(w).title() + "!", "en", "s"))
+    data += [(70, "well ALPHA, beta; gamma delta epsilon zeta.", "en", "s"), (71, None, None, None), (72, "", "en", "s"), (73, " ".join(items[0][1].split()[:8]), "en", "s"), (None, items[1][1], None, None), (0, data[0][1], "en", "s")]
+    want |= {70: "8", None: "1"}
+    got = leak_report(documents(spark, True, data), bench).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert r["items"] == want.get(r.doc_id, "") and r.leaked == (r.doc_id in want), r
+    left = drop_leaks(documents(spark, data=data), bench)
+    assert {r.doc_id for r in left.collect()} == {r[0] for r in data} - set(want)
+    assert not leak_report(documents(spark, data=data), bench.limit(0)).where("leaked").count()
+    assert leak_report(documents(spark, data=[]), bench).count() == 0
+
+
+# ---- op9 ----
+def grams(t, n=5):
+    w = WORD.findall(t or "")
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def classes(data, t=0.8):
+    sets = [grams(x[1]) for x in data]
+    link = lambda a, b: a == b or (a and b and len(a & b) >= t * len(a | b))
+    near = [[j for j, b in enumerate(sets) if j != i and link(a, b)] for i, a in enumerate(sets)]
+    root = list(range(len(data)))
+    for _ in data:
+        for i, js in enumerate(near):
+            root[i] = min([root[i], *(root[j] for j in js)])
+    ids = defaultdict(list)
+    for i, r in enumerate(root):
+        ids[r].append(data[i][0])
+    least = {r: min((x for x in v if x is not None), default=None) for r, v in ids.items()}
+    return root, least, [len(x) for x in near]
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", block)
+    data = rows()
+    root, least, links = classes(data)
+    want = sorted(((x[0], least[r], n) for x, r, n in zip(data, root, links)), key=repr)
+    assert result(jaccard_report(documents(spark, block == 7))) == want
+    kept = keep_one_of_class(documents(spark, block == 7)).select("doc_id").collect()
+    assert sorted((r.doc_id for r in kept), key=repr) == sorted(least.values(), key=repr)
+    assert jaccard_report(documents(spark, data=[])).count() == 0 and keep_one_of_class(documents(spark, data=[])).count() == 0
+
+
+def test_bands_reach_recall():
+    for t in (0.5, 0.8, 0.9):
+        b, r = choose_bands(t, 0.99, 256)
+        assert 1 - (1 - t**r) ** b >= 0.99 and b * r <= 256
+
+
+# ---- op10 ----
+def test_archive(spark):
+    big, small = "<p>" + "é" * 200, "tiny"
+    pages = [(3, "http://a/1", big), (1, "http://b\r\nWARC-Type: revisit\r\n", big), (2, None, big), (1, "http://again", big), (5, "u", small), (6, "u", small), (7, "u", None), (8, "u", ""), (None, "u", big), (None, "u", "x" * 100_000), (9, "u WARC-Type: revisit", "\r\n\r\n" * 90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("?"))
+    from sparkloom.llm import common
+
+    path = common.work_dir(spark, "warc")
+    got = result(archive_report(df, path))
+    want = []
+    for i, _, h in pages:
+        raw = (h or "").encode()
+        first = 1 if h == big and i != 1 else None
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if first else "response", first))
+    assert got == sorted(want, key=repr)
+    assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in pages})
+    records = [bytes(r.record) for r in read_records(spark, path).collect()]
+    assert len(records) == len(pages) and all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+    assert archive_report(df.limit(0)).count() == 0
