@@ -236,6 +236,8 @@ def jaccard_report(docs: DataFrame, **kw) -> DataFrame:
     rooted = common.staged(_rooted(texts, classes), "jaccard-rooted")
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     same = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    # plain tables, so that the rows of a hot class or copied text may be split
+    ids, same = common.sized(common.staged(ids, "jaccard-ids"), 60), common.sized(common.staged(same, "jaccard-same"), 60)
     return rooted.join(ids, "root").join(same, "key").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
 
 
