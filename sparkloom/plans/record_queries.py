@@ -63,7 +63,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     """Model relations: to a region by key; keys moved out of range stay unresolved."""
     n = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 7 == 0, F.col("n_regionkey") + 100).otherwise(F.col("n_regionkey")).alias("k"))
     r = table(spark, d, "region")
-    return n.join(F.broadcast(r), F.col("k") == F.col("r_regionkey"), "left").select(F.col("n_name").alias("model"), F.col("r_name").alias("target"), F.col("r_name").isNotNull().alias("resolved"))
+    return n.join(r, F.col("k") == F.col("r_regionkey"), "left").select(F.col("n_name").alias("model"), F.col("r_name").alias("target"), F.col("r_name").isNotNull().alias("resolved"))
 
 
 def delete_guard(spark: SparkSession, d: str) -> DataFrame:
