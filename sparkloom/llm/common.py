@@ -51,12 +51,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def sized(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """side with a broadcast hint if its counted rows fit the limit, else unchanged (a shuffled join).
+def sized(side: DataFrame, row_bytes: int, items: Column | None = None, item_bytes: int = 0, limit: int | None = None) -> DataFrame:
+    """side with a broadcast hint if its rows, and the items in their arrays, fit the limit; else unchanged (a shuffled join).
 
     side must be cheap to scan: a staged table.
     """
-    return F.broadcast(side) if side.count() * row_bytes <= limit else side
+    total = F.count(F.lit(1)) * row_bytes + (F.coalesce(F.sum(items), F.lit(0)) * item_bytes if items is not None else F.lit(0))
+    return F.broadcast(side) if side.agg(total.alias("b")).first()["b"] <= (BROADCAST_BYTES if limit is None else limit) else side
 
 
 def text_or_empty(c: str | Column = "text") -> Column:

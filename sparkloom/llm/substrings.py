@@ -112,7 +112,7 @@ def _suffix_rows(window: int, long_prefix: bool):
                     continue
                 starts = (p[:, None] - np.arange(window - gram + 1)).ravel()
                 d = np.repeat(doc, window - gram + 1)
-                s, i = np.unique(starts[(starts >= w[d]) & (starts + window <= w[d + 1])], return_index=False), None
+                s = np.unique(starts[(starts >= w[d]) & (starts + window <= w[d + 1])])
                 d = np.searchsorted(w, s, "right") - 1
                 full = common.window_hashes(h, window)[s]
                 check = common.window_hashes(h ^ np.uint64(0x5851F42D4C957F2D), window)[s]
@@ -157,11 +157,12 @@ def repeats(prefix: np.ndarray, order: np.ndarray, back: np.ndarray, ahead: np.n
     return out
 
 
-SPANS = "rid long, starts array<int>"
+#: runs: first and last start of each run of consecutive windows, flat.
+SPANS = "rid long, runs array<int>"
 
 
 def _subtrees(window: int):
-    """Suffixes sorted by prefix in; starts of repeated windows of each document out."""
+    """Suffixes sorted by prefix in; runs of repeated windows of each document out."""
 
     def close(parts):
         t = pa.Table.from_batches(parts)
@@ -170,9 +171,14 @@ def _subtrees(window: int):
         left, right = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(-1, side) for i in (6, 7))
         row, b = np.nonzero(repeats(prefix, order, back, ahead, left, right))
         both = np.unique(np.stack([rid[row], pos[row] - b], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-        cut = np.flatnonzero(np.diff(both[:, 0], prepend=both[0, 0] - 1 if len(both) else 0))
-        at = np.append(cut, len(both)).astype(np.int32)
-        return pa.record_batch([pa.array(both[cut, 0] if len(both) else [], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(both[:, 1].astype(np.int32)))], ["rid", "starts"])
+        fresh = np.ones(len(both), bool)
+        fresh[1:] = (both[1:, 0] != both[:-1, 0]) | (both[1:, 1] != both[:-1, 1] + 1)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(both))[: len(first)] - 1
+        ids, pairs = both[first, 0], np.stack([both[first, 1], both[last, 1]], 1)
+        doc = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else first
+        at = np.append(doc, len(ids)).astype(np.int32) * 2
+        return pa.record_batch([pa.array(ids[doc], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(pairs.ravel().astype(np.int32)))], ["rid", "runs"])
 
     def run(batches):
         held, rows = [], 0
@@ -194,22 +200,22 @@ def _subtrees(window: int):
     return run
 
 
-def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Of n words, which lie in a window that starts at one of starts."""
+def covered(n: int, runs: np.ndarray, window: int) -> np.ndarray:
+    """Of n words, which lie in a window that starts in one of the runs."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n), -1)
+    np.add.at(edge, runs[::2], 1)
+    np.add.at(edge, np.minimum(runs[1::2] + window, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def _kept(texts: list[bytes], copied: list, starts: list, window: int):
+def _kept(texts: list[bytes], copied: list, runs: list, window: int):
     """(n_words, n_removed, kept) of each text."""
-    for text, later_copy, s in zip(texts, copied, starts, strict=True):
+    for text, later_copy, r in zip(texts, copied, runs, strict=True):
         words = text.split()
         if later_copy and len(words) >= window:
             yield len(words), len(words), b""
-        elif s:
-            gone = covered(len(words), np.unique(np.array(s)), window)
+        elif r:
+            gone = covered(len(words), np.array(r), window)
             yield len(words), int(gone.sum()), b" ".join(w for w, x in zip(words, gone) if not x)
         else:
             yield len(words), 0, b" ".join(words)
@@ -231,22 +237,23 @@ def _order(c: Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit((1 << 63) - 1))
 
 
-def repeated_starts(src: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """Rows (rid, starts): starts of the windows that an earlier document of src (rid, ord, text) has too."""
+def repeated_runs(src: DataFrame, window: int, group_rows: int) -> DataFrame:
+    """Rows (rid, runs): of the windows that an earlier document of src (rid, ord, text) has too."""
     anchors = common.staged(src.select("rid", "ord", "text").mapInArrow(_anchor_rows(window), "prefix long, rid long, ord long, pos int"), "sub-anchors")
     shared = anchors.groupBy("prefix").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("prefix", "n")
+    shared = common.sized(common.staged(shared, "sub-shared"), 60)  # a plain table, so that a hot prefix's rows may be split
     asked = anchors.join(shared, "prefix").groupBy("rid").agg(
         F.collect_list(F.when(F.col("n") <= group_rows, F.col("pos"))).alias("few"),
         F.collect_list(F.when(F.col("n") > group_rows, F.col("pos"))).alias("many"),
     )  # at most one entry an anchor of one document
     asked = common.staged(asked, "sub-asked")
-    held = src.join(common.sized(asked, 300), "rid")
+    held = src.join(common.sized(asked, 120, F.size("few") + F.size("many"), 4), "rid")
     few = held.where("size(few) > 0").select("rid", "ord", "text", "few").mapInArrow(_suffix_rows(window, False), SUFFIX)
     trees = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), SPANS)
     many = common.staged(held.where("size(many) > 0").select("rid", "ord", "text", "many").mapInArrow(_suffix_rows(window, True), WHOLE), "sub-whole")
     first = many.groupBy("node").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("node", "first")
-    long = many.join(first, "node").where("ord > first").groupBy("rid").agg(F.collect_list("start").alias("starts"))
-    return trees.unionByName(long).groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    long = many.join(first, "node").where("ord > first").groupBy("rid").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("runs"))
+    return trees.unionByName(long).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _without_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, group_rows: int, with_text: bool) -> DataFrame:
@@ -258,8 +265,9 @@ def _without_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, g
     copies = common.sized(common.staged(copies, "sub-copies"), 120)
     # every window of a later copy starts in the first one too, so one of equal texts is searched
     noted = src.join(copies, "content", "left")
-    starts = common.staged(repeated_starts(noted.where("first is null or ord = first"), window, group_rows), "sub-starts")
-    out = noted.join(common.sized(starts, 2000), "rid", "left").select("doc_id", "text", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copied"), "starts")
+    runs = common.staged(repeated_runs(noted.where("first is null or ord = first"), window, group_rows), "sub-runs")
+    runs = common.sized(runs, 80, F.size("runs"), 4)
+    out = noted.join(runs, "rid", "left").select("doc_id", "text", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copied"), "runs")
     kind = docs.schema[id_col].dataType.simpleString()
     return out.mapInArrow(_keeper(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
 

@@ -52,7 +52,6 @@ def test_chunks_are_stored_once_and_shuffled_join_agrees(spark, monkeypatch):
     path = media_chunks.common.work_dir(spark, "t")
     near = result(media_report(documents(spark, data=data), path))
     monkeypatch.setattr(media_chunks.common, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(media_chunks.common.sized, "__defaults__", (-1,))
     assert result(media_report(documents(spark, data=data))) == near
     store = spark.read.parquet(path)
     shared = store.select(F.explode("shared.digest").alias("d"))
