@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Estimated bytes up to which a joined side may be broadcast; larger sides are shuffled.
 BROADCAST_BYTES = 48 << 20
 #: Text bytes that one numpy pass handles at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches given to Python by bytes as well as rows, for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def sized(side: DataFrame, row_bytes: int, items: Column | None = None, item_bytes: int = 0, limit: int | None = None) -> DataFrame:
