@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Fixed masks over consecutive tokens; a 0 marks a token that may differ.
-MASKS = ("1101001101", "1011100101", "1110010011")
-SPAN = len(MASKS[0])
-#: Documents are seeded at every STRIDE-th token, benchmark items at every one.
-STRIDE = 2
-#: For items of fewer than SPAN tokens; those of fewer than SHORT are no evidence of a leak.
-SHORT = 5
+#: By the least number of tokens of an item: masks over consecutive tokens; a 0 marks a token that may differ.
+#: Enumerated: at every token of both sides, each set hits all substitutions that SHARE allows in a
+#: stretch of that many tokens (of WINDOW, for longer items), and so in any longer one with as many.
+MASKS = {
+    5: ("11111",),
+    10: ("111011", "11010011", "11111"),
+    13: ("111010111", "11011001011", "101001110011"),
+}
+#: Items of fewer tokens are no evidence of a leak.
+SHORT = min(MASKS)
 #: A leak: of WINDOW aligned tokens (of all, if the item has fewer) at least SHARE are equal.
 WINDOW, SHARE = 13, 0.8
 
@@ -27,19 +32,11 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: str, masks: tuple[str, ...], stride: int) -> Column:
-    """The seeds at the tokens 0, stride, ...: one hash for each mask, mask after mask at each place."""
-    span = len(masks[0])
-    last = F.size(h) - F.lit(span)
-    one = lambda i, k: F.xxhash64(F.lit(masks[k]), *[F.get(F.col(h), i + c) for c, x in enumerate(masks[k]) if x == "1"])
-    each = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.array(*[one(i, k) for k in range(len(masks))]))
-    return F.when(last >= 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _exploded(rows: DataFrame, keep: list[str], masks: tuple[str, ...], stride: int) -> DataFrame:
-    """Rows (*keep, seed, at)."""
-    out = rows.select(*keep, F.posexplode(_seeds("h", masks, stride)).alias("i", "seed"))
-    return out.select(*keep, "seed", (F.floor(F.col("i") / len(masks)) * stride).cast("int").alias("at"))
+def _seeded(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """Rows (*keep, at, seed): a hash for each mask at each token of h; compiled, as no function over arrays is used."""
+    seed = lambda m: F.when(F.col("at") + len(m) <= F.size("h"), F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + c) for c, x in enumerate(m) if x == "1"]))
+    out = rows.select(*keep, "h", F.posexplode("h").alias("at", "_token"))
+    return out.select(*keep, "at", F.explode(F.array(*[seed(m) for m in masks])).alias("seed")).where("seed is not null")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -57,14 +54,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = common.staged(items.where(F.size("h") >= SHORT).distinct(), "leak-items")
     rows = docs.select(_row_key(id_col, text_col).alias("row_key"), token_hashes(F.col(text_col)).alias("h"))
 
-    def hits(part: DataFrame, masks: tuple[str, ...], stride: int) -> DataFrame:
-        seeds = common.staged(_exploded(part, ["item"], masks, 1).withColumnRenamed("at", "item_at"), "leak-seeds")
-        found = _exploded(rows, ["row_key"], masks, stride).join(common.sized(seeds, 80), "seed")
-        return found.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-
-    found = hits(items.where(F.size("h") >= SPAN), MASKS, STRIDE)
-    if not items.where(F.size("h") < SPAN).isEmpty():
-        found = found.unionByName(hits(items.where(F.size("h") < SPAN), ("1" * SHORT,), 1))
+    least = [*MASKS, 1 << 30]
+    has = {n: F.size("h").between(n, least[k + 1] - 1) for k, n in enumerate(MASKS)}
+    seeds = reduce(DataFrame.unionByName, [_seeded(items.where(has[n]), ["item"], MASKS[n]) for n in MASKS])
+    seeds = common.staged(seeds.withColumnRenamed("at", "item_at"), "leak-seeds")
+    some = items.agg(*[F.max(x) for x in has.values()]).first()
+    masks = tuple(dict.fromkeys(m for n, x in zip(MASKS, some) if x for m in MASKS[n])) or MASKS[SHORT]
+    found = _seeded(rows, ["row_key"], masks).join(common.sized(seeds, 80), "seed")
+    found = found.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("shift"))
     found = common.staged(found.distinct(), "leak-hits")
     note = found.groupBy("row_key").agg(F.collect_list(F.struct("item", "shift")).alias("hits"))  # bounded by document and items
     note = common.sized(common.staged(note, "leak-notes"), 400)

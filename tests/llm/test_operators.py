@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,6 +304,31 @@ def test_leaks(spark):
     assert leak_report(documents(spark, data=[]), bench).count() == 0
 
 
+def substituted(p: list[str], at) -> list[str]:
+    return ["zzz" if i in at else x for i, x in enumerate(p)]
+
+
+def leaks_of_length(spark, lengths):
+    """All substitutions that the rule allows, at odd and even places, of an item of each length; some that it refuses."""
+    rng = random.Random(17)
+    items = [(n, " ".join(words(rng, n, 10**6))) for n in lengths]
+    data, want = [], {}
+    for n, text in items:
+        w = min(n, 13)
+        for k in range(4):
+            for at in combinations(range(w), k):
+                for lead in (4, 7):
+                    p = substituted(text.split(), {*at, *range(w, n)})
+                    data.append((len(data), " ".join(["x"] * lead + p + ["y"] * 3), "en", "s"))
+                    want[len(want)] = str(n) if (w - k) / w >= 0.8 else ""
+    got = leak_report(documents(spark, data=data), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return [(r.doc_id, r["items"], want[r.doc_id]) for r in got if r["items"] != want[r.doc_id]], len(got) - len(want)
+
+
+def test_leaks_of_10_to_15_tokens(spark):
+    assert leaks_of_length(spark, range(10, 16)) == ([], 0)
+
+
 # ---- op9 ----
 def grams(t, n=5):
     w = WORD.findall(t or "")
