@@ -13,7 +13,8 @@ from . import common
 #: Enumerated: at every token of both sides, each set hits all substitutions that SHARE allows in a
 #: stretch of that many tokens (of WINDOW, for longer items), and so in any longer one with as many.
 MASKS = {
-    5: ("11111",),
+    5: ("1111", "11101", "11011", "10111"),
+    7: ("11111", "111011", "110111"),
     10: ("111011", "11010011", "11111"),
     13: ("111010111", "11011001011", "101001110011"),
 }

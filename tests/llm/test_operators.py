@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import media_chunks, near_duplicates, substrings
-from sparkloom.llm.decontaminate import drop_leaks, leak_report
+from sparkloom.llm.decontaminate import MASKS, SHARE, SHORT, WINDOW, drop_leaks, leak_report
 from sparkloom.llm.language import keep_identified, language_report, page_languages
 from sparkloom.llm.media_chunks import chunk_ends, media_report, padded
 from sparkloom.llm.mixing import mix_report, mix_rows
@@ -329,6 +329,18 @@ def test_leaks_of_10_to_15_tokens(spark):
     assert leaks_of_length(spark, range(10, 16)) == ([], 0)
 
 
+def test_leaks_of_5_to_12_tokens(spark):
+    assert leaks_of_length(spark, range(5, 13)) == ([], 0)
+
+
+def test_masks_hit_every_allowed_substitution():
+    for n in range(SHORT, 40):
+        w, masks = min(n, WINDOW), MASKS[max(k for k in MASKS if k <= n)]
+        places = [{i + c for c, x in enumerate(m) if x == "1"} for m in masks for i in range(w - len(m) + 1)]
+        most = max(k for k in range(w) if (w - k) / w >= SHARE)
+        assert all(any(not p & set(at) for p in places) for at in combinations(range(w), most)), n
+
+
 # ---- op9 ----
 def grams(t, n=5):
     w = WORD.findall(t or "")
