@@ -13,8 +13,6 @@ from . import common
 BUCKETS = 1 << 15
 #: Labelled documents of each language that train the text model, at most about this many.
 TRAIN_DOCS = 1500
-#: A language is modelled if it labels at least this share of the labelled documents.
-LEAST_SHARE = 0.01
 #: Weight of a trigram's log likelihood (neighbouring trigrams overlap, so each is worth a third).
 TEMPER = 1 / 3
 #: Strength of the prior above: of the suffix for a host, of all documents for a suffix.
@@ -61,10 +59,11 @@ def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, train_doc
     """Languages and the log likelihoods (BUCKETS, languages + 1) of trigrams; the last column is the unknown language's.
 
     Fitted on a seeded sample of about train_docs labelled documents of each language, whole texts.
+    Every label is modelled, however rare, so that whether a language exists does not hang on the others.
     Without labelled documents there is only the unknown language.
     """
     named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r["count"] for r in named.groupBy(label_col).count().withColumn("all", F.sum("count").over(_everything())).where(F.col("count") >= LEAST_SHARE * F.col("all")).collect()}  # at most 1 / LEAST_SHARE rows
+    sizes = {r[0]: r["count"] for r in named.groupBy(label_col).count().collect()}  # a row a language
     langs = sorted(sizes)
     table = np.zeros((BUCKETS, len(langs) + 1))
     if langs:
@@ -81,19 +80,13 @@ def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, train_doc
     return langs, table.astype(np.float32)
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def _scorer(table: np.ndarray):
     def run(batches):
         for b in batches:
             raw, at = common.utf8_of(b.column(b.num_columns - 1))
             n = len(at) - 1
             ll, grams = np.zeros((n, table.shape[1])), np.zeros(n, np.int64)
-            for i, j in common.cuts(at):
+            for i, j in common.cuts(at, common.SLICE_BYTES * 8 // max(8, table.shape[1])):
                 key, doc = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 if len(key):
                     first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -158,21 +151,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     scored = common.staged(scored.drop("ll"), "lang-scored")
 
     known = scored.where("grams > 0")
-    hosts = common.staged(known.groupBy("host", "suffix").agg(*_added("p", k)), "lang-hosts")
+    every_c = F.aggregate(_array(k, lambda i: F.col(f"c{i}")), F.lit(0).cast("long"), lambda a, x: a + x)
+    hosts = common.staged(known.groupBy("host", "suffix").agg(*_added("p", k)).withColumn("all", every_c), "lang-hosts")
     sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]
     total = hosts.agg(*sums).first()
     whole = [(total[i] or 0) / UNIT + (1.0 if i < k - 1 else UNKNOWN_PRIOR) for i in range(k)]
     whole = [x / sum(whole) for x in whole]
-    mean = lambda at, above, strength: _array(k, lambda i: (F.col(f"c{i}") / UNIT + F.lit(strength) * above(i)) / (sum(F.col(f"c{j}") for j in range(k)) / UNIT + F.lit(strength))).alias(at)
-    suffixes = hosts.groupBy("suffix").agg(*sums).select("suffix", mean("above", lambda i: F.lit(whole[i]), SUFFIX_STRENGTH))
+    mean = lambda at, above, strength: _array(k, lambda i: (F.col(f"c{i}") / UNIT + F.lit(strength) * above(i)) / (F.col("all") / UNIT + F.lit(strength))).alias(at)
+    suffixes = hosts.groupBy("suffix").agg(*sums, F.sum("all").alias("all")).select("suffix", mean("above", lambda i: F.lit(whole[i]), SUFFIX_STRENGTH))
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", mean("prior", lambda i: F.get("above", F.lit(i)), HOST_STRENGTH))
     priors = common.sized(common.staged(priors, "lang-priors"), 60 + 8 * k)
 
     # how often each text language declares what, smoothed by how often anything declares it
-    said = common.staged(known.where("declared != ''").groupBy("declared").agg(*_added("p", k)), "lang-declared")
+    said = common.staged(known.where("declared != ''").groupBy("declared").agg(*_added("p", k)).withColumn("all", every_c), "lang-declared")
     each = said.agg(*sums, F.count(F.lit(1)).alias("kinds")).first()
     every = sum((each[i] or 0) for i in range(k)) / UNIT
-    share = sum(F.col(f"c{j}") for j in range(k)) / UNIT / F.lit(max(every, 1.0))
+    share = F.col("all") / UNIT / F.lit(max(every, 1.0))
     likely = said.select("declared", _array(k, lambda i: F.log((F.col(f"c{i}") / UNIT + share) / F.lit((each[i] or 0) / UNIT + 1))).alias("said"))
     likely = common.sized(common.staged(likely, "lang-likely"), 60 + 8 * k)
 

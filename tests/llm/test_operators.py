@@ -153,6 +153,16 @@ def test_language_held_out(spark):
     assert language_report(documents(spark, data=[])).count() == 0
 
 
+def test_rare_language_is_found(spark):
+    rng = random.Random(3)
+    vocabulary = "il di che non per una sono della con anche questo come più nel alla gli dei delle suo ma era essere stato molto quando dove già però così tutti".split()
+    rare = lambda i, x: (i, " ".join(rng.choice(vocabulary) for _ in range(40)), x, None)
+    data = labelled(4, 600) + [rare(3000 + i, "it") for i in range(4)] + [rare(4000 + i, None) for i in range(4)]
+    by = {r.doc_id: r for r in language_report(documents(spark, data=data)).collect()}
+    assert all(by[i].language == "it" and by[i].kept for i in (*range(3000, 3004), *range(4000, 4004)))
+    assert sum(by[i].language == x for i, _, x, _ in data[:600]) >= 588
+
+
 def test_language_of_pages(spark):
     page = [(i, f"https://{s}/a", f'<html lang="{x}"><script>var the="of"</script><p>{t}</p></html>') for i, t, x, s in labelled(2)]
     page += [(900, None, None), (901, "no address", "<p>"), (None, "", "")]
