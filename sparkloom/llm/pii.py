@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Characters of an account number by country (the IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])" for n, x in IBAN_LENGTHS.items())
+_OTHER = rf"(?!{'|'.join(x.replace(' ', '|') for x in IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Z0-9])"
+
 # Fixed patterns, leftmost and non-overlapping per kind. Possessive repeats and the look-behind
 # forbid backtracking, which changes no match: what follows a repeat is never in its class, and a
 # run of class characters that fails from its first place fails from every later one.
@@ -20,7 +28,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])",
+    "iban": rf"(?<![A-Z0-9])(?=({_IBAN}|{_OTHER}))",  # of no width, so that a false start hides none that begins inside
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -83,6 +91,8 @@ def _score(kind: str, before: Column) -> Column:
 def _zipped(text: Column, kind: str, f: Callable[[Column, Column], Column]) -> Column:
     """f(text before a match since the one before it, match) in order; at last f(rest, null)."""
     p = F.lit(PATTERNS[kind])
+    if kind == "iban":  # the line feed keeps split() from dropping an empty first part
+        return F.zip_with(F.transform(F.split(F.concat(F.lit("\n"), text), p, -1), lambda g, i: F.when(i == 0, F.substr(g, F.lit(2))).otherwise(g)), F.regexp_extract_all(text, p, F.lit(1)), f)
     return F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)), f)
 
 
@@ -96,20 +106,31 @@ def spans_of(text: Column, kind: str) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(x["len"], F.lit(0))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["score"].alias("score")))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        ok = x["ok"] & (start >= acc["last"])
+        return F.struct((start if kind == "iban" else end).alias("at"), F.when(ok, end).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
     return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
 
-def masked(text: Column, kind: str) -> Column:
-    """text with each confirmed span of a kind replaced by the kind in angle brackets."""
+def masked(text: Column, spans: Column) -> Column:
+    """text with each of spans, array<struct<start, back, kind>> in order, replaced by its kind in angle brackets.
+
+    back: minus the end. Spans that overlap are one, of the kind of the first.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        apart = x["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), F.when(apart, F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
-    def part(gap: Column, m: Column) -> Column:
-        kept = _valid(kind, m) & ((_score(kind, gap) >= THRESHOLD) if kind in ADDED else F.lit(True))
-        return F.concat(gap, F.when(m.isNull(), "").when(kept, F.lit(f"<{kind.upper()}>")).otherwise(m))
 
-    return F.when(text.rlike(HINTS[kind]), F.array_join(_zipped(text, kind, part), "")).otherwise(text)
+def _labelled(text: Column, kind: str) -> Column:
+    return F.transform(spans_of(text, kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(kind).alias("kind")))
 
 
 def _named(kind: str) -> Column:
@@ -143,7 +164,8 @@ def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
     """
     out = docs
     for kind in ("card", "iban", "ssn", "ip", "phone", "email"):
-        out = out.withColumn(text_col, masked(F.col(text_col), kind))
+        spans = out.withColumn("_spans", _labelled(F.col(text_col), kind))
+        out = spans.withColumn(text_col, masked(F.col(text_col), F.col("_spans"))).drop("_spans")
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)

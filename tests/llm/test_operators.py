@@ -253,6 +253,17 @@ def test_pii(spark):
     assert find_pii(documents(spark, data=[])).count() == 0
 
 
+def test_iban_before_capitals_and_digits(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE89370400440532013000"]
+    texts = [f"{good[0]} Please confirm", f"{good[1]} BIC WESTGB2L", f"{good[2]} 2024 invoice", f"{good[2]} {good[1]} {good[0]}", f"BE12 {good[0]} X", f"AB12 CD34 {good[1]} 9", f"é𝒳 {good[0]}", good[2]]
+    want = [[good[0]], [good[1]], [good[2]], [good[2], good[1], good[0]], [good[0]], [good[1]], [good[0]], [good[2]]]
+    df = documents(spark, data=[(i, t, "en", "s") for i, t in enumerate(texts)])
+    for r in find_pii(df).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x.startswith("iban")]
+        assert [texts[r.doc_id][int(a) : int(b)] for _, a, b in spans] == want[r.doc_id]
+    assert not [r for r in mask_pii(df).collect() if r.text.count("<IBAN>") != len(want[r.doc_id]) or "3704" in r.text or "WEST1" in r.text]
+
+
 def test_masking(spark):
     data = [(i, t, "en", "s") for i, t in enumerate(PERSONAL)]
     df = documents(spark, True, data)
