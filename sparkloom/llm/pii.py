@@ -158,14 +158,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with its spans masked and, if there is one, the column of text lengths set anew.
+    """docs with the spans of all kinds, found on the original text, masked and, if there is one, the column of text lengths set anew.
 
     A null text stays null. Other columns and the order of columns stay.
     """
-    out = docs
-    for kind in ("card", "iban", "ssn", "ip", "phone", "email"):
-        spans = out.withColumn("_spans", _labelled(F.col(text_col), kind))
-        out = spans.withColumn(text_col, masked(F.col(text_col), F.col("_spans"))).drop("_spans")
+    text = F.col(text_col)
+    spans = F.array_sort(F.concat(*[_labelled(text, k) for k in (*BASE, *ADDED)]))
+    out = docs.withColumn("_spans", spans).withColumn(text_col, masked(text, F.col("_spans")))
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)

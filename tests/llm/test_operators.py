@@ -275,6 +275,12 @@ def test_masking(spark):
     assert result(find_pii(mask_pii(df)).select("n_email", "n_card").distinct()) == [(0, 0)]
 
 
+def test_masking_of_kinds_inside_another(spark):
+    texts = ["jane+15551234567@x.org", "user@10.0.0.1", "to jane+15551234567@x.org and 10.0.0.1, +49 170 1234567"]
+    got = {r.doc_id: r.text for r in mask_pii(documents(spark, data=[(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(3)] == ["<EMAIL>", "<EMAIL>", "to <EMAIL> and <IP>, <PHONE>"]
+
+
 # ---- op7 ----
 def test_token_counts(spark):
     import public_tokenizers
