@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A candidate: a run of key characters with a digit in it, by possessive repeats so that nothing is tried twice.
-CANDIDATE = r"(?<![A-Za-z0-9_/+=.~-])(?=[A-Za-z_/+=.~-]*+[0-9])[A-Za-z0-9_/+=.~-]{12,}+"
-HINT = r"[A-Za-z0-9_/+=.~-]{12,}+"
 #: Characters of context on either side.
 AROUND = 40
 TREES, DEPTH, SEED = 15, 6, 17
@@ -31,6 +28,16 @@ DICTIONARY = (
     "date", "time", "year", "month", "day", "list", "item", "order", "group", "table", "view", "model", "type", "key", "token", "secret", "password", "pass",
 )
 SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature)"
+_NAMED = SECRET_WORDS[4:]
+_SET = _NAMED + r"[\"'`]?\s*+:?[:=]\s*+"
+_RUN = r"[A-Za-z0-9_/+.~-]{12,}+(?:={1,2}(?![A-Za-z0-9_/+=.~-]))?"
+#: Candidates: a run of key characters behind a secret word and a sign, or any with a digit in it (an inner = ends a
+#: run), by possessive repeats so that nothing is tried twice; and, in a scan of its own, all that is quoted there.
+RUN = rf"(?i:{_SET})[\"'`]?{_RUN}|(?<![A-Za-z0-9_/+.~-])(?=[A-Za-z_/+.~-]*+[0-9]){_RUN}"
+QUOTED = rf"(?i:{_SET})['\"][^'\"]{{12,}}+(?=['\"])"
+#: What stands before the value in a match.
+LEAD = rf"^(?i:{_SET})[\"'`]?(?=[^\"'`])"
+HINT = r"[^'\"\s]{12,}+|" + QUOTED
 PLAIN_WORDS = r"(?i)\b(?:sha(?:1|256)?|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|version|phone|card|order|invoice|isbn|id)\b"
 PLACEHOLDER = r"(?i)(?:example|sample|placeholder|change_?me|your[_-]|dummy|xxxx|test[_-]|fake|0{6,}|1234567|abcdef0)"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|docs?|samples?)(?:[/_.-]|$)"
@@ -74,12 +81,13 @@ def with_features(findings: DataFrame) -> DataFrame:
     return findings.withColumns(cols)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Rows (doc_id, path, start, end, value, before, after) of all candidates, in code points."""
-    text = common.text_or_empty(text_col)
-    gaps, found = F.split(text, F.lit(CANDIDATE), -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    zipped = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(AROUND)).alias("before"), m.alias("value")))
-    after = F.zip_with(zipped, F.slice(gaps, 2, 1 << 30), lambda z, g: F.struct(z["gap"].alias("gap"), z["before"].alias("before"), z["value"].alias("value"), F.left(g, F.lit(AROUND)).alias("after")))
+def _spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value, before, after>> of the pattern's values, without what LEAD takes."""
+    gaps, found = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.transform(found, lambda m: F.struct(F.regexp_replace(m, LEAD, "").alias("v"), m.alias("m")))
+    lead = lambda x: F.left(x["m"], F.length(x["m"]) - F.length(x["v"]))
+    zipped = F.zip_with(gaps, value, lambda g, x: F.struct(F.concat(g, F.coalesce(lead(x), F.lit(""))).alias("g"), x["v"].alias("value")))
+    after = F.zip_with(zipped, F.slice(gaps, 2, 1 << 30), lambda z, g: F.struct(F.length(z["g"]).alias("gap"), F.right(z["g"], F.lit(AROUND)).alias("before"), z["value"].alias("value"), F.left(g, F.lit(AROUND)).alias("after")))
     none = F.array().cast("array<struct<start: int, end: int, value: string, before: string, after: string>>")
 
     def step(acc: Column, x: Column) -> Column:
@@ -88,16 +96,24 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), F.coalesce(x["after"], F.lit("")).alias("after"))
         return F.struct(end.alias("at"), F.when(x["value"].isNotNull(), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(after, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(after, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Rows (doc_id, path, start, end, value, before, after) of all candidates, in code points."""
+    text = common.text_or_empty(text_col)
+    runs, quoted = _spans(text, RUN), _spans(text, QUOTED)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.where(text.rlike(HINT)).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.explode(spans).alias("s"))
+    rows = docs.where(text.rlike(HINT)).select(F.col(id_col).alias("doc_id"), path.alias("path"), runs.alias("runs"), quoted.alias("quoted"))
+    new = F.filter("quoted", lambda q: ~F.exists("runs", lambda r: (r["start"] == q["start"]) & (r["end"] == q["end"])))
+    rows = rows.select("doc_id", "path", F.explode(F.concat("runs", new)).alias("s"))
     return rows.select("doc_id", "path", "s.start", "s.end", "s.value", "s.before", "s.after")
 
 
 def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED) -> DataFrame:
     """Labelled findings (value, before, after, path, label) made from a seed.
 
-    Secrets are random hexadecimal, base-62 or prefixed keys behind secret words; the rest are the
+    Secrets are random hexadecimal, base-62 or prefixed keys and digit-free passphrases behind secret words; the rest are the
     usual false positives: digests and revisions, identifiers, versions, file names, numbers,
     addresses, placeholders and words with digits, some of them behind secret words too.
     """
@@ -109,7 +125,8 @@ def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED
     secret_before = F.concat(pick(1, ("the ", "\n", "set ", "const ", "", "and of ")), pick(2, ("token", "secret", "password", "api_key", "API_KEY", "access_key", "client_secret", "TOKEN", "auth")), pick(3, (' = "', ": ", "=", ' := "', "='")))
     close = pick(4, ('"', '" and', "'", "\n", " of the"))
     plain = pick(5, ("see ", "the ", "commit ", "sha256:", "md5 ", "version ", "order ", "file ", "uuid=", "id: ", "call ", "mail ", "and ", "revision "))
-    kind = F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(16))
+    kind = F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(20))
+    secret = (kind < 8) | kind.isin(16, 17)
     upper = F.pmod(F.xxhash64(F.lit(seed + 3), "id"), F.lit(8)) == 0
     hexes = F.when(upper, F.upper(F.left(d("h"), F.lit(40)))).otherwise(F.left(d("h"), F.lit(40)))
     value = (
@@ -124,12 +141,15 @@ def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED
         .when(kind == 12, pick(11, ("your-api-key-1234567", "example_token_000000", "changeme_secret_1", "xxxxxxxxxxxx1234", "test_password_123", "dummy-key-0000000")))
         .when(kind == 13, F.concat(word(12), word(13), word(14), F.pmod("id", F.lit(1000)).cast("string")))
         .when(kind == 14, F.concat(word(15), F.lit("."), word(16), F.pmod("id", F.lit(100)).cast("string"), F.lit(".example.com")))
+        .when(kind.isin(16, 17), F.concat_ws("-", *[F.translate(F.substr(d("w"), F.lit(1 + 8 * k), F.lit(4 + k)), "0123456789", "ghijklmnop") for k in range(4)]))
+        .when(kind == 18, F.concat_ws(" ", *[word(20 + k) for k in range(6)]))
+        .when(kind == 19, F.concat_ws("-", *[word(30 + k) for k in range(3)], F.lit("service")))
         .otherwise(F.concat_ws("-", F.lit("2024"), F.lpad(F.pmod("id", F.lit(12)).cast("string"), 2, "0"), F.lpad(F.pmod("id", F.lit(28)).cast("string"), 2, "0"), word(17)))
     )
-    label = F.when(kind < 8, 1.0).otherwise(0.0)
-    misled = kind.isin(12, 13) | (F.pmod(F.xxhash64(F.lit(seed + 4), "id"), F.lit(10)) == 0)
-    before = F.when((kind < 8) | (misled & (kind > 11)), secret_before).otherwise(plain)
-    return spark.range(n).select(value.alias("value"), before.alias("before"), F.when(kind < 8, close).otherwise(pick(18, (" ", ".", ", the", "\n", '"'))).alias("after"), pick(19, ("src0", "src/app.py", "config/prod.env", "tests/fixtures/a.json", "docs/readme.md", "")).alias("path"), label.alias("label"))
+    label = F.when(secret, 1.0).otherwise(0.0)
+    misled = kind.isin(12, 13, 18, 19) | (F.pmod(F.xxhash64(F.lit(seed + 4), "id"), F.lit(10)) == 0)
+    before = F.when(secret | (misled & (kind > 11)), secret_before).otherwise(plain)
+    return spark.range(n).select(value.alias("value"), before.alias("before"), F.when(secret, close).otherwise(pick(18, (" ", ".", ", the", "\n", '"'))).alias("after"), pick(19, ("src0", "src/app.py", "config/prod.env", "tests/fixtures/a.json", "docs/readme.md", "")).alias("path"), label.alias("label"))
 
 
 def _rule(lines: list[str], at: int, depth: int, names: tuple[str, ...]) -> tuple[Column, int]:

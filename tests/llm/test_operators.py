@@ -88,6 +88,18 @@ def test_secret_scan(spark):
     assert scan(documents(spark, data=[])).count() == 0
 
 
+def test_secrets_behind_names(spark):
+    hexes = "9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a"
+    texts = {0: ('api_key = "correct-horse-battery-staple"', "correct-horse-battery-staple"), 1: (f"API_KEY={hexes}\n", hexes), 2: (f"see /a?token={hexes}&x=1", hexes), 3: (f"MY_API_KEY={hexes}", hexes), 4: ("client_secret: 'zq vw; kx rt, pl mn'", "zq vw; kx rt, pl mn")}
+    got = defaultdict(list)
+    for r in scan(documents(spark, data=[(i, t, "en", "src") for i, (t, _) in texts.items()])).collect():
+        got[r.doc_id].append((texts[r.doc_id][0][r.start : r.end], r.value_sha256, r.secret))
+    for i, (_, v) in texts.items():
+        digest = hashlib.sha256(v.encode()).hexdigest()
+        assert (v, digest) in [x[:2] for x in got[i]], (i, got[i])
+        assert i == 4 or (v, digest, True) in got[i], (i, got[i])
+
+
 # ---- op3 ----
 def targets(sizes: dict, share: float = 1.5, most: int = 2) -> dict:
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
