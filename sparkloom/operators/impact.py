@@ -9,10 +9,15 @@ from sparkloom.operators import graph
 from sparkloom.plans.storage import staged
 
 
-def cone(edges: DataFrame, target: DataFrame, depth: int = 2, n: int = 40) -> DataFrame:
-    """Dependents of target (id): (id, distance, via), nearest first, n at the most."""
+def dependents(edges: DataFrame, target: DataFrame, depth: int = 2) -> DataFrame:
+    """All dependents of target (id): (id, distance, via)."""
     back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return graph.reach(back, target, depth).where("distance > 0").orderBy("distance", "id").limit(n)
+    return graph.reach(back, target, depth).where("distance > 0")
+
+
+def cone(edges: DataFrame, target: DataFrame, depth: int = 2, n: int = 40) -> DataFrame:
+    """Dependents to show: nearest first, n at the most."""
+    return dependents(edges, target, depth).orderBy("distance", "id").limit(n)
 
 
 def affected(endpoints: DataFrame, cone_: DataFrame, target: DataFrame, n: int = 30) -> DataFrame:

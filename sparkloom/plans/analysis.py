@@ -179,12 +179,12 @@ class Analysis:
         ids = staged(self.nodes.select("id").withColumn("n", F.xxhash64("id")), "ids")
         e = staged(self.edges.join(ids.toDF("source", "a"), "source").join(ids.toDF("target", "b"), "target").select(F.col("a").alias("source"), F.col("b").alias("target")), "edges")
         root = target.join(ids, "id").select(F.col("n").alias("id"))
-        cone = staged(impact.cone(e, root, depth), "cone")
+        cone = staged(impact.dependents(e, root, depth), "cone")
         named = lambda df: df.join(ids.toDF("path", "id"), "id")
         tests = self.nodes.where("is_test").join(ids, "id").select(F.col("n").alias("id"))
         routes = self.apis().select(F.concat_ws(" ", "method", "path").alias("endpoint"), F.xxhash64("file_path").alias("id"))
         return {
-            "dependents": named(cone).select("path", "distance"),
+            "dependents": named(cone.orderBy("distance", "id").limit(40)).select("path", "distance"),
             "tests": named(impact.related_tests(tests, e, cone, root)).select("path", "reason"),
             "endpoints": named(impact.affected(routes, cone, root)).select("endpoint", "path"),
         }

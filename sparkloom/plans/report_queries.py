@@ -26,14 +26,14 @@ def affected_endpoints(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as endpoints of the file with their key that are in the cone."""
     root = _root(spark, d)
     ends = table(spark, d, "supplier").select(F.col("s_name").alias("endpoint"), F.col("s_suppkey").alias("id"))
-    return impact.affected(ends, impact.cone(edges(spark, d), root, 3, 1000), root)
+    return impact.affected(ends, impact.dependents(edges(spark, d), root, 3), root)
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
     """Files of the smallest sizes as tests."""
     root = _root(spark, d)
     tests = nodes(spark, d).where("loc <= 20").select("id")
-    return impact.related_tests(tests, edges(spark, d), impact.cone(edges(spark, d), root, 2, 1000), root)
+    return impact.related_tests(tests, edges(spark, d), impact.dependents(edges(spark, d), root, 2), root)
 
 
 def change_risks(spark: SparkSession, d: str) -> DataFrame:

@@ -40,6 +40,20 @@ def test_impact(analysis):
     assert [r.endpoint for r in got["endpoints"].collect()] == ["GET /v1/users/{id}"]
 
 
+def test_far_dependents_are_whole(spark, monkeypatch):
+    from sparkloom.plans import report_queries as q
+
+    near, far = range(10, 1510), range(5000, 5005)  # 1,500 files one step from the root 1, the tests two steps
+    e = spark.createDataFrame([(i, 1) for i in near] + [(i, 10) for i in far], "source long, target long")
+    root = spark.createDataFrame([(1,)], "id long")
+    monkeypatch.setattr(q, "_root", lambda s, d: root)
+    monkeypatch.setattr(q, "edges", lambda s, d: e)
+    monkeypatch.setattr(q, "nodes", lambda s, d: spark.createDataFrame([(i, 5) for i in far], "id long, loc int"))
+    monkeypatch.setattr(q, "table", lambda s, d, name: spark.createDataFrame([(f"e{i}", i) for i in far], "s_name string, s_suppkey long"))
+    assert {r.id for r in q.related_tests(spark, "").collect()} == set(far)
+    assert {r.id for r in q.affected_endpoints(spark, "").collect()} == set(far)
+
+
 def test_exports(analysis):
     assert "| GET | /v1/users/{id} | app/api/users.py |" in analysis.docs().first().markdown
     whole = json.loads(analysis.bundle().first().bundle)
