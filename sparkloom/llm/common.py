@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,26 +26,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (single-process tests) is a local folder used and set.
+    Only where that setting is absent and the master is local (tests) is a local folder used and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that staged() has written in this process, in order; see cleared().
+_written: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_dir(spark, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many folders staged() has written so far, for cleared()."""
+    return len(_written)
+
+
+def cleared(spark: SparkSession, a: int, b: int) -> None:
+    """Deletes the folders that staged() wrote as number a to b - 1, once no result reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[a:b]:
+        if path:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    _written[a:b] = [""] * (b - a)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches given to Python by bytes as well as rows, for very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -64,6 +87,17 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def digest_of(c: str | Column = "text") -> Column:
+    """SHA-256 of a text's UTF-8 bytes; a null is empty."""
+    return F.unhex(F.sha2(text_or_empty(c).cast("binary"), 256))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """SHA-256 of a row's id and text: rows that agree in both, and no others, share it. A null id is an id of its own."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return F.unhex(F.sha2(F.concat(name, F.lit("\0"), text_or_empty(text_col)).cast("binary"), 256))
+
+
 def rank_all(df: DataFrame, by: list[Column], name: str) -> DataFrame:
     """df with its 0-based position in the order of by, without one task holding all rows.
 
@@ -93,6 +127,17 @@ _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def _wrapping(f):
+    """f with 64-bit overflow, which the hashes want, not reported."""
+
+    @functools.wraps(f)
+    def run(*args):
+        with np.errstate(over="ignore"):
+            return f(*args)
+
+    return run
+
+
 def _powers_of(base: np.uint64, n: int, key: str) -> np.ndarray:
     have = _powers.get(key)
     if have is None or len(have) < n:
@@ -136,8 +181,33 @@ def cuts(at: np.ndarray, most: int = SLICE_BYTES):
         a = min(b, n)
 
 
+def _prefix_sums(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * P**i over all bytes before each of the ascending places, slice after slice."""
+    out, carry, lo = np.zeros(len(places), np.uint64), np.uint64(0), 0
+    for o in range(0, len(raw), SLICE_BYTES):
+        part = raw[o : o + SLICE_BYTES]
+        scale = np.uint64(pow(int(_P), o, 1 << 64))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers_of(_P, len(part), "p"), out=total[1:])
+        hi = int(np.searchsorted(places, o + len(part), "right"))
+        out[lo:hi] = carry + scale * total[places[lo:hi] - o]
+        carry, lo = carry + scale * total[-1], hi
+    return out
+
+
+def _inverse_powers(places: np.ndarray) -> np.ndarray:
+    """P**-i for each of the places i, from two small tables."""
+    high = places // SLICE_BYTES
+    far = np.array([pow(int(_P_INV), k * SLICE_BYTES, 1 << 64) for k in range(int(high[-1]) + 1 if len(high) else 0)], np.uint64)
+    return far[high] * _powers_of(_P_INV, SLICE_BYTES, "i")[places - high * SLICE_BYTES]
+
+
+@_wrapping
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word, and the n+1 word offsets of the texts."""
+    """Hash, first byte and end byte of each word, and the n+1 word offsets of the texts.
+
+    Beside the words' own rows only a few flags a byte are held, however long a text or word is.
+    """
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
@@ -147,12 +217,10 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     edge[at] = True
     begin = word.copy()
     begin[1:] &= ~word[:-1] | edge[1:n]
-    end = word.copy()
+    end = word
     end[:-1] &= ~word[1:] | edge[1:n]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers_of(_P, n, "p"), out=total[1:])
-    h = mix((total[e] - total[s]) * _powers_of(_P_INV, n, "i")[s] + (e - s).astype(np.uint64))
+    h = mix((_prefix_sums(raw, e) - _prefix_sums(raw, s)) * _inverse_powers(s) + (e - s).astype(np.uint64))
     return h, s, e, np.searchsorted(s, at)
 
 
