@@ -20,7 +20,7 @@ from sparkloom.llm.pii import find_pii, mask_pii
 from sparkloom.llm.secret_scan import scan
 from sparkloom.llm.substrings import substring_report, without_repeats
 from sparkloom.llm.token_counts import token_counts
-from sparkloom.llm.warc_archive import archive_report, read_records
+from sparkloom.llm.warc_archive import archive_report, read_records, read_report
 
 from .fixtures import documents, result, rows, words
 
@@ -438,3 +438,33 @@ def test_archive(spark):
     records = [bytes(r.record) for r in read_records(spark, path).collect()]
     assert len(records) == len(pages) and all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
     assert archive_report(df.limit(0)).count() == 0
+
+
+def test_archive_of_foreign_addresses(spark):
+    pages = [(i, u, h) for i, (u, h) in enumerate([("http://a/é", "<p>é</p>"), ("http://例え.jp/日本語?𝒳=1", "x" * 200), ("http://例え.jp/é", "x" * 200), ("http://a/e", "")])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    from sparkloom.llm import common
+
+    path = common.work_dir(spark, "warc")
+    assert [(r.page_id, r.payload_bytes, r.refers_to) for r in archive_report(df, path).orderBy("page_id").collect()] == [(0, 9, None), (1, 200, None), (2, 200, 1), (3, 0, None)]
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0].decode() for r in read_records(spark, path).collect()]
+    assert all(re.search(r"(?m)^WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r?$", h) for h in heads)
+    assert sorted(u for h in heads for u in re.findall(r"WARC-Target-URI: ([^\r\n]*)", h)) == sorted(u for _, u, _ in pages)
+
+
+def test_archive_record_ids_and_damage(spark):
+    from sparkloom.llm import common
+
+    path, bad = common.work_dir(spark, "warc"), common.work_dir(spark, "warc")
+    df = spark.createDataFrame([(1, "u", "a" * 150), (1, "u", "a" * 150), (2, "u", "a" * 150), (3, "v", "b")], "page_id long, url string, html string")
+    archive_report(df, path).count()
+    records = [bytes(r.record).decode() for r in read_records(spark, path).collect()]
+    ids = [re.search("WARC-Record-ID: (.*)\r", r)[1] for r in records]
+    assert len(set(ids)) == 4 and {x for r in records for x in re.findall("WARC-Refers-To: (.*)\r", r)} <= set(ids)
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{bad}/headers")
+    spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit("!").cast("binary"))).write.parquet(f"{bad}/payloads")
+    with pytest.raises(Exception, match="damaged record"):
+        read_report(spark, bad).collect()
+    spark.read.parquet(f"{path}/payloads").where("octet_length(payload) < 9").write.mode("overwrite").parquet(f"{bad}/payloads")
+    with pytest.raises(Exception, match="no right payload"):
+        read_report(spark, bad).where("record_type = 'revisit'").collect()
