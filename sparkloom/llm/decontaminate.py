@@ -40,40 +40,41 @@ def _seeded(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFra
     return out.select(*keep, "at", F.explode(F.array(*[seed(m) for m in masks])).alias("seed")).where("seed is not null")
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (row_key, items, best_share): of each distinct document that holds a benchmark passage.
 
-    items: the ids of the items found, ascending. row_key: hash of id and text, see leak_report.
+    items: the ids of the items found, ascending. row_key: digest of id and text, see common.row_key.
     Seeds of both sides are joined; each hit fixes an alignment of item and document, and each
     alignment is then verified token by token. A candidate that only shares a hash is rejected there.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), token_hashes(F.col(item_text)).alias("h"))
-    items = common.staged(items.where(F.size("h") >= SHORT).distinct(), "leak-items")
-    rows = docs.select(_row_key(id_col, text_col).alias("row_key"), token_hashes(F.col(text_col)).alias("h"))
+    items = common.staged(items.where(F.size("h") >= SHORT).distinct().withColumn("n", F.size("h")), "leak-items")
+    rows = docs.select(common.row_key(id_col, text_col).alias("row_key"), token_hashes(F.col(text_col)).alias("h"))
 
     least = [*MASKS, 1 << 30]
-    has = {n: F.size("h").between(n, least[k + 1] - 1) for k, n in enumerate(MASKS)}
-    seeds = reduce(DataFrame.unionByName, [_seeded(items.where(has[n]), ["item"], MASKS[n]) for n in MASKS])
+    has = {n: F.col("n").between(n, least[k + 1] - 1) for k, n in enumerate(MASKS)}
+    seeds = reduce(DataFrame.unionByName, [_seeded(items.where(has[n]), ["item", "n"], MASKS[n]) for n in MASKS])
     seeds = common.staged(seeds.withColumnRenamed("at", "item_at"), "leak-seeds")
     some = items.agg(*[F.max(x) for x in has.values()]).first()
     masks = tuple(dict.fromkeys(m for n, x in zip(MASKS, some) if x for m in MASKS[n])) or MASKS[SHORT]
     found = _seeded(rows, ["row_key"], masks).join(common.sized(seeds, 80), "seed")
-    found = found.select("row_key", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+    found = found.select("row_key", "item", "n", (F.col("at") - F.col("item_at")).alias("shift"))
     found = common.staged(found.distinct(), "leak-hits")
-    note = found.groupBy("row_key").agg(F.collect_list(F.struct("item", "shift")).alias("hits"))  # bounded by document and items
-    note = common.sized(common.staged(note, "leak-notes"), 400)
-    texts = docs.select(_row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("t")).join(note, "row_key")
+    note = found.groupBy("row_key").agg(F.collect_list(F.struct("item", "n", "shift")).alias("hits"))  # bounded by document and items
+    note = common.staged(note, "leak-notes")
+    note = common.sized(note, 100, F.size("hits"), 24)
+    texts = docs.select(common.row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("t")).join(note, "row_key")
     pairs = texts.select("row_key", token_hashes(F.col("t")).alias("dh"), "hits")
-    pairs = pairs.select("row_key", "dh", F.explode("hits").alias("x")).select("row_key", "dh", "x.item", "x.shift")
-    pairs = pairs.join(common.sized(items, 2000), "item")
-    a, b = F.greatest(F.lit(0), F.col("shift")), F.greatest(F.lit(0), -F.col("shift"))
-    n = F.least(F.size("dh") - a, F.size("h") - b)
-    same = F.zip_with(F.slice("dh", a + 1, n), F.slice("h", b + 1, n), lambda x, y: F.when(x == y, 1).otherwise(0))
-    pairs = common.staged(pairs.where(n >= F.least(F.lit(WINDOW), F.size("h"))).select("row_key", "item", F.least(F.lit(WINDOW), F.size("h")).alias("w"), same.alias("same")), "leak-aligned")
+    # of a document only the stretch that lies beside the item goes on with a hit
+    pairs = pairs.select("row_key", "dh", F.explode("hits").alias("x")).select(
+        "row_key", "x.item", "x.shift", F.slice("dh", F.greatest(F.lit(0), F.col("x.shift")) + 1, F.col("x.n") + F.least(F.lit(0), F.col("x.shift"))).alias("dh")
+    )
+    pairs = pairs.join(common.sized(items, 60, F.col("n"), 8), "item")
+    b = F.greatest(F.lit(0), -F.col("shift"))
+    m = F.least(F.size("dh"), F.col("n") - b)
+    same = F.zip_with(F.slice("dh", F.lit(1), m), F.slice("h", b + 1, m), lambda x, y: F.when(x == y, 1).otherwise(0))
+    wide = F.least(F.lit(WINDOW), F.col("n"))
+    pairs = common.staged(pairs.where(m >= wide).select("row_key", "item", wide.alias("w"), same.alias("same")), "leak-aligned")
     windows = F.transform(F.sequence(F.lit(0), F.size("same") - F.col("w")), lambda i: F.aggregate(F.slice("same", i + 1, F.col("w")), F.lit(0), lambda s, x: s + x))
     share = pairs.select("row_key", "item", (F.array_max(windows) / F.col("w")).alias("share")).where(F.col("share") >= SHARE)
     return share.groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("share").alias("best_share"))
@@ -87,8 +88,8 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     ids are ordinary ids. Extra columns are ignored.
     """
     leaks = common.staged(find_leaks(docs, benchmark, id_col, text_col, **kw), "leaks")
-    ids = docs.select(F.col(id_col).alias("doc_id"), _row_key(id_col, text_col).alias("row_key"))
-    out = ids.join(common.sized(leaks, 200), "row_key", "left")
+    ids = docs.select(F.col(id_col).alias("doc_id"), common.row_key(id_col, text_col).alias("row_key"))
+    out = ids.join(common.sized(leaks, 120, F.size("items"), 8), "row_key", "left")
     return out.select(
         "doc_id",
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
@@ -101,4 +102,4 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs without the documents that hold a benchmark passage."""
     leaks = common.staged(find_leaks(docs, benchmark, id_col, text_col, **kw).select(F.col("row_key").alias("_leak")), "leaks")
-    return docs.withColumn("_leak", _row_key(id_col, text_col)).join(common.sized(leaks, 60), "_leak", "left_anti").select(*docs.columns)
+    return docs.withColumn("_leak", common.row_key(id_col, text_col)).join(common.sized(leaks, 80), "_leak", "left_anti").select(*docs.columns)

@@ -372,6 +372,34 @@ def test_leaks_of_5_to_12_tokens(spark):
     assert leaks_of_length(spark, range(5, 13)) == ([], 0)
 
 
+def aligned(doc: list[str], item: list[str]) -> float:
+    """The best share of equal tokens over all alignments and windows, by trying every one."""
+    w, best = min(13, len(item)), 0.0
+    for shift in range(-len(item), len(doc)):
+        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+        same = [item[i] == doc[i + shift] for i in range(lo, hi)]
+        best = max([best, *(sum(same[i : i + w]) / w for i in range(len(same) - w + 1))])
+    return best
+
+
+def test_leaks_as_by_every_alignment(spark):
+    rng = random.Random(23)
+    items = [(n, words(rng, n, 12)) for n in range(3, 41)] + [(100, ["same"] * 20)]  # few words, so many chance overlaps
+    data, want = [(0, " ".join(["same"] * 3000), "en", "s"), (1, "same " * 12, "en", "s")], {}
+    for i in range(2, 120):
+        w, (n, p) = words(rng, rng.randrange(1, 60), 12), rng.choice(items)
+        p = p[rng.randrange(max(1, n // 3)) :]
+        p = [x if rng.random() > rng.choice([0, 0.1, 0.2]) else "zzz" for x in p]
+        w[len(w) // 2 : len(w) // 2] = p
+        data.append((i, " ".join(w), "en", "s"))
+    for i, t, *_ in data:
+        hits = {n: aligned(t.split()[:60], p) for n, p in items if len(p) >= SHORT}
+        want[i] = (",".join(str(n) for n, x in hits.items() if x >= SHARE), round(max([x for x in hits.values() if x >= SHARE], default=0.0), 6))
+    bench = spark.createDataFrame([(n, " ".join(p)) for n, p in items], "item_id long, text string")
+    got = {r.doc_id: (r["items"], round(r.best_share, 6)) for r in leak_report(documents(spark, data=data), bench).collect()}
+    assert got == want and sum(bool(x) for x, _ in want.values()) > 30
+
+
 def test_masks_hit_every_allowed_substitution():
     for n in range(SHORT, 40):
         w, masks = min(n, WINDOW), MASKS[max(k for k in MASKS if k <= n)]
