@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,33 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.unhex(F.sha2(F.concat(name, F.lit("\0"), text_or_empty(text_col)).cast("binary"), 256))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """array<int>: for each of the ints in values, op (+ or greatest, from 0) over those before it.
+
+    Values are taken in blocks of about the root of their number, first the blocks' totals, then within
+    each, since an array that grows by one value at a time is copied as often: n ** 1.5, not n ** 2.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        w = F.ceil(F.sqrt(F.size(v))).cast("int")
+        cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["v"]) - 1) / x["w"]).cast("int")), lambda k: F.slice(x["v"], k * x["w"] + 1, x["w"]))
+        blocks = let(F.struct(v.alias("v"), w.alias("w")), cut)
+        total = lambda b: F.aggregate(b, F.lit(0), op)
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, within(F.transform(bs, total), F.lit(0)), within)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
+
 def rank_all(df: DataFrame, by: list[Column], name: str) -> DataFrame:
     """df with its 0-based position in the order of by, without one task holding all rows.
 
