@@ -13,6 +13,8 @@ from . import common
 BUCKETS = 1 << 15
 #: Labelled documents of each language that train the text model, at most about this many.
 TRAIN_DOCS = 1500
+#: Labels that are modelled at most (128 KB each in every task); more of them are an error, none is dropped.
+MOST_LABELS = 2000
 #: Weight of a trigram's log likelihood (neighbouring trigrams overlap, so each is worth a third).
 TEMPER = 1 / 3
 #: Strength of the prior above: of the suffix for a host, of all documents for a suffix.
@@ -34,6 +36,7 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     keep = np.ones(len(f), bool)
     keep[1:] = (f[1:] != 0x20) | (f[:-1] != 0x20)
+    keep[at[:-1][at[:-1] < len(f)]] = True  # a text's first place does not hang on the text before
     f, doc = f[keep].astype(np.uint32), doc[keep]
     if len(f) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -43,6 +46,11 @@ def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[ok], doc[:-2][ok]
 
 
+def named_language(c: Column) -> Column:
+    """A label without case and blanks around it; none if nothing is left."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+
 def _counter(batches):
     for b in batches:
         lang = np.asarray(b.column(0).to_pylist(), object)
@@ -62,17 +70,21 @@ def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, train_doc
     Every label is modelled, however rare, so that whether a language exists does not hang on the others.
     Without labelled documents there is only the unknown language.
     """
-    named = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r["count"] for r in named.groupBy(label_col).count().collect()}  # a row a language
+    label = named_language(F.col(label_col))
+    named = docs.where(label.isNotNull() & F.col(text_col).isNotNull())
+    sizes = {r["lang"]: r["count"] for r in named.groupBy(label.alias("lang")).count().limit(MOST_LABELS + 1).collect()}  # a row a language
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{label_col} has over {MOST_LABELS} labels; map them to languages first")
     langs = sorted(sizes)
     table = np.zeros((BUCKETS, len(langs) + 1))
     if langs:
         u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-        share = F.coalesce(*[F.when(F.col(label_col) == x, F.lit(min(1.0, train_docs / sizes[x]))) for x in langs], F.lit(0.0))
-        sample = named.where(u < share).select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+        share = F.coalesce(*[F.when(label == x, F.lit(min(1.0, train_docs / sizes[x]))) for x in langs], F.lit(0.0))
+        sample = named.where(u < share).select(label.alias("lang"), F.col(text_col).alias("text"))
         counts = sample.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        for r in counts.toLocalIterator():  # at most BUCKETS rows a language
-            table[r["bucket"], langs.index(r["lang"])] = r["n"]
+        got = counts.toArrow()  # columns, at most BUCKETS rows a language
+        place = {x: i for i, x in enumerate(langs)}
+        table[got["bucket"].to_numpy(), np.array([place[x] for x in got["lang"].to_pylist()], np.int64)] = got["n"].to_numpy()
         seen = max(1, int((table.sum(1) > 0).sum()))
         for k in range(len(langs)):
             table[:, k] = np.log((1 - UNSEEN) * table[:, k] / max(1.0, table[:, k].sum()) + UNSEEN / seen)
@@ -122,7 +134,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     log P(l | all) = TEMPER * log P(text | l) + log P(declared | l) + log P(l | host) + const, where
 
-    - P(text | l) is a trigram model trained on labelled documents (label_col, or else declared_col),
+    - P(text | l) is a trigram model trained on labelled documents (label_col, or else declared_col:
+      a wrong declaration then weighs one in the model's some TRAIN_DOCS documents, beside its own evidence),
     - P(declared | l) comes from counts of declared languages by language of the text,
     - P(l | host) is the host's mean of text posteriors, smoothed by its suffix's, and that by all.
 
@@ -137,13 +150,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     suffix = F.col(suffix_col) if suffix_col else suffix_of(host)
     src = docs.select(
-        row_key(id_col, text_col).alias("row_key"),
-        F.coalesce(F.lower(F.col(declared_col)), F.lit("")).alias("declared"),
+        common.row_key(id_col, text_col).alias("row_key"),
+        F.coalesce(named_language(F.col(declared_col)), F.lit("")).alias("declared"),
         F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce(suffix, F.lit("")).alias("suffix"),
         common.text_or_empty(text_col).alias("text"),
     )
-    scored = src.mapInArrow(_scorer(table), "row_key long, declared string, host string, suffix string, ll array<double>, grams long")
+    scored = src.mapInArrow(_scorer(table), "row_key binary, declared string, host string, suffix string, ll array<double>, grams long")
     prior = [np.log((1 - UNKNOWN_PRIOR) / max(1, k - 1))] * (k - 1) + [np.log(UNKNOWN_PRIOR)]
     flat = F.array(*[F.lit(float(x)) for x in prior])
     text_part = F.transform("ll", lambda v: v * F.lit(TEMPER))
@@ -185,27 +198,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     return out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("confidence") >= threshold))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), common.text_or_empty(text_col))
-
-
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Rows (doc_id, language, confidence, kept), one per input row.
 
     Null or blank texts, and those without letters, are "und" with confidence 0. Null declared
-    languages and hosts add no evidence of their own. Ties go to the language first by name.
+    languages and hosts add no evidence of their own; case and blanks around a label do not count.
+    Ties go to the language first by name.
     Extra columns are ignored; an empty table gives no rows.
     """
     found = common.staged(identify(docs, id_col, text_col, **kw).groupBy("row_key").agg(F.first("language").alias("language"), F.first("confidence").alias("confidence"), F.first("kept").alias("kept")), "lang-found")
-    ids = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"))
-    return ids.join(common.sized(found, 80), "row_key").drop("row_key")
+    ids = docs.select(F.col(id_col).alias("doc_id"), common.row_key(id_col, text_col).alias("row_key"))
+    return ids.join(common.sized(found, 110), "row_key").drop("row_key")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs without those whose language was not identified."""
     gone = identify(docs, id_col, text_col, **kw).where("not kept").select(F.col("row_key").alias("_gone")).distinct()
-    gone = common.sized(common.staged(gone, "lang-gone"), 60)
-    return docs.withColumn("_gone", row_key(id_col, text_col)).join(gone, "_gone", "left_anti").select(*docs.columns)
+    gone = common.sized(common.staged(gone, "lang-gone"), 80)
+    return docs.withColumn("_gone", common.row_key(id_col, text_col)).join(gone, "_gone", "left_anti").select(*docs.columns)
 
 
 def page_languages(pages: DataFrame) -> DataFrame:

@@ -175,6 +175,88 @@ def test_rare_language_is_found(spark):
     assert sum(by[i].language == x for i, _, x, _ in data[:600]) >= 588
 
 
+def fused(data, train=1500):
+    """Language and posterior of each row by plain loops over the fusion rule."""
+    label = lambda x: (x or "").strip(" ").lower()
+    suffix = lambda h: (re.search(r"\.([A-Za-z][A-Za-z0-9-]*)\.?(?::\d+)?$", h) or ["", ""])[1].lower()
+
+    def grams(t):
+        f = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in (t or "").encode())
+        f = re.sub(b" +", b" ", f)
+        ok = [f[i : i + 3] for i in range(len(f) - 2) if b" " not in (f[i : i + 1], f[i + 1 : i + 2]) or (f[i] == 32) != (f[i + 1] == 32)]
+        return Counter((int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for g in ok if not (g[1] == 32 and g[2] == 32))
+
+    langs = sorted({label(x) for _, t, x, _ in data if label(x) and t is not None})
+    docs = [grams(t) for _, t, _, _ in data]
+    model = {x: Counter() for x in langs}
+    for g, (_, t, x, _) in zip(docs, data):
+        if label(x) and t is not None:
+            model[label(x)].update(g)
+    seen = max(1, len(set().union(*model.values())))
+    prob = {x: lambda b, m=m, n=max(1, sum(m.values())): 0.8 * m[b] / n + 0.2 / seen for x, m in model.items()}
+    prob["und"] = lambda b: 1 / seen
+    names = [*langs, "und"]
+    import math
+
+    def soft(w):
+        e = [math.exp(x - max(w)) for x in w]
+        return [x / sum(e) for x in e]
+
+    text = [[sum(n * math.log(prob[x](b)) for b, n in g.items()) / 3 for x in names] for g in docs]
+    flat = [math.log(0.999 / max(1, len(langs)))] * len(langs) + [math.log(0.001)]
+    post = [soft([a + b for a, b in zip(lt, flat)]) for lt in text]
+    known = [i for i, g in enumerate(docs) if g]
+    whole = [sum(post[i][k] for i in known) + (0.001 if x == "und" else 1) for k, x in enumerate(names)]
+    whole = [x / sum(whole) for x in whole]
+    total = sum(sum(post[i]) for i in known)
+
+    def mean(rows, above, strength):
+        return [(sum(post[i][k] for i in rows) + strength * above[k]) / (sum(sum(post[i]) for i in rows) + strength) for k in range(len(names))]
+
+    out = []
+    for i, (_, t, x, h) in enumerate(data):
+        h = h or ""
+        if not docs[i]:
+            out.append(("und", 0.0))
+            continue
+        near = mean([j for j in known if suffix(data[j][3] or "") == suffix(h)], whole, 20)
+        prior = mean([j for j in known if (data[j][3] or "") == h], near, 20)
+        said = [0.0] * len(names)
+        if label(x):
+            same = [j for j in known if label(data[j][2]) == label(x)]
+            spoken = [j for j in known if label(data[j][2])]
+            share = sum(sum(post[j]) for j in same) / max(1, sum(sum(post[j]) for j in spoken))
+            said = [math.log((sum(post[j][k] for j in same) + share) / (sum(post[j][k] for j in spoken) + 1)) for k in range(len(names))]
+        p = soft([a + math.log(b) + c for a, b, c in zip(text[i], prior, said)])
+        out.append((names[p.index(max(p))], max(p)))
+    return out
+
+
+def test_language_as_by_plain_loops(spark):
+    rng = random.Random(12)
+    data = [(i, t[: rng.randrange(2, 30)] if i % 3 else t, rng.choice([x, x, x.upper(), f" {x} ", None, "xx"]), rng.choice([h, f"{x}.com", "host:80", None])) for i, t, x, h in labelled(6, 90)]
+    data += [(300, "12 the of 99", "en", "x.de"), (301, None, "fr", "x.fr"), (302, "", None, None), (303, " é", "fr", "a.b.FR."), (304, "zq", None, None)]
+    got = {r.doc_id: (r.language, r.confidence) for r in language_report(documents(spark, True, data)).collect()}
+    for (i, *_), (x, p) in zip(data, fused(data)):
+        assert got[i][1] == pytest.approx(p, abs=2e-3) and (got[i][0] == x or p < 0.5), (i, got[i], x, p)
+
+
+def test_language_ties_and_single_label(spark):
+    same = [(i, "one text of all that was", x, None) for i, x in enumerate(["bb", "aa", "BB", "AA", None])]
+    got = {r.doc_id: r for r in language_report(documents(spark, data=same)).collect()}
+    assert got[4].language == "aa" and got[4].confidence == pytest.approx(0.5, abs=1e-3)
+    assert {r.language for r in language_report(documents(spark, data=[(1, "all of one", "en", "h"), (2, "all of one", None, None)])).collect()} == {"en"}
+    assert {r.language for r in language_report(documents(spark, data=[(1, "no label at all", None, "h")])).collect()} == {"und"}
+
+
+def test_language_of_half_a_percent(spark):
+    rng = random.Random(5)
+    vocabulary = "ja on ei se että oli hän mutta kun niin kuin myös jos sen olla joka minä ovat tai mitä vain sitä nyt".split()
+    data = labelled(8, 1000) + [(5000 + i, " ".join(rng.choice(vocabulary) for _ in range(20)), "fi", f"f{i}.example.fi") for i in range(5)]
+    by = {r.doc_id: r for r in language_report(documents(spark, data=data)).collect()}
+    assert all(by[5000 + i].language == "fi" and by[5000 + i].kept for i in range(5))
+
+
 def test_language_of_pages(spark):
     page = [(i, f"https://{s}/a", f'<html lang="{x}"><script>var the="of"</script><p>{t}</p></html>') for i, t, x, s in labelled(2)]
     page += [(900, None, None), (901, "no address", "<p>"), (None, "", "")]
