@@ -5,8 +5,6 @@ Everything is built-in column functions, so spans are found inside the scan's ow
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +33,7 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
 #: What a text must hold for a kind to be possible; spares most texts the pattern.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-"}
-#: Scores: of the pattern with its check, and of a context word in the CONTEXT_CHARS before the span.
+#: Scores: of the pattern with its check, and of a context word in the CONTEXT_CHARS on either side.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
     "email": r"\b(?:e-?mail|mail|contact|write)\b",
@@ -83,50 +81,90 @@ def _valid(kind: str, m: Column) -> Column:
     return m.isNotNull()
 
 
-def _score(kind: str, before: Column) -> Column:
-    near = F.lower(F.right(before, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
+def _score(kind: str, before: Column, after: Column) -> Column:
+    near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
     return F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
 
 
-def _zipped(text: Column, kind: str, f: Callable[[Column, Column], Column]) -> Column:
-    """f(text before a match since the one before it, match) in order; at last f(rest, null)."""
-    p = F.lit(PATTERNS[kind])
-    if kind == "iban":  # the line feed keeps split() from dropping an empty first part
-        return F.zip_with(F.transform(F.split(F.concat(F.lit("\n"), text), p, -1), lambda g, i: F.when(i == 0, F.substr(g, F.lit(2))).otherwise(g)), F.regexp_extract_all(text, p, F.lit(1)), f)
-    return F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)), f)
+def _found(text: Column, kind: str) -> Column:
+    """array<struct<gap, len, ok, score>> of a kind's matches; gap: characters since the match before it.
+
+    Context is taken from the text on either side, up to the neighbouring matches, which have theirs.
+    """
+    p, wide = F.lit(PATTERNS[kind]), F.lit(CONTEXT_CHARS)
+    if kind == "iban":  # matches have no width, so a gap begins with the number before; the line feed keeps split() from dropping an empty first part
+        gaps = F.transform(F.split(F.concat(F.lit("\n"), text), p, -1), lambda g, i: F.when(i == 0, F.substr(g, F.lit(2))).otherwise(g))
+        found = F.regexp_extract_all(text, p, F.lit(1))
+    else:
+        gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0))
+    none = F.lit("")
+
+    def one(x: Column, m: Column, i: Column) -> Column:
+        gap, after = F.get(x["gaps"], i), F.coalesce(F.get(x["gaps"], i + 1), F.lit(""))
+        before = gap
+        if kind == "iban":  # the gap after begins with the match itself, that before with the number before
+            last = F.when(i > 0, F.length(F.get(x["found"], i - 1))).otherwise(F.lit(0))
+            before, after = F.substr(gap, last + 1), F.substr(after, F.length(m) + 1, wide)
+        score = _score(kind, F.right(before, wide), F.left(after, wide))
+        return F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), F.coalesce(_valid(kind, m), F.lit(False)).alias("ok"), score.alias("score"))
+
+    return common.let(F.struct(gaps.alias("gaps"), found.alias("found")), lambda x: F.transform(x["found"], lambda m, i: one(x, m, i)))
+
+
+def _apart(spans: Column) -> Column:
+    """spans, in order of their starts, without those that begin within an earlier one that stays."""
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = x["start"] < acc["last"]
+        return F.struct(F.when(inside, acc["last"]).otherwise(x["end"]).alias("last"), F.when(inside, F.concat(acc["gone"], F.array(x["start"]))).otherwise(acc["gone"]).alias("gone"))
+
+    none = F.array().cast("array<int>")  # two numbers that overlap and both pass their check are rare
+    gone = F.aggregate(spans, F.struct(F.lit(0).alias("last"), none.alias("gone")), step, lambda acc: acc["gone"])
+    return common.let(gone, lambda g: F.when(F.size(g) == 0, spans).otherwise(F.filter(spans, lambda s: ~F.array_contains(g, s["start"]))))
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """array<struct<start, end, score>> of a kind's confirmed spans, in code points, end exclusive."""
-    kept = lambda g, m: _valid(kind, m) & ((_score(kind, g) >= THRESHOLD) if kind in ADDED else F.lit(True))
-    parts = _zipped(text, kind, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), F.coalesce(kept(g, m), F.lit(False)).alias("ok"), _score(kind, g).alias("score")))
+    step = (lambda x: x["gap"]) if kind == "iban" else (lambda x: x["gap"] + x["len"])
     none = F.array().cast("array<struct<start: int, end: int, score: double>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["score"].alias("score")))
-        ok = x["ok"] & (start >= acc["last"])
-        return F.struct((start if kind == "iban" else end).alias("at"), F.when(ok, end).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        at = common.running(F.transform(parts, step), lambda a, b: a + b)
+        spans = F.zip_with(parts, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["len"]).alias("end"), x["score"].alias("score"), x["ok"].alias("ok")))
+        kept = F.filter(spans, lambda s: s["ok"] & (s["score"] >= THRESHOLD) if kind in ADDED else s["ok"])
+        kept = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+        return common.let(kept, _apart) if kind == "iban" else kept
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("last"), none.alias("out")), step, lambda acc: acc["out"])
+    found = common.let(_found(text, kind), lambda parts: F.when(F.exists(parts, lambda x: x["ok"]), placed(parts)).otherwise(none))
     return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
 
+#: Characters of a piece that masked() cuts a text into, so that no place is counted from the text's start.
+PIECE = 1024
+
+
 def masked(text: Column, spans: Column) -> Column:
     """text with each of spans, array<struct<start, back, kind>> in order, replaced by its kind in angle brackets.
 
     back: minus the end. Spans that overlap are one, of the kind of the first.
     """
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        apart = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], -x["back"]).alias("at"), F.when(apart, F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    n = F.lit(PIECE)
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / n).cast("int")
+        held = F.slice(pieces, first + 1, F.floor(b / n).cast("int") - first + 1)
+        return F.substr(F.array_join(held, ""), a - first * n + 1, b - a)
+
+    def done(x: Column) -> Column:
+        label = lambda s: F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        fresh = F.zip_with(x["spans"], x["reach"], lambda s, r: F.when(s["start"] >= r, F.concat(part(x["pieces"], r, s["start"]), label(s))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(x["spans"], lambda s: -s["back"]))
+        return F.concat(F.array_join(fresh, ""), part(x["pieces"], last, x["length"]))
+
+    reach = common.running(F.transform(spans, lambda s: -s["back"]), lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    held = F.struct(spans.alias("spans"), reach.alias("reach"), pieces.alias("pieces"), F.length(text).alias("length"))
+    return F.when(F.size(spans) > 0, common.let(held, done)).otherwise(text)
 
 
 def _labelled(text: Column, kind: str) -> Column:

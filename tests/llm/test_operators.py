@@ -358,6 +358,38 @@ def test_iban_before_capitals_and_digits(spark):
     assert not [r for r in mask_pii(df).collect() if r.text.count("<IBAN>") != len(want[r.doc_id]) or "3704" in r.text or "WEST1" in r.text]
 
 
+def test_context_on_either_side(spark):
+    texts = ["123-45-6789 is my social security number", "order 123-45-6789 ssn 321-54-9876 987-65-4321", "the number 123-45-6789 of nothing", "DE89370400440532013000 is the bank account", "DE89370400440532013000"]
+    got = {r.doc_id: r for r in find_pii(documents(spark, data=[(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].spans.count("ssn") for i in range(3)] == [1, 2, 0]  # a number of 900 and more is none
+    assert got[3].scores == [1.0] and got[4].scores == [0.8]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
+def test_running(spark, n):
+    from sparkloom.llm import common
+
+    rng = random.Random(n)
+    v = [rng.randrange(100) for _ in range(n)]
+    df = spark.createDataFrame([(v,)], "v array<int>")
+    got = df.select(common.running(F.col("v"), lambda a, b: a + b).alias("s"), common.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m"), common.running(F.slice("v", 1, 0), lambda a, b: a + b).alias("e")).first()
+    assert got.s == [sum(v[:i]) for i in range(n)] and got.m == [max([0, *v[:i]]) for i in range(n)] and got.e == []
+
+
+def test_very_many_spans(spark):
+    import time
+
+    ip, bank = [f"10.0.{i % 256}.{i % 250}" for i in range(100_000)], " ".join(["DE89370400440532013000"] * 20_000)
+    data = [(0, " é ".join(ip), "en", "s"), (1, "y" * 5_000_000, "en", "s"), (2, bank, "en", "s"), (3, "1" * 5_000_000, "en", "s"), (4, "a" * 3_000_000 + "@", "en", "s")]
+    start = time.time()
+    df = documents(spark, data=data)
+    got = {r.doc_id: r for r in find_pii(df).collect()}
+    text = {r.doc_id: r.text for r in mask_pii(df).collect()}
+    assert time.time() - start < 120
+    assert got[0].n_ip == 100_000 and got[0].spans.endswith(f"ip:{len(data[0][1]) - len(ip[-1])}:{len(data[0][1])}") and got[2].spans.count("iban") == 20_000
+    assert text[0] == " é ".join(["<IP>"] * 100_000) and text[2] == " ".join(["<IBAN>"] * 20_000) and text[1] == data[1][1] and text[4] == data[4][1]
+
+
 def test_masking(spark):
     data = [(i, t, "en", "s") for i, t in enumerate(PERSONAL)]
     df = documents(spark, True, data)
