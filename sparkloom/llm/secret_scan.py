@@ -47,7 +47,8 @@ RUN = rf"(?i:{_SET})[\"'`]?{_RUN}|{_WITH_DIGIT}"
 QUOTED = rf"(?i:{_SET})['\"][^'\"]{{12,}}+(?=['\"])"
 #: What stands before the value in a match.
 LEAD = rf"^(?i:{_SET})[\"'`]?(?=[^\"'`])"
-HINT = r"[^'\"\s]{12,}+|" + QUOTED
+#: What every text with a candidate holds; most texts are spared the other patterns.
+HINT = rf"(?=[A-Ca-cPpSsTt])(?i:{_SET})|{_WITH_DIGIT}"
 PLAIN_WORDS = r"(?i)\b(?:sha(?:1|256)?|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|version|phone|card|order|invoice|isbn|id)\b"
 PLACEHOLDER = r"(?i)(?:example|sample|placeholder|change_?me|your[_-]|dummy|xxxx|test[_-]|fake|0{6,}|1234567|abcdef0)"
 LOGIN = r"(?i)(?:(?:^|\s)-u\s*[\"']?[\w.@-]{1,32}:|://[\w.%+-]{1,32}:|bearer\s+|basic\s+|-p\s*|--pass(?:word)?[= ]|authorization:\s*)$"
