@@ -107,7 +107,8 @@ def write_store(docs: DataFrame, path: str) -> None:
     copies = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = common.staged(copies.select("key", "first_id"), "media-copies")
     places = lists.groupBy("key").agg(F.first("digests").alias("digests")).select("key", F.posexplode("digests").alias("pos", "digest"))
-    owner = places.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    owner = places.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "owner")
+    owner = common.sized(common.staged(owner, "media-owners"), 200)  # a plain table, so that a hot chunk's rows may be split
     mark = F.when((F.col("owner.key") == F.col("key")) & (F.col("owner.pos") == F.col("pos")), F.col("pos") + 1).otherwise(-F.col("pos") - 1)
     held = places.join(owner, "digest").groupBy("key").agg(F.collect_list(mark.cast("int")).alias("held"))  # at most one entry a chunk of one payload
     notes = held.join(copies.withColumn("copied", F.lit(True)), "key", "full")
@@ -175,6 +176,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     names = ["key", "digests", "lengths", "apart", "own", "payload_bytes", "payload_digest"]
     near = store.where("size(apart) = 0").select(*names).mapInArrow(_read, MEDIA)
     chunks = store.select(F.explode("shared").alias("s")).select("s.digest", "s.bytes").dropDuplicates(["digest"])
+    chunks = common.staged(chunks, "media-chunks")  # a plain table, so that a hot chunk's wants may be split
     wants = store.where("size(apart) > 0").select("key", F.explode(F.array_distinct(F.transform("apart", lambda i: F.get("digests", i)))).alias("digest"))
     fetched = wants.distinct().join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     far = store.where("size(apart) > 0").select(*names).join(fetched, "key").mapInArrow(_read, MEDIA)
