@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from . import common
 
 CACHE_SCHEMA = "tokenizer binary, content binary, n_tokens long"
-#: Entries of the segment memo that a Python worker keeps before it starts anew.
-MEMO = 500_000
+#: Characters in all segments of the memo that a Python worker keeps before it starts anew, and of a
+#: segment that is kept: longer ones, as in texts without spaces, rarely come again.
+MEMO_CHARS, MEMO_SEGMENT = 4_000_000, 64
 
 
 def _model_path(model: str) -> str:
@@ -52,6 +53,7 @@ class Counter:
         self.split = plain and same and not any(re.search("[^▁]▁", p) for p in pieces)
         # a lone space, as at a text's end, is a segment without characters, which the library would skip
         self.memo: dict[str, int] = {"": len(self.sp.encode("a ")) - len(self.sp.encode("a"))}
+        self.held = 0
         self.segments = re.compile(" ( *[^ ]*)").findall
 
     def whole(self, texts: list[str]) -> list[int]:
@@ -66,14 +68,18 @@ class Counter:
                 out.append(0)
                 continue
             parts = self.segments(" " + t.replace("▁", " "))
+            if long := [x for x in parts if len(x) > MEMO_SEGMENT]:
+                parts = [x for x in parts if len(x) <= MEMO_SEGMENT]
+            n = sum(sum(self.whole(long[i : i + 1000])) for i in range(0, len(long), 1000))
             if miss := [x for x in set(parts) if x not in memo]:
-                if len(memo) > MEMO:
+                if self.held > MEMO_CHARS:
                     space = memo[""]
                     memo.clear()
-                    memo[""] = space
+                    memo[""], self.held = space, 0
                     miss = [x for x in set(parts) if x]
                 memo.update(zip(miss, self.whole(miss), strict=True))
-            out.append(sum(map(memo.__getitem__, parts)))
+                self.held += sum(map(len, miss))
+            out.append(n + sum(map(memo.__getitem__, parts)))
         return out
 
 

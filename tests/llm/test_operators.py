@@ -500,6 +500,26 @@ def test_token_counts(spark):
     assert token_counts(documents(spark, data=[]), MODEL).count() == 0
 
 
+def test_token_memo_is_bounded(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    from sparkloom.llm import token_counts as module
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+    monkeypatch.setattr(module, "MEMO_CHARS", 2000)
+    c = module.Counter(MODEL)
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 300, 10**6)) for _ in range(30)] + ["".join(words(rng, 20_000, 10**6)) + "  x", "日本語" * 2000 + " " + "a" * 65]
+    assert c.counts(texts) == [len(x) for x in sp.encode(texts)]
+    assert max(map(len, c.memo)) <= 64 and sum(map(len, c.memo)) < 2000 + 300 * 9
+
+
+def test_tokens_of_long_texts_without_spaces(spark):
+    got = token_counts(documents(spark, data=[(1, "ab" * 1_000_000, "en", "s"), (2, "x y " * 500_000, "en", "s")]), MODEL).collect()
+    assert {r.doc_id: r.n_bytes for r in got} == {1: 2_000_000, 2: 2_000_000} and all(r.over_limit for r in got)
+
+
 # ---- op8 ----
 def test_leaks(spark):
     rng = random.Random(9)
