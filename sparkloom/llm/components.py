@@ -12,13 +12,15 @@ def _large(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # a plain table, here and below, so that the edges of a hot node may be split
+    least = common.sized(common.staged(least, "stars-least"), 100)
     return both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them. Edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    near = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = common.staged(edges.groupBy("a").agg(F.min("b").alias("m")), "stars-least")
+    near = edges.join(common.sized(least, 100), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -37,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.staged(now, "stars")
     before = _mark(now)
     while True:
-        now = common.staged(_small(_large(now)), "stars")
+        now = common.staged(_small(common.staged(_large(now), "stars")), "stars")
         after = _mark(now)
         if after == before:
             return now

@@ -188,14 +188,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.small_batches(spark)
     bands, rows = choose_bands(threshold, recall, MAX_HASHES)
     src = docs.select(F.col(id_col).alias("doc_id"), common.text_or_empty(text_col).alias("text"))
-    src = src.withColumn("content", F.unhex(F.md5(F.col("text").cast("binary"))))
+    src = src.withColumn("content", common.digest_of("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     signed = src.select("doc_id", "content", "text").mapInArrow(_signer(n, bands, rows, seed), f"doc_id {kind}, content binary, key binary, size long, bands array<long>")
     signed = common.staged(signed, "jaccard-signed")
     texts = signed.select("doc_id", "content", "key")
 
-    places = signed.select("key", F.explode("bands").alias("band")).distinct()
-    least = places.groupBy("band").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    places = signed.select("key", F.explode("bands").alias("band"))
+    least = places.groupBy("band").agg(F.min("key").alias("b"), F.max("key").alias("last")).where("b < last").select("band", "b")
+    least = common.sized(common.staged(least, "jaccard-bands"), 80)  # a plain table, so that a hot band's rows may be split
     ties = places.join(least, "band").where("key != b").select(F.col("key").alias("a"), "b").distinct()
     groups = components(ties)
     groups = common.staged(groups.unionByName(groups.select(F.col("b").alias("a"), "b").distinct()).toDF("key", "comp"), "jaccard-groups")
@@ -205,7 +206,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = want.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     want = want.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     want = common.staged(want.select("comp", "key", "copies", "blocks", "block", F.col("one.doc_id").alias("one_id"), F.col("one.content").alias("content")), "jaccard-blocks")
-    held = src.join(common.sized(want, 200), "content").where("doc_id <=> one_id").select("comp", "key", "copies", "blocks", "block", "text")
+    held = src.join(common.sized(want, 220), "content").where("doc_id <=> one_id").select("comp", "key", "copies", "blocks", "block", "text")
     sets = held.mapInArrow(_set_maker(n), "comp binary, key binary, copies long, blocks int, block int, grams binary")
     # block x meets every block y: as first side where x <= y, as second where y < x
     meets = sets.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -251,7 +252,7 @@ def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # what happens to a row whose class has several; a row without a note is alone in its class
     notes = many.groupBy(F.col("content").alias("_content"), F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     notes = common.sized(common.staged(notes, "jaccard-notes"), 120)
-    marked = docs.withColumn("_digest", F.unhex(F.md5(common.text_or_empty(text_col).cast("binary"))))
+    marked = docs.withColumn("_digest", common.digest_of(text_col))
     marked = marked.join(notes, (F.col("_digest") == F.col("_content")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     once = marked.where("_kept is null or (_kept and _rows = 1)").select(*docs.columns)
     again = marked.where("_kept and _rows > 1").dropDuplicates(["_content", "_id"]).select(*docs.columns)

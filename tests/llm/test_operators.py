@@ -646,6 +646,13 @@ def test_jaccard(spark, monkeypatch, block):
     assert jaccard_report(documents(spark, data=[])).count() == 0 and keep_one_of_class(documents(spark, data=[])).count() == 0
 
 
+def test_jaccard_of_very_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(words(rng, 300_000, 5000))
+    data = [(1, long, "en", "s"), (2, long + " and more", "en", "s"), (3, "word " * 800_000, "en", "s"), (4, "word " * 700_000, "en", "s"), (5, "y" * 4_000_000, "en", "s")]
+    assert result(jaccard_report(documents(spark, data=data))) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)]
+
+
 def test_bands_reach_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = choose_bands(t, 0.99, 256)
