@@ -1,18 +1,26 @@
 """Removal of long repeated word sequences with prefix-partitioned suffix trees.
 
-Only suffixes that start at anchors are kept: the places of the least hash of GRAM words within any
-window (winnowing), so every repeated window holds an anchor at the same offset. The first GRAM
-words of an anchored suffix are the prefix that deals suffixes to groups; anchors of one document
-only are dropped before. A group's suffixes, and the words before them read backwards, are each
-sorted into a tree (an order and the depths common to neighbours); a window that starts `back`
-words before the anchor is one node of either tree, and internal nodes that together are WINDOW
-words deep are the repeats. Groups over GROUP_ROWS suffixes get longer prefixes, up to the whole
-window, where a node is one sequence and only its least document matters: a plain minimum.
+Only suffixes that start at anchors are kept: the places of the least hash of half a window's words
+within any window (winnowing, the first of equals), so every window has one anchor, at the same offset
+wherever it repeats, and an anchor stands for the windows that chose it. The first
+words of a suffix are the prefix that deals suffixes to groups; prefixes of one document only are
+dropped. Prefixes have variable length: where over GROUP_ROWS suffixes share one, each of them becomes
+several with a quarter of the slack (window less prefix), which start where it did or some words before
+it, and again, up to the whole window; together they stand for the same windows. A group then fits
+one task. Its suffixes, and the words before them read backwards, are each sorted into a
+tree (an order and the depths common to neighbours); a window that starts `back` words before the
+prefix is one node of either tree, and internal nodes that together are a window deep are repeats.
+Consecutive repeated windows of a document form its maximal repeats. With whole windows as prefixes a
+group is one node, of which only the least document matters, so it may have any size.
+
+Groups and windows are told apart by hashes of words: prefixes of half a window by 64 bits, after
+which all other words are compared one by one by 64 bits each; longer prefixes by 128 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 50
-#: Suffixes of a group that one task may hold (about 0.5 kB each).
+#: Suffixes that share a prefix, in one task (about 0.5 kB each); more of them get longer prefixes.
 GROUP_ROWS = 40_000
-_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -36,51 +43,82 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(out[: len(x) - w + 1], out[w - m : w - m + len(x) - w + 1]) if w > m else out
 
 
-def anchors_of(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors among the words h of the texts that at delimits, and their prefix hashes."""
+#: Words, or anchors, of one text that are handled at once.
+PART_WORDS, PART_ANCHORS = 200_000, 10_000
+
+
+def slacks(window: int) -> list[int]:
+    """Window less prefix, from the shortest prefixes to the whole window."""
+    out = [window - window // 2]
+    while out[-1]:
+        out.append(out[-1] // 4)
+    return out
+
+
+def _picked(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     gram = window // 2
     n, w = len(h), window - gram + 1
+    none = np.zeros(0, np.int64)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none.astype(np.uint64), none, none
+    g = common.window_hashes(h, gram) & ~np.uint64(1)
+    pick = _sliding(np.arange(n - gram + 1), w, lambda x, y: np.where(g[x] <= g[y], x, y))
+    start = np.arange(n - window + 1)
     end = np.repeat(at[1:], np.diff(at))
-    place = np.arange(n)
-    g = np.full(n, _MOST)
-    g[: n - gram + 1] = common.window_hashes(h, gram) & ~np.uint64(1)  # below _MOST
-    g[place + gram > end] = _MOST
-    least = np.zeros(n + w - 1, np.uint64)
-    least[w - 1 : n] = _sliding(g, w, np.minimum)
-    least[w - 1 :][place + window > end] = 0
-    # a place is an anchor if it is the least of a window that holds it
-    chosen = np.flatnonzero((_sliding(least, w, np.maximum) == g) & (g != _MOST))
-    return chosen, g[chosen]
+    start = start[start + window <= end[: len(start)]]  # windows within one text
+    pick = pick[start]
+    first = np.flatnonzero(np.diff(pick, prepend=-1))
+    last = np.append(first[1:], len(pick))[: len(first)] - 1
+    p = pick[first]
+    return p, g[p], start[first], start[last]
+
+
+def picked(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors among the words h of the texts that at delimits, their prefix hashes, and the first and last start of the windows that chose each."""
+    if len(h) <= PART_WORDS + window:
+        return _picked(h, at, window)
+    found = []
+    for o in range(0, len(h), PART_WORDS):  # parts overlap, so that every window lies in one; an anchor may have some windows in either
+        part = h[o : o + PART_WORDS + window - 1]
+        p, g, a, b = _picked(part, np.clip(at - o, 0, len(part)), window)
+        found.append((p + o, g, a + o, b + o))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def anchors_of(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors and their prefix hashes."""
+    p, g, _, _ = picked(h, at, window)
+    p, first = np.unique(p, return_index=True)
+    return p, g[first]
+
+
+def _rows_of(batch: pa.RecordBatch):
+    """(slice of the batch, word hashes, word offsets of its texts) for a batch whose third column is the text."""
+    raw, at = common.utf8_of(batch.column(2))
+    for x, y in common.cuts(at):
+        h, _, _, w = common.words_of(raw[at[x] : at[y]], at[x : y + 1] - at[x])
+        yield batch.slice(x, y - x), h, w
 
 
 def _anchor_rows(window: int):
     def run(batches):
         for b in batches:
-            raw, at = common.utf8_of(b.column(2))
-            rid, order = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for x, y in common.cuts(at):
-                h, _, _, w = common.words_of(raw[at[x] : at[y]], at[x : y + 1] - at[x])
-                p, g = anchors_of(h, w, window)
+            for rows, h, w in _rows_of(b):
+                p, g, a, z = picked(h, w, window)
                 doc = np.searchsorted(w, p, "right") - 1
-                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(rid[x:y][doc]), pa.array(order[x:y][doc]), pa.array((p - w[doc]).astype(np.int32))], ["prefix", "rid", "ord", "pos"])
+                d, base = pa.array(doc), window - window // 2 + 1
+                place = ((p - w[doc]) * base + (p - z)) * base + (p - a)
+                yield pa.record_batch([pa.array(g.view(np.int64)), rows.column(0).take(d), rows.column(1).take(d), pa.array(place)], ["prefix", "rid", "ord", "place"])
 
     return run
 
 
-SUFFIX = "prefix long, rid long, ord long, pos int, back int, ahead int, left binary, right binary"
-WHOLE = "node binary, rid long, ord long, start int"
-
-
-def _contexts(h: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int):
-    """For anchors p in texts [lo, hi): words before (nearest first) and after the prefix, and how many there are."""
-    gram, side = window // 2, window - window // 2
-    k = np.arange(side)
-    back, ahead = np.minimum(p - lo, side), np.minimum(hi - p - gram, side)
-    left = np.where(k < back[:, None], h[np.maximum(p[:, None] - 1 - k, 0)], 0)
-    right = np.where(k < ahead[:, None], h[np.minimum(p[:, None] + gram + k, len(h) - 1)], 0)
-    return back, ahead, left, right
+def _asked(lists: pa.Array, w: np.ndarray, part: int):
+    """(text, place) of the places asked for, `part` at a time."""
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    for i in range(0, len(doc), part):
+        yield doc[i : i + part], np.asarray(flat)[i : i + part].astype(np.int64)
 
 
 def _fixed(x: np.ndarray) -> pa.Array:
@@ -88,40 +126,69 @@ def _fixed(x: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * 8), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
 
 
-def _suffix_rows(window: int, long_prefix: bool):
-    """Suffixes at the places asked for; with long_prefix, each window that holds such a place, under its whole hash."""
-    gram = window // 2
+SUFFIX = "prefix binary, hot boolean, rid binary, ord long, pos int, back int, ahead int, left binary, right binary"
+
+
+def _suffix_rows(window: int):
+    """The suffixes at the places asked for (place, least and most words before of its windows, and 1 if its prefix is hot, in one number), with the words that its windows have before and after their prefixes.
+
+    A window that starts b words before its anchor is among the suffix's if b <= back and side - b <= ahead.
+    """
+    gram, side = window // 2, window - window // 2
+    base, k = side + 1, np.arange(side)
 
     def run(batches):
         for b in batches:
-            raw, at = common.utf8_of(b.column(2))
-            rid, order, asked = np.asarray(b.column(0)), np.asarray(b.column(1)), b.column(3).to_pylist()
-            for x, y in common.cuts(at):
-                h, _, _, w = common.words_of(raw[at[x] : at[y]], at[x : y + 1] - at[x])
-                doc = np.repeat(np.arange(y - x), [len(asked[x + i]) for i in range(y - x)])
-                p = w[doc] + np.array([q for i in range(y - x) for q in asked[x + i]], np.int64)
-                lo, hi = w[doc], w[doc + 1]
-                ok = p + gram <= hi
-                p, doc, lo, hi = p[ok], doc[ok], lo[ok], hi[ok]
-                if not len(p):
-                    continue
-                if not long_prefix:
-                    g = (common.window_hashes(h, gram) & ~np.uint64(1))[p].view(np.int64)
-                    back, ahead, left, right = _contexts(h, p, lo, hi, window)
-                    yield pa.record_batch([pa.array(g), pa.array(rid[x:y][doc]), pa.array(order[x:y][doc]), pa.array((p - lo).astype(np.int32)), pa.array(back.astype(np.int32)), pa.array(ahead.astype(np.int32)), _fixed(left), _fixed(right)], [c.split()[0] for c in SUFFIX.split(", ")])
-                    continue
-                starts = (p[:, None] - np.arange(window - gram + 1)).ravel()
-                d = np.repeat(doc, window - gram + 1)
-                s = np.unique(starts[(starts >= w[d]) & (starts + window <= w[d + 1])])
-                d = np.searchsorted(w, s, "right") - 1
-                full = common.window_hashes(h, window)[s]
-                check = common.window_hashes(h ^ np.uint64(0x5851F42D4C957F2D), window)[s]
-                node = _fixed(np.stack([full, check], 1))
-                yield pa.record_batch([node, pa.array(rid[x:y][d]), pa.array(order[x:y][d]), pa.array((s - w[d]).astype(np.int32))], [c.split()[0] for c in WHOLE.split(", ")])
+            for rows, h, w in _rows_of(b):
+                g = common.window_hashes(h, gram) & ~np.uint64(1)
+                for doc, q in _asked(rows.column(3), w, PART_ANCHORS):
+                    hot, q = pa.array(q % 2 == 1), q // 2
+                    pos, ahead, back, d = q // base // base, side - q // base % base, q % base, pa.array(doc)
+                    p = w[doc] + pos
+                    left = np.where(k < back[:, None], h[np.maximum(p[:, None] - 1 - k, 0)], 0)
+                    right = np.where(k < ahead[:, None], h[np.minimum(p[:, None] + gram + k, len(h) - 1)], 0)
+                    yield pa.record_batch([_fixed(g[p][:, None]), hot, rows.column(0).take(d), rows.column(1).take(d), pa.array(pos.astype(np.int32)), pa.array(back.astype(np.int32)), pa.array(ahead.astype(np.int32)), _fixed(left), _fixed(right)], [c.split()[0] for c in SUFFIX.split(", ")])
+
+    return run
+
+
+LONGER = SUFFIX.replace(" hot boolean,", "")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.uint64)
+
+
+def _longer_rows(slack: int, less: int):
+    """The suffixes of slack `less` that stand for the windows of each suffix of slack `slack`: its prefix and some words on either side."""
+    steps = [(min(j, slack - less), max(0, j - slack + less)) for j in range(0, slack + 1, less + 1)]  # words before, and windows that the step before has
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(batch.schema.get_field_index(n)) for n in ("prefix", "rid", "ord", "pos", "back", "ahead", "left", "right")}
+            prefix, left, right = (_matrix(col[n]) for n in ("prefix", "left", "right"))
+            pos, back, ahead = (np.asarray(col[n]) for n in ("pos", "back", "ahead"))
+            for a, had in steps if batch.num_rows else ():
+                b = slack - less - a
+                behind, before = np.minimum(back - a, less), np.minimum(ahead - b, less - had)
+                i = np.flatnonzero((back >= a) & (ahead >= b) & (behind + before >= less))
+                words = common.mix(np.concatenate([np.full((len(i), 1), a, np.uint64), prefix[i], left[i, :a], right[i, :b]], 1))
+                odd = np.random.default_rng([slack, a]).integers(0, 1 << 63, (words.shape[1], 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+                key = common.mix(np.stack([(words * odd[:, c]).sum(1, dtype=np.uint64) for c in range(2)], 1))
+                take = pa.array(i)
+                yield pa.record_batch(
+                    [_fixed(key), col["rid"].take(take), col["ord"].take(take), pa.array((pos[i] - a).astype(np.int32)), pa.array(behind[i].astype(np.int32)), pa.array(before[i].astype(np.int32)), _words(left[i, a : a + less]), _words(right[i, b : b + less])],
+                    [c.split()[0] for c in LONGER.split(", ")],
+                )
 
     return run
 
 
+def _words(x: np.ndarray) -> pa.Array:
+    return _fixed(x) if x.shape[1] else pa.array([b""] * len(x), pa.binary())
+
+
 def _tree(group: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Node of each row at each depth 0..k of the trees over the rows' words, one tree for each group.
 
@@ -158,37 +225,52 @@ def repeats(prefix: np.ndarray, order: np.ndarray, back: np.ndarray, ahead: np.n
 
 
 #: runs: first and last start of each run of consecutive windows, flat.
-SPANS = "rid long, runs array<int>"
+SPANS = "rid binary, ord long, runs array<int>"
+
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct (doc, start) in order: the doc, and first and last start, of each run of consecutive starts."""
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], np.stack([start[first], start[last]], 1)
 
-def _subtrees(window: int):
-    """Suffixes sorted by prefix in; runs of repeated windows of each document out."""
+
+def _spans(rid: pa.Array, order: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """A SPANS row for each row of (rid, order) that has repeated windows, which start at `start`."""
+    key = rid.dictionary_encode()
+    _, name, doc = np.unique(np.stack([np.asarray(key.indices, np.int64), order], 1), axis=0, return_index=True, return_inverse=True)
+    both = np.unique(np.stack([doc.ravel()[row], start], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+    ids, pairs = _runs(both[:, 0], both[:, 1])
+    new = np.flatnonzero(np.diff(ids, prepend=-1))
+    at = np.append(new, len(ids)).astype(np.int32) * 2
+    one = pa.array(name[ids[new]])
+    return pa.record_batch([rid.take(one), pa.array(order).take(one), pa.ListArray.from_arrays(pa.array(at), pa.array(pairs.ravel().astype(np.int32)))], ["rid", "ord", "runs"])
+
+
+def _subtrees():
+    """Suffixes of one slack sorted by prefix in; the maximal runs of repeated windows of each document out."""
 
     def close(parts):
-        t = pa.Table.from_batches(parts)
-        prefix, rid, order, pos, back, ahead = (np.asarray(t.column(i).combine_chunks()) for i in range(6))
-        side = window - window // 2
-        left, right = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(-1, side) for i in (6, 7))
-        row, b = np.nonzero(repeats(prefix, order, back, ahead, left, right))
-        both = np.unique(np.stack([rid[row], pos[row] - b], 1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-        fresh = np.ones(len(both), bool)
-        fresh[1:] = (both[1:, 0] != both[:-1, 0]) | (both[1:, 1] != both[:-1, 1] + 1)
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(both))[: len(first)] - 1
-        ids, pairs = both[first, 0], np.stack([both[first, 1], both[last, 1]], 1)
-        doc = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else first
-        at = np.append(doc, len(ids)).astype(np.int32) * 2
-        return pa.record_batch([pa.array(ids[doc], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(pairs.ravel().astype(np.int32)))], ["rid", "runs"])
+        t = pa.Table.from_batches(parts).combine_chunks()
+        col = lambda n: t.column(n).combine_chunks()
+        prefix = np.asarray(col("prefix").dictionary_encode().indices)
+        order, pos, back, ahead = (np.asarray(col(c)) for c in ("ord", "pos", "back", "ahead"))
+        row, b = np.nonzero(repeats(prefix, order, back, ahead, _matrix(col("left")), _matrix(col("right"))))
+        return _spans(col("rid"), order, row, pos[row] - b)
 
     def run(batches):
         held, rows = [], 0
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.asarray(b.column(0))
+            key = b.column(0)
             # whole groups only: what shares the last prefix waits for the next batch
-            last = int(np.searchsorted(key, key[-1], "left"))
-            if rows + last >= 20_000 and (last or key[0] != np.asarray(held[-1].column(0))[-1]):
+            last = b.num_rows - 1
+            while last and key[last - 1] == key[b.num_rows - 1]:
+                last -= 1
+            if rows + last >= 20_000 and (last or key[0] != held[-1].column(0)[held[-1].num_rows - 1]):
                 yield close([*held, b.slice(0, last)] if last else held)
                 held, rows = [], 0
                 b = b.slice(last)
@@ -200,6 +282,14 @@ def _subtrees(window: int):
     return run
 
 
+def _whole(batches):
+    """Repeated windows (rid, ord, starts) in, their runs out."""
+    for b in batches:
+        lists = b.column(2)
+        row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+        yield _spans(b.column(0), np.asarray(b.column(1)), row, np.asarray(lists.flatten()).astype(np.int64))
+
+
 def covered(n: int, runs: np.ndarray, window: int) -> np.ndarray:
     """Of n words, which lie in a window that starts in one of the runs."""
     edge = np.zeros(n + 1, np.int64)
@@ -238,40 +328,93 @@ def _order(c: Column) -> Column:
 
 
 def repeated_runs(src: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """Rows (rid, runs): of the windows that an earlier document of src (rid, ord, text) has too."""
-    anchors = common.staged(src.select("rid", "ord", "text").mapInArrow(_anchor_rows(window), "prefix long, rid long, ord long, pos int"), "sub-anchors")
-    shared = anchors.groupBy("prefix").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("prefix", "n")
-    shared = common.sized(common.staged(shared, "sub-shared"), 60)  # a plain table, so that a hot prefix's rows may be split
-    asked = anchors.join(shared, "prefix").groupBy("rid").agg(
-        F.collect_list(F.when(F.col("n") <= group_rows, F.col("pos"))).alias("few"),
-        F.collect_list(F.when(F.col("n") > group_rows, F.col("pos"))).alias("many"),
-    )  # at most one entry an anchor of one document
-    asked = common.staged(asked, "sub-asked")
-    held = src.join(common.sized(asked, 120, F.size("few") + F.size("many"), 4), "rid")
-    few = held.where("size(few) > 0").select("rid", "ord", "text", "few").mapInArrow(_suffix_rows(window, False), SUFFIX)
-    trees = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), SPANS)
-    many = common.staged(held.where("size(many) > 0").select("rid", "ord", "text", "many").mapInArrow(_suffix_rows(window, True), WHOLE), "sub-whole")
-    first = many.groupBy("node").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("node", "first")
-    long = many.join(first, "node").where("ord > first").groupBy("rid").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("runs"))
-    return trees.unionByName(long).groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    """Rows (rid, ord, runs): of the windows that an earlier document of src (rid, ord, text) has too.
 
-
-def _without_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, group_rows: int, with_text: bool) -> DataFrame:
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    A row of src is known by ord (its id) and rid (128 bits of its text's digest) together.
+    """
+    anchors = common.staged(src.select("rid", "ord", "text").mapInArrow(_anchor_rows(window), "prefix long, rid binary, ord long, place long"), "sub-anchors")
+    shared = _shared(anchors)
+    hot = F.when(F.col("n") > group_rows, 1).otherwise(0)
+    asked = anchors.join(common.sized(shared, 60), "prefix").groupBy("rid", "ord").agg(F.collect_list(F.col("place") * 2 + hot).alias("places"))  # at most one entry an anchor of one document
+    asked = common.staged(asked, "sub-asked")
+    rows = src.join(common.sized(asked, 140, F.size("places"), 8), ["rid", "ord"]).select("rid", "ord", "text", "places")
+    rows = common.staged(rows.mapInArrow(_suffix_rows(window), SUFFIX), "sub-suffixes")
+    few, many, out, steps = rows.where("not hot").drop("hot"), rows.where("hot").drop("hot"), [], slacks(window)
+    any_hot = bool(shared.where(F.col("n") > group_rows).limit(1).count())
+    for slack, less in zip(steps, [*steps[1:], 0]):
+        out.append(few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(), SPANS))
+        if not any_hot:
+            break
+        longer = common.staged(many.mapInArrow(_longer_rows(slack, less), LONGER), "sub-longer")
+        shared = _shared(longer)
+        mine = longer.join(common.sized(shared, 90), "prefix")
+        if not less:  # whole windows
+            whole = mine.where("ord > first").groupBy("rid", "ord").agg(F.collect_list("pos").alias("starts"))  # a few entries a word of one document
+            out.append(whole.mapInArrow(_whole, SPANS))
+            break
+        few, many = (mine.where(x).select(longer.columns) for x in (F.col("n") <= group_rows, F.col("n") > group_rows))
+        any_hot = bool(shared.where(F.col("n") > group_rows).limit(1).count())
+    return reduce(DataFrame.unionByName, out).groupBy("rid", "ord").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _shared(suffixes: DataFrame) -> DataFrame:
+    """Rows (prefix, first, n): prefixes of several documents; a plain table, so that a hot prefix's rows may be split."""
+    per = suffixes.groupBy("prefix").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"))
+    return common.staged(per.where("first < last").select("prefix", "first", "n"), "sub-shared")
+
+
+def _searched(docs: DataFrame, id_col: str, text_col: str, window: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, ord, text, content, rid, first), and the repeated runs (rid, ord, runs) of those that are no later copies."""
+    common.small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), _order(F.col(id_col)).alias("ord"), common.text_or_empty(text_col).alias("text"))
-    src = src.withColumn("content", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("rid", F.xxhash64("content", "ord"))
+    src = src.withColumn("content", common.digest_of("text")).withColumn("rid", F.expr("substring(content, 1, 16)"))
     copies = src.groupBy("content").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", "first")
     copies = common.sized(common.staged(copies, "sub-copies"), 120)
     # every window of a later copy starts in the first one too, so one of equal texts is searched
     noted = src.join(copies, "content", "left")
     runs = common.staged(repeated_runs(noted.where("first is null or ord = first"), window, group_rows), "sub-runs")
-    runs = common.sized(runs, 80, F.size("runs"), 4)
-    out = noted.join(runs, "rid", "left").select("doc_id", "text", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copied"), "runs")
+    return noted, common.sized(runs, 100, F.size("runs"), 4)
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, group_rows: int, with_text: bool) -> DataFrame:
+    noted, runs = _searched(docs, id_col, text_col, window, group_rows)
+    out = noted.join(runs, ["rid", "ord"], "left").select("doc_id", "text", F.coalesce(F.col("ord") > F.col("first"), F.lit(False)).alias("copied"), "runs")
     kind = docs.schema[id_col].dataType.simpleString()
     return out.mapInArrow(_keeper(window, with_text), f"doc_id {kind}, n_words long, n_removed long, {'kept' if with_text else 'kept_sha256'} string")
 
 
+def _merged(window: int):
+    """Maximal repeats from each document's runs, which may touch or overlap."""
+
+    def run(batches):
+        for b in batches:
+            ids, first, size = [], [], []
+            for i, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                last = None
+                for x, y in sorted(zip(runs[::2], runs[1::2], strict=True)):
+                    if last is not None and x <= last + 1:
+                        last = max(last, y)
+                        size[-1] = last + window - first[-1]
+                    else:
+                        last = y
+                        ids.append(i)
+                        first.append(x)
+                        size.append(y + window - x)
+            yield pa.record_batch([pa.array(ids, b.schema.field(0).type), pa.array(first, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "first_word", "n_words"])
+
+    return run
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (doc_id, first_word, n_words): the longest stretches whose windows all start in documents of smaller id too.
+
+    Later copies of a whole text have no rows, as all of their windows repeat; other odd cases as in substring_report.
+    """
+    noted, runs = _searched(docs, id_col, text_col, window, group_rows)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return noted.join(runs, ["rid", "ord"]).where("first is null or ord = first").select("doc_id", "runs").mapInArrow(_merged(window), f"doc_id {kind}, first_word long, n_words long")
+
+
 def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256), one per input row.
 

@@ -366,6 +366,45 @@ def test_substrings(spark, window, group_rows):
         assert substring_report(documents(spark, data=[])).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [40_000, 3])
+def test_maximal_repeats(spark, group_rows):
+    data, first, want = rows(), {}, []
+    order = lambda i: (i is None, i or 0)
+    texts = [(i, WORD.findall(t or "")) for i, t, *_ in data]
+    for i, w in texts:
+        for a in range(len(w) - 49):
+            k = tuple(w[a : a + 50])
+            first[k] = min(first.get(k, (True, 1 << 62)), order(i))
+    least = {}
+    for i, t, *_ in data:
+        least[t or ""] = min(least.get(t or "", (True, 1 << 62)), order(i))
+    for (i, w), (_, t, *_) in zip(texts, data):
+        hit = [a for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < order(i)] if order(i) == least[t or ""] else []
+        for a in hit:
+            if a - 1 not in hit:
+                want.append((i, a, next(b for b in range(a, len(w)) if b + 1 not in hit) + 50 - a))
+    assert result(substrings.maximal_repeats(documents(spark, True), group_rows=group_rows)) == sorted(want, key=repr) and want
+
+
+def test_substrings_of_one_word_repeated(spark):
+    import time
+
+    data = [(i, "word " * n, "en", "s") for i, n in enumerate([1_000_000, 60, 1_000_000 - 1, 30])]
+    start = time.time()
+    got = sorted(tuple(r)[:3] for r in substring_report(documents(spark, data=data)).collect())
+    assert got == [(0, 1_000_000, 0), (1, 60, 60), (2, 999_999, 999_999), (3, 30, 0)] and time.time() - start < 200
+
+
+def test_anchors_in_parts(monkeypatch):
+    import numpy as np
+
+    h = np.random.default_rng(2).integers(0, 50, 5000).astype(np.uint64) << np.uint64(20)
+    at = np.array([0, 700, 700, 4100, 5000])
+    whole = substrings.anchors_of(h, at, 50)
+    monkeypatch.setattr(substrings, "PART_WORDS", 300)
+    assert all((a == b).all() for a, b in zip(whole, substrings.anchors_of(h, at, 50)))
+
+
 def test_anchors_lie_in_every_window():
     import numpy as np
 
