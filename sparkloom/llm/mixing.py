@@ -110,7 +110,12 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
 def mix_rows(docs: DataFrame, **kw) -> DataFrame:
     """The documents that the mix takes, each once, with the number of its repetitions as `repeats`.
 
-    Texts are not copied; a reader repeats a row as often as that.
+    Texts are not copied; a reader repeats a row as often as that, or see repeated.
     """
     m = mixed(docs, **kw).where("_repeats > 0")
     return m.select(*[c for c in docs.columns if c != "repeats"], F.col("_repeats").cast("int").alias("repeats"))
+
+
+def repeated(mix: DataFrame) -> DataFrame:
+    """The rows of mix_rows as often as the mix takes them, numbered from 1 by `repeat` in place of `repeats`."""
+    return mix.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("repeats")

@@ -14,7 +14,7 @@ from sparkloom.llm import media_chunks, near_duplicates, secret_scan, substrings
 from sparkloom.llm.decontaminate import MASKS, SHARE, SHORT, WINDOW, drop_leaks, leak_report
 from sparkloom.llm.language import keep_identified, language_report, page_languages
 from sparkloom.llm.media_chunks import chunk_ends, media_report, padded
-from sparkloom.llm.mixing import mix_report, mix_rows
+from sparkloom.llm.mixing import mix_report, mix_rows, repeated
 from sparkloom.llm.near_duplicates import choose_bands, jaccard_report, keep_one_of_class
 from sparkloom.llm.pii import find_pii, mask_pii
 from sparkloom.llm.secret_scan import scan
@@ -207,6 +207,8 @@ def test_mixing(spark):
     assert mix_report(documents(spark, data=[])).count() == 0
     mixed = mix_rows(documents(spark)).collect()
     assert {r.repeats for r in mixed} <= {1, 2}
+    every = repeated(mix_rows(documents(spark))).collect()
+    assert len(every) == sum(r.repeats for r in mixed) and Counter(r.source for r in every for _ in WORD.findall(r.text or "")) == Counter({k: n for k, n in taken.items() if n})
 
 
 # ---- op4 ----
