@@ -54,7 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage wrote and read goes once its result is written.
+
+    Only the last stage's tables stay, as the result still reads them.
+    """
+    docs, first = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = stage(spark, docs, sf_dir)
+        last = common.written()
+        docs = common.staged(done, f"pipeline-{name}")
+        common.cleared(spark, first, last)
+        first = last
     return STAGES[-1][1](spark, docs, sf_dir)
