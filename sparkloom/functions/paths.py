@@ -20,7 +20,7 @@ LAYERS = {
     "repository": ("repositories", "repository", "repos", "repo", "dao", "crud", "store", "stores", "models", "model", "entities", "entity", "schema", "schemas", "db", "database", "persistence", "migrations"),
     "middleware": ("middleware", "middlewares", "guards", "interceptors", "filters", "security", "auth", "permissions"),
     "ui": ("components", "component", "ui", "widgets", "screens", "layouts", "hooks", "styles", "templates", "static", "assets"),
-    "config": ("config", "configs", "settings", "env", "constants", "infra", "infrastructure", "deploy", "deployment", "github", "docker", "scripts", "ci"),
+    "config": ("config", "configs", "settings", "env", "constants", "infra", "infrastructure", "deploy", "deployment", ".github", "docker", "scripts", "ci"),
     "util": ("utils", "util", "helpers", "helper", "lib", "libs", "common", "shared", "core", "tools", "support"),
 }
 

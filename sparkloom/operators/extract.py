@@ -19,7 +19,7 @@ from sparkloom.functions.paths import language
 # Fixed values.
 HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
 AUTH_HINTS = ("login_required", "requires_auth", "jwt_required", "auth_required", "permission_classes", "is_authenticated", "current_user", "get_current_user", "requires_permissions", "authenticated")
-MODEL_BASES = {"Base", "Model", "DeclarativeBase", "db.Model", "models.Model", "SQLModel", "Document", "EmbeddedDocument"}
+MODEL_BASES = {"Base", "Model", "DeclarativeBase", "db.Model", "BaseModel", "models.Model", "SQLModel", "Document", "EmbeddedDocument", "AsyncAttrs", "Table"}
 MANAGER = {"filter": "select", "get": "select", "all": "select", "first": "select", "count": "select", "exists": "select", "create": "insert", "bulk_create": "insert", "get_or_create": "insert", "update": "update", "delete": "delete"}
 SESSION = {"query": "select", "execute": "raw", "scalars": "select", "scalar": "select", "add": "insert", "add_all": "insert", "merge": "upsert", "delete": "delete"}
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.comprehension, ast.Match)

@@ -23,7 +23,10 @@ def hubs(nodes: DataFrame, edges: DataFrame, n: int = 20) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes on no edge."""
+    """Nodes on no edge, but for entrypoints and tests where columns is_entrypoint and is_test say so."""
+    for flag in ("is_entrypoint", "is_test"):
+        if flag in nodes.columns:
+            nodes = nodes.where(~F.coalesce(F.col(flag), F.lit(False)))
     ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
     return nodes.join(ends, "id", "left_anti").select("id", "path")
 

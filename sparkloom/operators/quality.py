@@ -9,35 +9,41 @@ from sparkloom.functions import text as t
 
 # Fixed patterns and values.
 TODO = r"(?i)\b(TODO|FIXME|HACK|XXX)\b[:\s](.{0,90})"
-SECRET = r"""(?i)\b(token|api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|client[_-]?secret|db_password)\b\s*[:=]\s*['"]([^'"]{12,})['"]"""
+SECRET_NAMES = ("api[_-]?key", "secret[_-]?key", "access[_-]?token", "auth[_-]?token", "private[_-]?key", "client[_-]?secret", "db_password")
+TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\sA-Za-z0-9_]"
+PASSED_OVER = ("self", "this", "def", "function", "const", "let", "var")
 PLACEHOLDERS = ("changeme", "your-key-here", "xxx", "todo", "placeholder", "example", "test", "secret")
 SEVERITY_WEIGHT = {"high": 1.0, "medium": 0.6, "low": 0.3, "info": 0.1}
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2, "info": 3}
 
 
 def normal_prefix(c, n: int = 240):
-    """The first n tokens without comments, strings or numbers' values: what exact duplicates share."""
-    words = F.slice(F.regexp_extract_all(F.lower(c), F.lit(r"[^\s]+"), F.lit(0)), 1, n)
-    return F.sha1(F.array_join(words, " "))
+    """Identity of a text's first n tokens (names, numbers, single signs) without some keywords: what duplicates share."""
+    every = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    kept = F.filter(every, lambda x: ~x.isin(*PASSED_OVER))
+    return F.sha1(F.array_join(F.slice(kept, 1, n), " "))
 
 
-def duplicate_groups(chunks: DataFrame, least_chars: int = 8) -> DataFrame:
-    """Groups of chunks with equal normalised prefixes: group, members, first, paths."""
-    g = chunks.where(F.length("text") >= least_chars).groupBy(normal_prefix(F.col("text")).alias("shingle"))
+def duplicate_groups(chunks: DataFrame, least_lines: int = 8) -> DataFrame:
+    """Groups of chunks of at least least_lines lines with equal normalised prefixes: shingle, members, first, paths."""
+    long = chunks.where(F.size(F.split("text", "\n")) >= least_lines)
+    g = long.groupBy(normal_prefix(F.col("text")).alias("shingle"))
     return g.agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first"), F.countDistinct("path").alias("paths")).where("members > 1")
 
 
-def secrets(chunks: DataFrame, most_chars: int = 200_000) -> DataFrame:
-    """Credentials written out: id, name, value_chars, line. Placeholders are passed over.
+def secrets(chunks: DataFrame, most_chars: int | None = 200_000, names: tuple[str, ...] = SECRET_NAMES) -> DataFrame:
+    """Credentials written out: id, name, value_chars, line; those that hold a placeholder, name or value, are passed over.
 
-    The value alone is compared with the placeholders, so a name like client_secret does not hide it.
+    Only the first most_chars of a text are read; None reads all of it.
     """
-    body = F.left("text", F.lit(most_chars))
-    hit = F.zip_with(F.regexp_extract_all(body, F.lit(SECRET), F.lit(1)), F.regexp_extract_all(body, F.lit(SECRET), F.lit(2)), lambda a, b: F.struct(F.lower(a).alias("name"), b.alias("value")))
-    rows = chunks.where(body.rlike(SECRET)).select("id", body.alias("body"), F.explode(hit).alias("h"))
-    plain = F.exists(F.array(*[F.lit(p) for p in PLACEHOLDERS]), lambda p: F.contains(F.lower(F.col("h.value")), p))
-    at = F.position(F.col("h.value"), F.col("body")) - 1
-    return rows.where(~plain).select("id", F.col("h.name").alias("name"), F.length("h.value").alias("value_chars"), t.line_of(F.col("body"), at).alias("line"))
+    pattern = F.lit(rf"""(?i)\b({"|".join(names)})\b\s*[:=]\s*['"]([^'"]{{12,}})['"]""")
+    body = F.col("text") if most_chars is None else F.left("text", F.lit(most_chars))
+    part = lambda k: F.regexp_extract_all("body", pattern, F.lit(k))
+    hit = F.arrays_zip(part(0).alias("whole"), part(1).alias("name"), part(2).alias("value"))
+    rows = chunks.select("id", body.alias("body")).where(F.regexp("body", pattern)).select("id", "body", F.explode(hit).alias("h"))
+    plain = F.exists(F.array(*[F.lit(p) for p in PLACEHOLDERS]), lambda p: F.contains(F.lower(F.col("h.whole")), p))
+    at = F.position(F.col("h.whole"), F.col("body")) - 1
+    return rows.where(~plain).select("id", F.lower("h.name").alias("name"), F.length("h.value").alias("value_chars"), t.line_of(F.col("body"), at).alias("line"))
 
 
 def todos(chunks: DataFrame) -> DataFrame:

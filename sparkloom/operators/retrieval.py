@@ -87,3 +87,24 @@ def within_budget(chunks: DataFrame, budget: int) -> DataFrame:
     w = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(budget) - F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
     return chunks.withColumn("left", left).where("left > 0").select("id", "path", F.least(F.length("text").cast("long"), F.col("left")).alias("chars"))
+
+
+def mentions(chunks: DataFrame, needles: DataFrame, words: int = 5) -> DataFrame:
+    """Rows (needle_id, id): chunks (id, text) that hold a needle (needle_id, needle) as it stands.
+
+    A needle's inner words are whole words wherever it occurs, so the first few of them (one, of a
+    needle with fewer) are an exact key: both sides are joined on it and each candidate is then
+    searched. A needle of fewer than three words has no inner word and is not looked for.
+    """
+    split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
+    inner = needles.withColumn("w", split(F.col("needle"))).where(F.size("w") >= 3).withColumn("w", F.slice("w", F.lit(2), F.size("w") - 2))
+    def runs(n: int):  # of n words
+        w = split(F.col("text"))
+        rows = chunks.select("id", w.alias("w")).where(F.size("w") >= n)
+        return rows.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("key"))
+
+    out = []
+    for n, some in ((words, inner.where(F.size("w") >= words)), (1, inner.where(F.size("w") < words))):
+        keyed = some.select("needle_id", "needle", F.array_join(F.slice("w", 1, n), " ").alias("key"))
+        out.append(runs(n).join(keyed, "key").select("id", "needle_id", "needle").join(chunks.select("id", "text"), "id").where(F.contains(F.col("text"), F.col("needle"))).select("needle_id", "id"))
+    return out[0].unionByName(out[1]).distinct()

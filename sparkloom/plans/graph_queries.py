@@ -103,8 +103,8 @@ def coupling_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """One-hop lists of the 50 first files: direction, neighbour, kind."""
-    e, keep = edges(spark, d), nodes(spark, d).orderBy("id").limit(50).select("id")
+    """One-hop lists of all files: direction, neighbour, kind."""
+    e, keep = edges(spark, d), nodes(spark, d).select("id")
     out = keep.join(e, F.col("id") == F.col("source")).select("id", F.lit("out").alias("direction"), F.col("target").alias("neighbour"), "kind")
     into = keep.join(e, F.col("id") == F.col("target")).select("id", F.lit("in").alias("direction"), F.col("source").alias("neighbour"), "kind")
     return out.unionByName(into)
@@ -161,7 +161,7 @@ SELECT x.root, x.id, x.distance, min(y.id) AS via FROM dist x LEFT JOIN edges e
   AND path NOT LIKE 'ECONOMY%' AND path NOT LIKE '%#1%' ORDER BY path, id LIMIT 10""",
     "coupling_findings": f"""{_BOTH}{_DEGREE} SELECT id, path, coupling, CASE WHEN coupling >= 20 THEN 'high' ELSE 'medium' END AS severity
 FROM (SELECT * FROM coupled ORDER BY coupling DESC, path, id LIMIT 15) WHERE coupling >= 12""",
-    "neighbours": f"""{_BOTH}, keep AS (SELECT id FROM nodes ORDER BY id LIMIT 50)
+    "neighbours": f"""{_BOTH}, keep AS (SELECT id FROM nodes)
 SELECT id, 'out' AS direction, target AS neighbour, kind FROM keep JOIN edges ON id = source UNION ALL SELECT id, 'in', source, kind FROM keep JOIN edges ON id = target""",
     "external_counts": "SELECT l_suppkey AS package, count(*) AS imports FROM lineitem GROUP BY 1 ORDER BY imports DESC, package LIMIT 60",
 }

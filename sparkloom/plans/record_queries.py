@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import paths as p
 from sparkloom.operators import endpoints as ep
-from sparkloom.sources.proxy import DECLARATIONS_SQL, NODES_SQL, declarations, nodes, runs, table
+from sparkloom.operators import graph as g
+from sparkloom.plans.graph_queries import _BOTH, _DEGREE
+from sparkloom.sources.proxy import DECLARATIONS_SQL, NODES_SQL, declarations, edges, nodes, runs, table
 from sparkloom.streaming import sessions as s
 
 _NOW = "2024-01-20 00:00:00"
@@ -52,7 +54,7 @@ def runs_per_repo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repos_without_runs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"), "c_mktsegment").join(runs(spark, d), "repo_id", "left_anti")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("repo_id"), "c_mktsegment").join(runs(spark, d).where("status = 'P'"), "repo_id", "left_anti")
 
 
 def repos_with_live_run(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +94,7 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
 
 def unique_definition(spark: SparkSession, d: str) -> DataFrame:
     """Names defined once: callers resolve to them only then."""
-    n = table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("id")).where("n = 1")
+    n = table(spark, d, "part").withColumn("p_name", F.concat_ws(" ", "p_name", "p_brand", "p_size")).groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("id")).where("n = 1")
     return n.select(F.col("p_name").alias("name"), "id")
 
 
@@ -139,9 +141,9 @@ def tree_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lanes(spark: SparkSession, d: str) -> DataFrame:
-    """Place of each file in its layer's lane, largest first."""
-    w = Window.partitionBy("layer").orderBy(F.desc("loc"), "path", "id")
-    return nodes(spark, d).select("layer", "id", F.row_number().over(w).alias("place"))
+    """Place of each file in its layer's lane, most coupled first."""
+    w = Window.partitionBy("layer").orderBy(F.desc("coupling"), "path", "id")
+    return g.coupled(nodes(spark, d), edges(spark, d)).select("layer", "id", F.row_number().over(w).alias("place"))
 
 
 def primary_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +273,7 @@ ORACLES = {
     "recent_runs": f"{_RUNS} SELECT id, repo_id, status FROM runs ORDER BY created_at DESC, id LIMIT 100",
     "runs_with_repo": f"{_RUNS} SELECT id, repo_id, c_name AS repo FROM runs LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON c_custkey = repo_id WHERE status = 'O'",
     "runs_per_repo": f"{_RUNS} SELECT c_custkey AS repo_id, count(id) AS runs FROM customer LEFT JOIN runs ON c_custkey = repo_id GROUP BY 1",
-    "repos_without_runs": f"{_RUNS} SELECT c_custkey AS repo_id, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT repo_id FROM runs)",
+    "repos_without_runs": f"{_RUNS} SELECT c_custkey AS repo_id, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT repo_id FROM runs WHERE status = 'P')",
     "repos_with_live_run": f"{_RUNS} SELECT c_custkey AS repo_id FROM customer WHERE c_custkey IN (SELECT repo_id FROM runs WHERE status = 'P')",
     "relations": """SELECT n_name AS model, r_name AS target, r_name IS NOT NULL AS resolved
 FROM nation LEFT JOIN region ON r_regionkey = CASE WHEN n_nationkey % 7 = 0 THEN n_regionkey + 100 ELSE n_regionkey END""",
@@ -282,7 +284,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY r, l_linenum
 c AS (SELECT *, unnest([l_partkey * 3, l_partkey, l_suppkey]) AS k, unnest([0, 1, 2]) AS pos FROM li),
 h AS (SELECT * FROM c WHERE k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(k, pos) AS resolved, min(pos) AS pos FROM h GROUP BY ALL""",
-    "unique_definition": "SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(*) = 1",
+    "unique_definition": "SELECT p_name || ' ' || p_brand || ' ' || p_size AS name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(*) = 1",
     "rollup_kinds": "SELECT coalesce(p_type, 'all') AS kind, count(*) AS symbols FROM part GROUP BY ROLLUP (p_type)",
     "framework_confidence": """WITH e AS (SELECT p_brand, p_type, CASE p_size % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.7 ELSE 0 END AS w FROM part WHERE p_size < 3 OR p_size > 48),
 g AS (SELECT p_brand, round(CAST(sum(w) AS DOUBLE), 2) AS score, array_to_string(list_slice(list_sort(list(DISTINCT p_type)), 1, 4), ',') AS evidence FROM e GROUP BY p_brand)
@@ -294,7 +296,7 @@ SELECT p_brand, least(CAST(0.99 AS DOUBLE), round(least(CAST(1.0 AS DOUBLE), sco
 SELECT array_to_string(list_slice(parts, 1, i), '/') AS folder, count(*) AS files FROM y GROUP BY 1""",
     "tree_order": f"""WITH {NODES_SQL}, x AS (SELECT DISTINCT split_part(path, '/', 1) AS name, contains(path, '/') AS folder FROM nodes)
 SELECT name, folder, CAST(row_number() OVER (PARTITION BY folder ORDER BY lower(name)) AS INT) AS position FROM x""",
-    "lanes": f"WITH {NODES_SQL} SELECT layer, id, CAST(row_number() OVER (PARTITION BY layer ORDER BY loc DESC, path, id) AS INT) AS place FROM nodes",
+    "lanes": f"{_BOTH}{_DEGREE} SELECT layer, id, CAST(row_number() OVER (PARTITION BY layer ORDER BY coupling DESC, path, id) AS INT) AS place FROM coupled",
     "primary_keys": """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM x WHERE k = 1""",
     "category_top": "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import graph as g
-from sparkloom.operators import impact, resolve, store
+from sparkloom.operators import impact, resolve, retrieval, store
 from sparkloom.plans.graph_queries import _BOTH, _DEGREE, _SCC
 from sparkloom.plans.storage import staged
 from sparkloom.sources.proxy import DECLARATIONS_SQL, NODES_SQL, chunks, declarations, edges, nodes, runs, table
@@ -37,8 +37,12 @@ def related_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_risks(spark: SparkSession, d: str) -> DataFrame:
+    """Risks of each file: suppliers are endpoints, small files tests, negative balances models, and long files hard to parse."""
     e = staged(edges(spark, d), "edges")
-    return impact.risks(nodes(spark, d), e, g.strong_components(e), 8, 4)
+    n = nodes(spark, d).withColumn("complexity", (F.col("loc") / 3).cast("int")).withColumn("parse_error", F.when(F.col("loc") == 50, "deep"))
+    s = table(spark, d, "supplier")
+    models = s.where("s_acctbal < 0").groupBy(F.col("s_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("models"))
+    return impact.risks(n, e, g.strong_components(e).select("id"), s.select(F.col("s_suppkey").alias("id")), n.where("loc <= 4").select("id"), models, high=8, fans=4)
 
 
 def reverse_callers(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +54,7 @@ def reverse_callers(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
     """Symbols whose name holds the needle, case aside and without wildcards; shortest name first."""
-    p = table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("#1")) & F.contains(F.lower("p_type"), F.lit("o")))
+    p = table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")) & F.contains(F.lower("p_type"), F.lit("o")))
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).orderBy(F.length("p_name"), "p_name", "p_partkey").limit(50)
 
 
@@ -65,10 +69,9 @@ def target_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """First chunk that mentions each of thirty short words: a containment join with a list of fixed length."""
-    words = table(spark, d, "benchmark").orderBy("item_id").limit(30).select("item_id", F.left("text", F.lit(12)).alias("needle"))
-    hit = chunks(spark, d).join(F.broadcast(words), F.contains(F.col("text"), F.col("needle")))
-    return hit.groupBy("item_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("chunks"))
+    """First chunk that holds each item's whole text, and how many do."""
+    hit = retrieval.mentions(chunks(spark, d).select("id", "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle")))
+    return hit.groupBy(F.col("needle_id").alias("item_id")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("chunks"))
 
 
 def marker_join(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +123,7 @@ def ownerless_runs(spark: SparkSession, d: str) -> DataFrame:
 def index_status(spark: SparkSession, d: str) -> DataFrame:
     """Status of each user's index: that of the last event, its type being the model."""
     last = table(spark, d, "events").groupBy("user_id").agg(F.max(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")).alias("x"))
-    c = table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("user_id")).join(last, "user_id", "left")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(last, "user_id", "left")
     return c.select("user_id", store.index_status(F.to_timestamp(F.lit("2024-01-31 00:00:00")), F.col("x.ts"), F.col("x.event_type"), "click", 24).alias("status"))
 
 
@@ -178,17 +181,22 @@ SELECT s_name AS endpoint, s_suppkey AS id FROM supplier WHERE s_suppkey IN (SEL
     "related_tests": f"""{_BOTH}{_DEGREE}{_CONE.format(n=2)}, t AS (SELECT id FROM nodes WHERE loc <= 20)
 SELECT id, CASE WHEN id IN (SELECT source FROM edges WHERE target IN (SELECT id FROM root)) THEN 'imports the file' ELSE 'depends on it' END AS reason
 FROM t WHERE id IN (SELECT id FROM cone) OR id IN (SELECT source FROM edges WHERE target IN (SELECT id FROM root))""",
-    "change_risks": f"""{_BOTH}{_DEGREE}{_SCC} SELECT id, 'high coupling' AS risk FROM coupled WHERE coupling >= 8 UNION ALL SELECT id, 'many dependents' FROM coupled WHERE fan_in >= 4
-UNION ALL SELECT id, 'part of a cycle' FROM scc""",
+    "change_risks": f"""{_BOTH}{_DEGREE}{_SCC}, e0 AS (SELECT id FROM nodes WHERE id IN (SELECT s_suppkey FROM supplier)), e1 AS (SELECT id FROM e0 UNION SELECT target FROM edges WHERE source IN (SELECT id FROM e0)),
+e2 AS (SELECT id FROM e1 UNION SELECT target FROM edges WHERE source IN (SELECT id FROM e1)), t0 AS (SELECT id FROM nodes WHERE loc <= 4), t1 AS (SELECT target AS id FROM edges WHERE source IN (SELECT id FROM t0)),
+t2 AS (SELECT id FROM t1 UNION SELECT target FROM edges WHERE source IN (SELECT id FROM t1)), t3 AS (SELECT id FROM t2 UNION SELECT target FROM edges WHERE source IN (SELECT id FROM t2))
+SELECT id, 'high' AS level, 'high coupling' AS risk FROM coupled WHERE coupling >= 8 UNION ALL SELECT id, 'medium', 'many dependents' FROM coupled WHERE coupling < 8 AND fan_in >= 4
+UNION ALL SELECT id, 'high', 'part of a cycle' FROM scc UNION ALL SELECT id, CASE WHEN id IN (SELECT id FROM e0) THEN 'high' ELSE 'medium' END, 'endpoints in its cone' FROM coupled WHERE id IN (SELECT id FROM e2)
+UNION ALL SELECT id, 'high', 'defines models' FROM coupled WHERE id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+UNION ALL SELECT id, 'medium', 'high complexity' FROM coupled WHERE floor(loc / 3) >= 15 UNION ALL SELECT id, 'medium', 'no related tests' FROM coupled WHERE id NOT IN (SELECT id FROM t3)
+UNION ALL SELECT id, 'low', 'did not parse' FROM coupled WHERE loc = 50""",
     "reverse_callers": f"""{_BOTH}, c AS (SELECT DISTINCT target, source FROM edges WHERE kind = 'call')
 SELECT target, source FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source) AS r FROM c) WHERE r <= 40""",
-    "symbol_search": "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), '#1') AND contains(lower(p_type), 'o') ORDER BY length(p_name), p_name, p_partkey LIMIT 50",
+    "symbol_search": "SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_type), 'o') ORDER BY length(p_name), p_name, p_partkey LIMIT 50",
     "symbol_lookup": f"WITH {NODES_SQL} SELECT id, path, layer FROM nodes WHERE id = 17",
     "target_path": f"""WITH {NODES_SQL}, f AS (SELECT DISTINCT path FROM nodes), q AS (SELECT substr(path, instr(path, '/') + 1) AS q FROM f ORDER BY path LIMIT 1),
 r AS (SELECT path, CASE WHEN path = q THEN 1 WHEN ends_with(path, '/' || q) THEN 2 WHEN split_part(path, '/', -1) = split_part(q, '/', -1) THEN 3 WHEN contains(lower(path), lower(q)) THEN 4 END AS rank FROM f, q)
 SELECT min(path) AS path, rank FROM r WHERE rank IS NOT NULL GROUP BY rank HAVING rank < 4 OR count(*) = 1 ORDER BY rank LIMIT 1""",
-    "path_in_text": """WITH w AS (SELECT item_id, left(text, 12) AS needle FROM benchmark ORDER BY item_id LIMIT 30)
-SELECT item_id, min(doc_id) AS first, count(*) AS chunks FROM documents JOIN w ON contains(text, needle) GROUP BY item_id""",
+    "path_in_text": "SELECT item_id, min(doc_id) AS first, count(*) AS chunks FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id",
     "marker_join": """WITH m AS (SELECT * FROM (VALUES ('Brand#11', 'web', 0.75), ('Brand#22', 'web', 0.7), ('Brand#33', 'store', 0.6)) AS t(p_brand, framework, weight)),
 x AS (SELECT DISTINCT p_brand FROM part) SELECT framework, CAST(round(least(0.99, sum(weight)), 2) AS DOUBLE) AS confidence, string_agg(p_brand, ',' ORDER BY p_brand) AS evidence FROM m JOIN x USING (p_brand) GROUP BY framework""",
     "file_summaries": f"""WITH {NODES_SQL}, k AS (SELECT layer, language, count(*) AS n FROM nodes GROUP BY ALL)
@@ -200,7 +208,7 @@ SELECT layer, string_agg(n || ' ' || language, ', ' ORDER BY language) AS summar
     "ownerless_runs": f"""SELECT o_orderkey AS id, o_custkey AS repo_id FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '{_NOW}' - INTERVAL 3 DAY)""",
     "index_status": """WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS m, max(ts) AS seen FROM events GROUP BY user_id)
 SELECT c_custkey AS user_id, CASE WHEN seen IS NULL THEN 'missing' WHEN seen + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-31 00:00:00' THEN 'expired' WHEN m <> 'click' THEN 'stale model' ELSE 'ready' END AS status
-FROM customer LEFT JOIN l ON user_id = c_custkey WHERE c_custkey <= 200""",
+FROM customer LEFT JOIN l ON user_id = c_custkey""",
     "upsert": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     "orphaned_repos": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "endpoint_markdown": f"""WITH {DECLARATIONS_SQL}, x AS (SELECT DISTINCT framework, method, path FROM declarations)
