@@ -40,7 +40,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame, roots: tuple[str, ...
     tried = lambda b: F.concat(
         F.flatten(F.transform(names, lambda n: F.array(F.concat(b, F.lit("/"), n, F.lit(".py")), F.concat(b, F.lit("/"), n, F.lit("/__init__.py"))))), F.array(F.concat(b, F.lit(".py")), F.concat(b, F.lit("/__init__.py")))
     )
-    rows = imports.withColumn("import_id", F.xxhash64("path", "name", "level", "line", F.array_join("names", ",")))
+    rows = imports.withColumn("import_id", F.sha2(F.to_json(F.struct("path", "name", "level", "line", "names")), 256))
     each = rows.select("import_id", F.posexplode(F.flatten(F.transform(bases, tried))).alias("place", "candidate"))
     hit = each.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate").groupBy("import_id").agg(F.min_by("candidate", "place").alias("resolved"))
     return rows.join(hit, "import_id", "left").drop("import_id")
@@ -54,7 +54,7 @@ def resolved_js(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> Dat
     rel = _below(dirname(F.col("path")), F.col("name"))
     for _ in range(8):
         rel = F.regexp_replace(F.regexp_replace(rel, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    plain = imports.withColumn("import_id", F.xxhash64("path", "name"))
+    plain = imports.withColumn("import_id", F.sha2(F.to_json(F.struct("path", "name")), 256))
     near = plain.where(F.col("name").startswith(".")).select("import_id", F.lit(0).alias("rank"), rel.alias("base"))
     bare = plain.where(~F.col("name").startswith("."))
     # a prefix join by equality: each prefix of the specifier at a slash is one key
@@ -80,7 +80,7 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     Tried in order: the receiver's import, the name's import, the same file, the only definition of
     that name anywhere. The candidates of all four are one union; the least rank wins.
     """
-    rows = calls.withColumn("call_id", F.xxhash64("path", "name", "target", "line")).withColumn("head", F.element_at(F.split("target", r"\."), 1))
+    rows = calls.withColumn("call_id", F.sha2(F.to_json(F.struct("path", "name", "target", "line")), 256)).withColumn("head", F.element_at(F.split("target", r"\."), 1))
     brought = imports.where("resolved is not null").select("path", F.explode("names").alias("brought"), "resolved")
     tries = rows.select("call_id", "path", "name", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("head").alias("brought")), F.struct(F.lit(1).alias("rank"), F.col("name").alias("brought")))).alias("t")).select("call_id", "path", "name", "t.rank", "t.brought")
     by_import = tries.join(brought, ["path", "brought"]).select("call_id", "rank", F.col("resolved").alias("callee"))

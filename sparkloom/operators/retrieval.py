@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,11 @@ from sparkloom.functions import text as t
 
 def lexical_search(chunks: DataFrame, query: str, n: int = 12, least: float = 0.01, per_path: int | None = None) -> DataFrame:
     """The n best chunks by lexical score; ties by id. With per_path, at most so many of a path."""
-    s = chunks.withColumn("score", F.round(t.lexical_score(query, F.concat_ws(" ", "path", "text")), 4)).where(F.col("score") > least).select("id", "path", "score")
+    import re
+
+    body = F.lower(F.concat_ws(" ", "path", "text"))  # a score above 0 needs one of the terms, which is cheap to see
+    some = [F.contains(body, F.lit(x)) for x in sorted({x.lower() for x in re.findall(t.IDENTIFIER, query)})]
+    s = chunks.where(reduce(Column.__or__, some, F.lit(False))).withColumn("score", F.round(t.lexical_score(query, F.concat_ws(" ", "path", "text")), 4)).where(F.col("score") > least).select("id", "path", "score")
     if per_path:
         w = Window.partitionBy("path").orderBy(F.desc("score"), "id")
         s = s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_path).drop("r")

@@ -86,7 +86,7 @@ class Analysis:
 
     def cycles(self) -> DataFrame:
         """Members of dependency cycles: id, component (both paths)."""
-        ids = staged(self.nodes.select("id").distinct().withColumn("n", F.xxhash64("id")), "ids")
+        ids = staged(self.nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()), "ids")
         e = self.edges.join(ids.toDF("source", "a"), "source").join(ids.toDF("target", "b"), "target").select(F.col("a").alias("source"), F.col("b").alias("target"))
         found = graph.strong_components(e).join(ids.toDF("path", "id"), "id")
         names = found.groupBy("component").agg(F.min("path").alias("first"))
@@ -176,13 +176,13 @@ class Analysis:
     def impact(self, query: str, depth: int = 2) -> dict[str, DataFrame]:
         """Of the file meant by query: dependents, tests, endpoints."""
         target = staged(resolve.resolve_target(self.files, query).select(F.col("path").alias("id")), "target")
-        ids = staged(self.nodes.select("id").withColumn("n", F.xxhash64("id")), "ids")
+        ids = staged(self.nodes.select("id").withColumn("n", F.monotonically_increasing_id()), "ids")
         e = staged(self.edges.join(ids.toDF("source", "a"), "source").join(ids.toDF("target", "b"), "target").select(F.col("a").alias("source"), F.col("b").alias("target")), "edges")
         root = target.join(ids, "id").select(F.col("n").alias("id"))
         cone = staged(impact.dependents(e, root, depth), "cone")
         named = lambda df: df.join(ids.toDF("path", "id"), "id")
         tests = self.nodes.where("is_test").join(ids, "id").select(F.col("n").alias("id"))
-        routes = self.apis().select(F.concat_ws(" ", "method", "path").alias("endpoint"), F.xxhash64("file_path").alias("id"))
+        routes = self.apis().select(F.concat_ws(" ", "method", "path").alias("endpoint"), F.col("file_path").alias("id")).join(ids, "id").select("endpoint", F.col("n").alias("id"))
         return {
             "dependents": named(cone.orderBy("distance", "id").limit(40)).select("path", "distance"),
             "tests": named(impact.related_tests(tests, e, cone, root)).select("path", "reason"),

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back; a local folder only where that is unset."""
+    """df written below spark.checkpoint.dir and read back; a local folder only where that is unset and the master is local."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/{label}-{uuid.uuid4().hex}"

@@ -37,7 +37,8 @@ def rate_limited(events: DataFrame, seconds: float = RATE_SECONDS, most: int = R
     """Rows (event_id, user_id, accepted): at most `most` accepted events in any `seconds`.
 
     Denied events do not count, so each user's log is walked in order. A user's events of one time
-    are ordered by id. A group holds one user's times and ids only; users are dealt by key.
+    are ordered by id. After a pause of `seconds` nothing accepted before matters, so a log is cut
+    there and a group is one stretch of one user's times and ids, not the whole history.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -53,7 +54,9 @@ def rate_limited(events: DataFrame, seconds: float = RATE_SECONDS, most: int = R
         return pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "accepted": accepted})
 
     e = events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"))
-    return e.groupBy("user_id").applyInPandas(walk, "event_id long, user_id long, accepted boolean")
+    w = Window.partitionBy("user_id").orderBy("epoch", "event_id")
+    e = e.withColumn("fresh", (F.col("epoch") - F.lag("epoch").over(w) >= seconds).cast("int")).withColumn("stretch", F.sum(F.coalesce("fresh", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.groupBy("user_id", "stretch").applyInPandas(walk, "event_id long, user_id long, accepted boolean")
 
 
 def rate_limited_stream(events: DataFrame, seconds: float = RATE_SECONDS, most: int = RATE_MOST) -> DataFrame:
