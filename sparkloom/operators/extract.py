@@ -192,7 +192,8 @@ def python_records(files: DataFrame) -> DataFrame:
     return some.select("path", "text").mapInPandas(parse, f"path string, {RECORDS}")
 
 
-#: Patterns of other languages: (record, kind, pattern); group 1 is the name, group 2 the target if there is one.
+#: Patterns of other languages: (record, kind, pattern); group 1 is the name. Of routes, queries and mounts group 1 is the
+#: method, the operation or the prefix, and group 2 the path, the model or what is mounted.
 PATTERNS = {
     "javascript": (
         ("import", "import", r"""(?m)^\s*import\s+(?:[^'";]*?\sfrom\s+)?['"]([^'"]+)['"]"""),
@@ -202,21 +203,28 @@ PATTERNS = {
         ("symbol", "class", r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
         ("symbol", "function", r"(?m)^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"),
         ("symbol", "type", r"(?m)^\s*(?:export\s+)?(?:interface|type|enum)\s+([A-Za-z_$][\w$]*)"),
-        ("route", "express", r"""\b(?:app|router|server|fastify)\.(?:get|post|put|patch|delete)\(\s*['"`]([^'"`]+)['"`]"""),
+        ("route", "express", r"""\b(?:app|router|server|fastify)\.(get|post|put|patch|delete|all)\(\s*['"`]([^'"`]+)['"`]"""),
+        ("route", "nest", r"""(?m)^\s*@(Get|Post|Put|Patch|Delete|All)\(\s*['"`]?([^'"`)]*)['"`]?\s*\)"""),
+        ("mount", "express", r"""\b(?:app|router)\.use\(\s*['"`]([^'"`]+)['"`]\s*,\s*([\w.]+)"""),
+        ("mount", "nest", r"""@Controller\(\s*['"`]([^'"`]*)['"`]\s*\)\s*(?:export\s+)?class\s+(\w+)"""),
+        ("model", "typeorm", r"""@Entity\([^)]*\)\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"""),
+        ("model", "mongoose", r"""\bmongoose\.model(?:<[^>]*>)?\(\s*['"`](\w+)"""),
+        ("model", "sequelize", r"""\bsequelize\.define\(\s*['"`](\w+)"""),
+        ("query", "prisma", r"""\bprisma\.(?=\w+\.(\w+)\()(\w+)"""),
     ),
     "go": (
         ("import", "import", r"""(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\s]+/[^"\s]+|[a-z]+)"\s*$"""),
         ("symbol", "function", r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"),
         ("symbol", "class", r"(?m)^type\s+([A-Za-z_]\w*)\s+(?:struct|interface)"),
-        ("route", "gin", r"""\b\w+\.(?:GET|POST|PUT|PATCH|DELETE)\(\s*"([^"]+)\""""),
+        ("route", "gin", r"""\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*"([^"]+)\""""),
     ),
     "java": (
         ("import", "import", r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
         ("symbol", "class", r"(?m)^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+)*(?:class|interface|enum|record)\s+([A-Za-z_]\w*)"),
-        ("route", "spring", r"""@(?:Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*)?"([^"]+)\""""),
+        ("route", "spring", r"""@(Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*)?"([^"]+)\""""),
     ),
-    "ruby": (("import", "require", r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)"""), ("symbol", "function", r"(?m)^\s*def\s+(?:self\.)?([a-z_]\w*[?!]?)"), ("symbol", "class", r"(?m)^\s*(?:class|module)\s+([A-Z]\w*)"), ("route", "rails", r"""(?m)^\s*(?:get|post|put|patch|delete)\s+['"]([^'"]+)""")),
-    "php": (("import", "import", r"(?m)^\s*use\s+([\w\\]+)"), ("symbol", "function", r"(?m)\bfunction\s+([A-Za-z_]\w*)"), ("symbol", "class", r"(?m)^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+([A-Za-z_]\w*)"), ("route", "laravel", r"""Route::(?:get|post|put|patch|delete)\(\s*['"]([^'"]+)""")),
+    "ruby": (("import", "require", r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)"""), ("symbol", "function", r"(?m)^\s*def\s+(?:self\.)?([a-z_]\w*[?!]?)"), ("symbol", "class", r"(?m)^\s*(?:class|module)\s+([A-Z]\w*)"), ("route", "rails", r"""(?m)^\s*(get|post|put|patch|delete)\s+['"]([^'"]+)""")),
+    "php": (("import", "import", r"(?m)^\s*use\s+([\w\\]+)"), ("symbol", "function", r"(?m)\bfunction\s+([A-Za-z_]\w*)"), ("symbol", "class", r"(?m)^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+([A-Za-z_]\w*)"), ("route", "laravel", r"""Route::(get|post|put|patch|delete)\(\s*['"]([^'"]+)""")),
     "rust": (("import", "import", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"), ("symbol", "function", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([a-z_]\w*)"), ("symbol", "class", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Z]\w*)")),
     "c": (("import", "include", r"""(?m)^\s*#\s*include\s+[<"]([^>"]+)"""), ("symbol", "function", r"(?m)^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\([^;{)]*\)\s*\{"), ("symbol", "class", r"(?m)^\s*(?:typedef\s+)?(?:struct|class)\s+([A-Za-z_]\w*)\s*[{:]")),
     "csharp": (("import", "using", r"(?m)^\s*using\s+([\w.]+)\s*;"), ("symbol", "class", r"(?m)^\s*(?:public\s+|internal\s+|abstract\s+|sealed\s+|static\s+)*(?:class|interface|record|struct)\s+([A-Za-z_]\w*)")),
@@ -225,17 +233,51 @@ SAME = {"typescript": "javascript", "cpp": "c"}
 
 
 def pattern_records(files: DataFrame) -> DataFrame:
-    """Rows (path, record, kind, name, fidelity) of other languages, by column functions only."""
+    """Rows (path, record, kind, name, detail, fidelity) of other languages, by column functions only.
+
+    detail: the method of a route, the operation of a query, the prefix of a mount.
+    """
     kind = language(F.col("path"))
     for a, b in SAME.items():
         kind = F.when(kind == a, b).otherwise(kind)
-    found: Column = F.array().cast("array<struct<record: string, kind: string, name: string>>")
+    found: Column = F.array().cast("array<struct<record: string, kind: string, name: string, detail: string>>")
     for lang, rules in PATTERNS.items():
         each = [_tagged(*rule) for rule in rules]
         found = F.when(F.col("lang") == lang, F.concat(*each)).otherwise(found)
     rows = files.withColumn("lang", kind).where(F.col("lang").isin(*PATTERNS) & F.col("text").isNotNull())
-    return rows.select("path", F.explode(found).alias("r")).select("path", "r.record", "r.kind", "r.name", F.lit("approx").alias("fidelity"))
+    return rows.select("path", F.explode(found).alias("r")).select("path", "r.record", "r.kind", "r.name", "r.detail", F.lit("approx").alias("fidelity"))
 
 
 def _tagged(record: str, kind: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(record).alias("record"), F.lit(kind).alias("kind"), x.alias("name")))
+    part = lambda k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    row = lambda name, detail: F.struct(F.lit(record).alias("record"), F.lit(kind).alias("kind"), name.alias("name"), detail.cast("string").alias("detail"))
+    if record in ("route", "query", "mount"):
+        return F.zip_with(part(2), part(1), lambda x, y: row(x, F.upper(y) if record == "route" else y))
+    return F.transform(part(1), lambda x: row(x, F.lit(None)))
+
+
+URLS = r"""\b(?:path|re_path|url)\(\s*r?['"]([^'"]*)['"]\s*,\s*(include\(\s*)?['"]?([\w.]+)"""
+
+
+def django_routes(files: DataFrame) -> DataFrame:
+    """Rows (path, method, local, handler, included) of the URL tables of Django: files named urls.py, and those of a urls folder.
+
+    A pattern that includes another table has that table's module as included and no handler; anchors of
+    regular expressions are taken off. Methods are not known there, so they are ANY.
+    """
+    tables = files.where(F.col("path").rlike(r"(^|/)urls\.py$|(^|/)urls/[^/]+\.py$") & F.col("text").isNotNull())
+    part = lambda k: F.regexp_extract_all("text", F.lit(URLS), F.lit(k))
+    rows = tables.select("path", F.explode(F.arrays_zip(part(1).alias("local"), part(2).alias("inc"), part(3).alias("name"))).alias("r"))
+    far = F.col("r.inc") != ""
+    return rows.select("path", F.lit("ANY").alias("method"), F.concat(F.lit("/"), F.regexp_replace(F.col("r.local"), r"^[\^/]+|\$$", "")).alias("local"), F.when(~far, F.col("r.name")).alias("handler"), F.when(far, F.col("r.name")).alias("included"))
+
+
+TABLES = r"""(?i)(?:\bop\.create_table|\bcreateTable|\bcreate_table)\(?\s*['":]+(\w+)|\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?["`\[]?(\w+)"""
+OPERATIONS = r"\bop\.\w+|CREATE TABLE|ALTER TABLE|createTable|addColumn"
+
+
+def migrations(files: DataFrame) -> DataFrame:
+    """Rows (path, table, operations): the tables that files below a migrations folder create, with each file's number of operations."""
+    some = files.where(F.lower("path").rlike(r"(^|/)(migrations?|alembic/versions|db/migrate)/") & F.col("text").isNotNull())
+    both = F.zip_with(F.regexp_extract_all("text", F.lit(TABLES), F.lit(1)), F.regexp_extract_all("text", F.lit(TABLES), F.lit(2)), lambda x, y: F.coalesce(F.nullif(x, F.lit("")), y))
+    return some.select("path", F.explode(F.array_distinct(both)).alias("table"), F.regexp_count("text", F.lit(OPERATIONS)).cast("long").alias("operations"))

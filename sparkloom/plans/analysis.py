@@ -15,6 +15,7 @@ from sparkloom.sources import corpus
 
 # Fixed values.
 COMPLEX, LARGE, COUPLED, DUPLICATE_LINES, MANY_METHODS = 15, 700, 12, 8, 20
+RUN_ALONE = r"/alembic/versions/|/migrations/|/scripts/|/bin/|/tools/|/management/commands/|\.d\.ts$|\.pyi$"
 CODE = ("python", "javascript", "typescript", "go", "java", "ruby", "php", "rust", "c", "cpp", "csharp")
 
 
@@ -139,14 +140,14 @@ class Analysis:
         exported = s.join(self.files.where("not is_test and not is_example and layer not in ('other', 'config', 'test', 'docs')").select("path"), "path", "left_semi").where("exported and kind in ('function', 'method', 'class')").select("path", "name", "loc")
         row = lambda df, kind, severity, detail: df.select(F.lit(kind).alias("kind"), (severity if not isinstance(severity, str) else F.lit(severity)).alias("severity"), "path", detail.cast("string").alias("detail"))
         parts = [
-            row(self.cycles().withColumnRenamed("id", "path"), "circular_dependency", "medium", F.col("component")),
+            row(self.cycles().groupBy(F.col("component").alias("path")).agg(F.count(F.lit(1)).alias("n")), "circular_dependency", F.when(F.col("n") > 2, "high").otherwise("medium"), F.col("n")),
             row(n.orderBy(F.desc("coupling"), "path").limit(15).where(F.col("coupling") >= COUPLED), "high_coupling", F.when(F.col("coupling") < 20, "medium").otherwise("high"), F.col("coupling")),
             row(self.files.where(F.col("language").isin(*CODE)).orderBy(F.desc("loc"), "path").limit(15).where(F.col("loc") >= LARGE), "large_module", "medium", F.col("loc")),
             row(s.where("kind in ('function', 'method')").orderBy(F.desc("complexity"), "path", "name").limit(12).where(F.col("complexity") >= COMPLEX), "high_complexity", "medium", F.col("name")),
             row(s.where((F.col("kind") == "class") & (F.col("n_names") >= MANY_METHODS)), "god_class", "medium", F.col("name")),
             row(resolve.missing_tests(exported, names), "missing_tests", "low", F.col("name")),
-            row(graph.orphans(self.nodes.where("not is_test and not is_example and layer not in ('config', 'entrypoint')"), self.edges).orderBy("path").limit(10), "isolated_module", "info", F.col("path")),
-            row(quality.secrets(c).withColumnRenamed("id", "path"), "possible_secret", F.when(p.is_test(F.col("path")) | p.is_example(F.col("path")), "low").otherwise("high"), F.concat_ws(":", "name", F.col("line").cast("string"))),
+            row(graph.orphans(self.nodes.where("not is_test and not is_example and layer not in ('config', 'entrypoint')").where(~F.lower(F.concat(F.lit("/"), "path")).rlike(RUN_ALONE)), self.edges).orderBy("path").limit(10), "isolated_module", "info", F.col("path")),
+            row(quality.secrets(c).withColumnRenamed("id", "path").orderBy("path", "line").limit(12), "possible_secret", F.when(p.is_test(F.col("path")) | p.is_example(F.col("path")), "low").otherwise("high"), F.concat_ws(":", "name", F.col("line").cast("string"))),
             row(quality.todos(c).withColumnRenamed("id", "path"), "tech_debt", "info", F.col("markers")),
         ]
         out = parts[0]

@@ -264,6 +264,11 @@ def _signal(words: tuple[str, ...]) -> str:
 
 
 ORACLES = {
+    "rate_limit": """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT event_id, user_id, k, true AS accepted, [t] AS log FROM o WHERE k = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.k, len(list_filter(log, lambda x: x > o.t - 43200)) < 3,
+    CASE WHEN len(list_filter(log, lambda x: x > o.t - 43200)) < 3 THEN list_append(list_filter(log, lambda x: x > o.t - 43200), o.t) ELSE list_filter(log, lambda x: x > o.t - 43200) END
+  FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT event_id, user_id, accepted FROM w""",
     "endpoint_dedupe": f"{_DEDUPED} SELECT * FROM e",
     "endpoint_stats": f"""{_DEDUPED} SELECT * FROM (SELECT count(*) AS declared, count(*) FILTER (is_example) AS from_examples, count(*) FILTER (is_test) AS from_tests, count(DISTINCT path) AS unique_paths FROM declarations),
   (SELECT count(*) AS endpoints, count(*) FILTER (declarations > 1) AS multi_declared FROM e)""",
