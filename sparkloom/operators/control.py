@@ -45,22 +45,29 @@ def sliding_sessions(requests: DataFrame, ttl: float, touch: float = TOUCH_SECON
     import pandas as pd
     from pyspark.sql import Window
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for t in pdf["epoch"].sort_values():
-            if not out or t >= out[-1][1] + ttl:
-                out.append([t, t, 0])
-            elif t - out[-1][1] >= touch:
-                out[-1][1] = t
-            out[-1][2] += 1
-        return pd.DataFrame([(pdf["session_id"].iloc[0], *x) for x in out], columns=["session_id", "opened", "last_touch", "requests"])
+    def walk(batches):
+        now = None  # the visit that is open: session, opened, last touch, requests; rows of a session follow each other, over batches too
+        for pdf in batches:
+            out = []
+            for session, first, t in zip(pdf["session_id"], pdf["first"], pdf["epoch"], strict=True):
+                if now is None or first or t >= now[2] + ttl:
+                    if now is not None:
+                        out.append(now)
+                    now = [session, t, t, 0]
+                elif t - now[2] >= touch:
+                    now[2] = t
+                now[3] += 1
+            yield pd.DataFrame(out, columns=["session_id", "opened", "last_touch", "requests"])
+        if now is not None:
+            yield pd.DataFrame([now], columns=["session_id", "opened", "last_touch", "requests"])
 
     w = Window.partitionBy("session_id").orderBy("epoch")
     # after a pause of ttl a new session opens whatever was touched before
     cut = requests.withColumn("fresh", (F.col("epoch") - F.lag("epoch").over(w) >= ttl).cast("int"))
     cut = cut.withColumn("stretch", F.sum(F.coalesce("fresh", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     kind = requests.schema["session_id"].dataType.simpleString()
-    done = cut.groupBy("session_id", "stretch").applyInPandas(walk, f"session_id {kind}, opened double, last_touch double, requests long")
+    dealt = cut.withColumn("first", F.coalesce(F.col("fresh") == 1, F.lit(True))).select("session_id", "stretch", "epoch", "first").repartition("session_id", "stretch").sortWithinPartitions("session_id", "stretch", "epoch")
+    done = dealt.mapInPandas(walk, f"session_id {kind}, opened double, last_touch double, requests long")
     return done.withColumn("visit", F.row_number().over(Window.partitionBy("session_id").orderBy("opened"))).select("session_id", "visit", "opened", "last_touch", "requests")
 
 

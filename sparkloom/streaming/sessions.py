@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,25 +39,28 @@ def rate_limited(events: DataFrame, seconds: float = RATE_SECONDS, most: int = R
 
     Denied events do not count, so each user's log is walked in order. A user's events of one time
     are ordered by id. After a pause of `seconds` nothing accepted before matters, so a log is cut
-    there and a group is one stretch of one user's times and ids, not the whole history.
+    there and each stretch is walked by itself; a task holds one stretch's accepted times at a time.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch", "event_id"])
-        log: list[float] = []
-        accepted = []
-        for t in pdf["epoch"]:
-            while log and log[0] <= t - seconds:
-                log.pop(0)
-            accepted.append(len(log) < most)
-            if accepted[-1]:
-                log.append(t)
-        return pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "accepted": accepted})
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log: deque = deque()  # a stretch's rows follow each other, over batches too
+        for pdf in batches:
+            accepted = []
+            for first, t in zip(pdf["first"], pdf["epoch"], strict=True):
+                if first:
+                    log.clear()
+                while log and log[0] <= t - seconds:
+                    log.popleft()
+                accepted.append(len(log) < most)
+                if accepted[-1]:
+                    log.append(t)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "accepted": accepted})
 
     e = events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"))
     w = Window.partitionBy("user_id").orderBy("epoch", "event_id")
     e = e.withColumn("fresh", (F.col("epoch") - F.lag("epoch").over(w) >= seconds).cast("int")).withColumn("stretch", F.sum(F.coalesce("fresh", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "stretch").applyInPandas(walk, "event_id long, user_id long, accepted boolean")
+    dealt = e.withColumn("first", F.coalesce(F.col("fresh") == 1, F.lit(True))).select("event_id", "user_id", "stretch", "epoch", "first").repartition("user_id", "stretch").sortWithinPartitions("user_id", "stretch", "epoch", "event_id")
+    return dealt.mapInPandas(walk, "event_id long, user_id long, accepted boolean")
 
 
 def rate_limited_stream(events: DataFrame, seconds: float = RATE_SECONDS, most: int = RATE_MOST) -> DataFrame:
