@@ -20,13 +20,22 @@ from sparkloom.functions.paths import language
 HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
 AUTH_HINTS = ("login_required", "requires_auth", "jwt_required", "auth_required", "permission_classes", "is_authenticated", "current_user", "get_current_user", "requires_permissions", "authenticated")
 MODEL_BASES = {"Base", "Model", "DeclarativeBase", "db.Model", "BaseModel", "models.Model", "SQLModel", "Document", "EmbeddedDocument", "AsyncAttrs", "Table"}
-MANAGER = {"filter": "select", "get": "select", "all": "select", "first": "select", "count": "select", "exists": "select", "create": "insert", "bulk_create": "insert", "get_or_create": "insert", "update": "update", "delete": "delete"}
-SESSION = {"query": "select", "execute": "raw", "scalars": "select", "scalar": "select", "add": "insert", "add_all": "insert", "merge": "upsert", "delete": "delete"}
+MANAGER = {
+    "filter": "select", "get": "select", "all": "select", "first": "select", "last": "select", "values": "select", "values_list": "select", "count": "select", "exists": "select", "select_related": "select",
+    "prefetch_related": "select", "annotate": "select", "create": "insert", "bulk_create": "insert", "get_or_create": "insert", "update_or_create": "upsert", "update": "update", "bulk_update": "update", "delete": "delete",
+}
+SESSION = {
+    "query": "select", "execute": "raw", "scalars": "select", "get": "select", "scalar": "select", "add": "insert", "add_all": "insert", "merge": "upsert", "delete": "delete", "commit": "unknown", "refresh": "select",
+    "exec": "raw", "get_one": "select",
+}
+RECEIVERS = ("query", "session", "db", "db_session", "conn", "connection", "client")
+STATEMENT = re.compile(r"(?is)^\s*(select|insert|update|delete|create\s+table|alter\s+table|drop\s+table)\b")
+WITHIN = re.compile(r"(?i)\b(select|insert\s+into|update|delete\s+from)\b")
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.BoolOp, ast.IfExp, ast.comprehension, ast.Match)
 
 RECORDS = (
     "record string, name string, kind string, parent string, target string, line int, end_line int, complexity int, level int, "
-    "names array<string>, exported boolean, auth boolean, detail string, fidelity string"
+    "names array<string>, exported boolean, auth boolean, detail string, fidelity string, signature string, doc string, decorated boolean"
 )
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -78,7 +87,7 @@ class Collector(ast.NodeVisitor):
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         bases = [name_of(b) for b in node.bases]
         methods = [x.name for x in node.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)]
-        self.add("symbol", node.name, node.lineno, kind="class", parent=self.owner(), end_line=node.end_lineno, complexity=1, names=methods, exported=False, detail=",".join(bases))
+        self.add("symbol", node.name, node.lineno, kind="class", parent=self.owner(), end_line=node.end_lineno, complexity=1, names=methods, exported=False, detail=",".join(bases), signature=f"class {node.name}" + (f"({', '.join(bases)})" if bases else ""), doc=ast.get_docstring(node))
         if MODEL_BASES & {b for b in bases} or MODEL_BASES & {b.split(".")[-1] for b in bases}:
             self.model(node)
         self.below(node)
@@ -108,7 +117,9 @@ class Collector(ast.NodeVisitor):
         kind = "method" if self.stack and isinstance(self.stack[-1], ast.ClassDef) else "function"
         a = node.args
         params = [x.arg for x in (*a.posonlyargs, *a.args)] + [f"*{x.arg}" for x in (a.vararg,) if x] + [x.arg for x in a.kwonlyargs] + [f"**{x.arg}" for x in (a.kwarg,) if x]
-        self.add("symbol", node.name, node.lineno, kind=kind, parent=self.owner(), end_line=node.end_lineno, complexity=1 + branches, names=params, exported=not node.name.startswith("_"))
+        gives = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+        signature = f"{'async ' if isinstance(node, ast.AsyncFunctionDef) else ''}def {node.name}({', '.join(params)}){gives}"[:300]
+        self.add("symbol", node.name, node.lineno, kind=kind, parent=self.owner(), end_line=node.end_lineno, complexity=1 + branches, names=params, exported=not node.name.startswith("_"), signature=signature, doc=ast.get_docstring(node), decorated=bool(node.decorator_list))
         self.routes(node)
         self.below(node)
 
@@ -153,13 +164,30 @@ class Collector(ast.NodeVisitor):
             if last in ("include_router", "register_blueprint") and node.args:
                 prefix = next((_text(k.value) for k in node.keywords if k.arg in ("prefix", "url_prefix")), None)
                 self.add("mount", name_of(node.args[0]), node.lineno, parent=head, target=prefix or "")
-            if head.endswith("objects") and last in MANAGER:
-                self.add("query", head.rpartition(".")[0], node.lineno, kind=MANAGER[last], parent=self.owner())
-            elif head.split(".")[-1] in ("session", "db") and last in SESSION:
-                literal = next((_text(x) for x in ast.walk(node) if _text(x)), None)
-                self.add("query", name_of(node.args[0]) if node.args else "", node.lineno, kind=SESSION[last], parent=self.owner(), detail=literal)
+            self.queries(node, head.split("."), last)
         self.generic_visit(node)
 
+    def queries(self, node: ast.Call, head: list[str], last: str) -> None:
+        """Calls on managers and sessions, and statements in text(); the library is the record's target."""
+        first = node.args[0] if node.args else None
+        literal = _text(first) or ""
+        if "objects" in head:
+            if last in MANAGER:
+                self.add("query", ".".join(head[: head.index("objects")][-1:]), node.lineno, kind=MANAGER[last], parent=self.owner(), target="Django ORM")
+        elif (head[-1] in RECEIVERS or head[-1].endswith(("_session", "_conn"))) and last in SESSION:
+            found = next((_text(x) for x in ast.walk(node) if _text(x)), None)
+            self.add("query", name_of(first).split(".")[-1], node.lineno, kind=SESSION[last], parent=self.owner(), target="SQLAlchemy", detail=found)
+        if last in ("text", "sql") and WITHIN.search(literal) and not STATEMENT.match(literal):
+            self.statement(literal, node.lineno)
+
+    def visit_Constant(self, node: ast.Constant) -> None:
+        if isinstance(node.value, str) and STATEMENT.match(node.value):
+            self.statement(node.value, node.lineno)
+
+    def statement(self, text: str, line: int) -> None:
+        kind = re.match(r"\s*(\w+)", text)
+        self.add("query", "", line, kind=kind[1].lower() if kind else "unknown", parent=self.owner(), target="raw SQL", detail=text.strip()[:200])
+
     def below(self, node: ast.AST) -> None:
         self.stack.append(node)
         self.generic_visit(node)
@@ -203,6 +231,10 @@ PATTERNS = {
         ("symbol", "class", r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
         ("symbol", "function", r"(?m)^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"),
         ("symbol", "type", r"(?m)^\s*(?:export\s+)?(?:interface|type|enum)\s+([A-Za-z_$][\w$]*)"),
+        ("symbol", "method", r"(?m)^\s+(?:(?:public|private|protected|static|override|async|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|with|function|return)\b)(#?[A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?::\s*[^={;]+)?\{"),
+        ("symbol", "state", r"(?m)^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:\w+\.)*(?:createContext|createSlice|createApi|createAsyncThunk)\b"),
+        ("symbol", "router", r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:new\s+)?(?:(?:\w+\.)*Router|express)\("),
+        ("symbol", "constant", r"""(?m)^(?:export\s+)?const\s+([A-Z][\w]*)\s*(?::[^=]+)?=\s*(?=[\[{"'`\d]|true\b|false\b|null\b)"""),
         ("route", "express", r"""\b(?:app|router|server|fastify)\.(get|post|put|patch|delete|all)\(\s*['"`]([^'"`]+)['"`]"""),
         ("route", "nest", r"""(?m)^\s*@(Get|Post|Put|Patch|Delete|All)\(\s*['"`]?([^'"`)]*)['"`]?\s*\)"""),
         ("mount", "express", r"""\b(?:app|router)\.use\(\s*['"`]([^'"`]+)['"`]\s*,\s*([\w.]+)"""),
@@ -223,7 +255,7 @@ PATTERNS = {
         ("symbol", "class", r"(?m)^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+)*(?:class|interface|enum|record)\s+([A-Za-z_]\w*)"),
         ("route", "spring", r"""@(Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*)?"([^"]+)\""""),
     ),
-    "ruby": (("import", "require", r"""(?m)^\s*require(?:_relative)?\s+['"]([^'"]+)"""), ("symbol", "function", r"(?m)^\s*def\s+(?:self\.)?([a-z_]\w*[?!]?)"), ("symbol", "class", r"(?m)^\s*(?:class|module)\s+([A-Z]\w*)"), ("route", "rails", r"""(?m)^\s*(get|post|put|patch|delete)\s+['"]([^'"]+)""")),
+    "ruby": (("import", "require", r"""(?m)^\s*require\s+['"]([^'"]+)"""), ("import", "require_relative", r"""(?m)^\s*require_relative\s+['"]([^'"]+)"""), ("symbol", "function", r"(?m)^\s*def\s+(?:self\.)?([a-z_]\w*[?!]?)"), ("symbol", "class", r"(?m)^\s*(?:class|module)\s+([A-Z]\w*)"), ("route", "rails", r"""(?m)^\s*(get|post|put|patch|delete)\s+['"]([^'"]+)""")),
     "php": (("import", "import", r"(?m)^\s*use\s+([\w\\]+)"), ("symbol", "function", r"(?m)\bfunction\s+([A-Za-z_]\w*)"), ("symbol", "class", r"(?m)^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+([A-Za-z_]\w*)"), ("route", "laravel", r"""Route::(get|post|put|patch|delete)\(\s*['"]([^'"]+)""")),
     "rust": (("import", "import", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"), ("symbol", "function", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([a-z_]\w*)"), ("symbol", "class", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+([A-Z]\w*)")),
     "c": (("import", "include", r"""(?m)^\s*#\s*include\s+[<"]([^>"]+)"""), ("symbol", "function", r"(?m)^[A-Za-z_][\w\s*]*?\b([A-Za-z_]\w*)\s*\([^;{)]*\)\s*\{"), ("symbol", "class", r"(?m)^\s*(?:typedef\s+)?(?:struct|class)\s+([A-Za-z_]\w*)\s*[{:]")),
@@ -256,6 +288,36 @@ def _tagged(record: str, kind: str, pattern: str) -> Column:
     return F.transform(part(1), lambda x: row(x, F.lit(None)))
 
 
+#: What part of an imported module's name tells of which framework.
+PYTHON_HINTS = {
+    "fastapi": "FastAPI", "flask": "Flask", "django": "Django", "rest_framework": "Django REST Framework", "sqlalchemy": "SQLAlchemy", "pydantic": "Pydantic", "celery": "Celery", "starlette": "Starlette",
+    "tortoise": "Tortoise ORM", "peewee": "Peewee", "mongoengine": "MongoEngine", "boto3": "AWS SDK",
+}
+JS_HINTS = {
+    "next": "Next.js", "react": "React", "express": "Express", "@nestjs": "NestJS", "fastify": "Fastify", "koa": "Koa", "@prisma/client": "Prisma", "prisma": "Prisma", "sequelize": "Sequelize", "typeorm": "TypeORM",
+    "mongoose": "Mongoose", "knex": "Knex", "drizzle-orm": "Drizzle ORM", "@trpc/server": "tRPC", "graphql": "GraphQL (Apollo)", "apollo-server": "GraphQL (Apollo)", "@apollo/server": "GraphQL (Apollo)",
+    "redux": "Redux", "@reduxjs/toolkit": "Redux", "zustand": "Zustand", "vue": "Vue", "svelte": "Svelte", "axios": "Axios", "jsonwebtoken": "JWT", "bcrypt": "bcrypt", "passport": "Passport", "cors": "CORS",
+    "zod": "Zod", "ws": "WebSockets", "socket.io": "Socket.IO", "ioredis": "Redis", "redis": "Redis", "pg": "PostgreSQL (node-postgres)", "mongodb": "MongoDB", "mysql2": "MySQL", "better-sqlite3": "SQLite",
+    "@trpc/client": "tRPC", "@tanstack/react-query": "TanStack Query", "tailwind-merge": "Tailwind CSS",
+}
+OTHER_HINTS = {
+    "spring": "Spring Boot", "springframework": "Spring Boot", "gin-gonic": "Gin", "labstack/echo": "Echo", "gorm.io": "GORM", "database/sql": "database/sql", "rails": "Rails", "sinatra": "Sinatra",
+    "illuminate": "Laravel", "symfony": "Symfony", "actix": "Actix", "axum": "Axum", "serde": "Serde", "gorm": "GORM", "sqlx": "sqlx", "tokio": "Tokio",
+}
+
+
+def framework_hints(imports: DataFrame) -> DataFrame:
+    """Distinct (path, framework) that imports (path, name) tell of: a marker within the name, or at its head in JavaScript.
+
+    The markers are a fixed list, so each import is tried against them in its own row.
+    """
+    name, lang = F.lower("name"), language(F.col("path"))
+    within = lambda hints: F.array_compact(F.array(*[F.when(name.contains(k), F.lit(v)) for k, v in hints.items()]))
+    head = F.array_compact(F.array(*[F.when((name == k) | name.startswith(k + "/"), F.lit(v)) for k, v in JS_HINTS.items()]))
+    found = F.when(lang == "python", within(PYTHON_HINTS)).when(lang.isin("javascript", "typescript", "jsx", "tsx"), head).otherwise(within(OTHER_HINTS))
+    return imports.where("name is not null").select("path", F.explode(found).alias("framework")).distinct()
+
+
 URLS = r"""\b(?:path|re_path|url)\(\s*r?['"]([^'"]*)['"]\s*,\s*(include\(\s*)?['"]?([\w.]+)"""
 
 

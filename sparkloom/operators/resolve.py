@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.paths import basename, dirname
+from sparkloom.functions.paths import basename, dirname, language
 from sparkloom.plans.storage import staged
 
 #: Names of an import that are tried as submodules.
@@ -22,6 +22,13 @@ def _below(folder: Column, rest: Column) -> Column:
     return F.concat_ws("/", F.nullif(folder, F.lit("")), F.nullif(rest, F.lit("")))
 
 
+def _folded(path: Column) -> Column:
+    """path without `.` parts and with up to eight `..` parts taken off with the folder before each."""
+    for _ in range(8):
+        path = F.regexp_replace(F.regexp_replace(path, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return path
+
+
 def resolved_imports(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = ("", "src", "app", "lib")) -> DataFrame:
     """imports (path, name, level, names, line) with resolved: the first candidate that is a file, else null.
 
@@ -51,9 +58,7 @@ def resolved_js(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> Dat
 
     Parent folders are folded by a regular expression applied as often as a specifier can hold them.
     """
-    rel = _below(dirname(F.col("path")), F.col("name"))
-    for _ in range(8):
-        rel = F.regexp_replace(F.regexp_replace(rel, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    rel = _folded(_below(dirname(F.col("path")), F.col("name")))
     plain = imports.withColumn("import_id", F.sha2(F.to_json(F.struct("path", "name")), 256))
     near = plain.where(F.col("name").startswith(".")).select("import_id", F.lit(0).alias("rank"), rel.alias("base"))
     bare = plain.where(~F.col("name").startswith("."))
@@ -68,6 +73,50 @@ def resolved_js(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> Dat
     return plain.join(hit, "import_id", "left").drop("import_id")
 
 
+def resolved_modules(imports: DataFrame, files: DataFrame, go_modules: DataFrame) -> DataFrame:
+    """imports (path, name, kind) of Go, Java, Ruby, PHP, Rust, C and C++ files with resolved: the first place that is a file, else null.
+
+    Every language names its places as keys: a path, a file's stem, its name, or a folder of Go files. files are
+    grouped by key first, so that a name that many files share is one row (the least path), and imports meet
+    them in one equi-join. go_modules (module) are those of the go.mod files; the longest that begins an import wins.
+    A module's own name is its root folder. Names that no key can be made of, nulls included, stay unresolved.
+    """
+    path, name = F.col("path"), F.col("name")
+    lang, stem = language(path), F.element_at(F.split(basename(path), r"\."), 1)
+    keyed = files.select(path).where("path is not null").distinct()
+    own = F.array(
+        F.concat(F.lit("path:"), path), F.concat(F.lit("name:"), basename(path)), F.concat(F.lit("stem:"), stem),
+        F.when(lang.isin("java", "kotlin", "scala"), F.concat(F.lit("class:"), stem)), F.when(path.endswith(".go") & ~path.endswith("_test.go"), F.concat(F.lit("go:"), dirname(path))),
+    )
+    places = keyed.select(F.explode(F.array_compact(own)).alias("key"), "path").groupBy("key").agg(F.min("path").alias("candidate"))
+    src = "src" if not keyed.where(path.startswith("src/")).isEmpty() else ""
+
+    def at(*options: Column) -> Column:
+        return F.array(*[F.concat(F.lit("path:"), _folded(o)) for o in options])
+
+    near = _below(dirname(path), name)
+    last = lambda mark: F.element_at(F.split(name, mark), -1)
+    php = F.replace(name, F.lit("\\"), F.lit("/"))
+    rust = _below(F.lit(src), F.array_join(F.filter(F.split(F.regexp_replace(name, "(?:crate|self|super)::", ""), "::"), lambda p: p != ""), "/"))
+    near_ruby = (F.col("kind") == "require_relative") | name.startswith(".") | name.startswith("app/")
+    keys = (
+        F.when(lang == "java", F.array(F.concat(F.lit("class:"), last(r"\."))))
+        .when((lang == "ruby") & near_ruby, at(F.concat(near, F.lit(".rb")), F.concat(near, F.lit("/index.rb"))))
+        .when(lang == "ruby", at(F.concat(name, F.lit(".rb"))))
+        .when(lang == "php", F.concat(at(F.concat(php, F.lit(".php")), F.concat(php, F.lit("/index.php")), *[F.concat(F.lit(f"{r}/"), php, F.lit(".php")) for r in ("app", "src", "lib")]), F.array(F.concat(F.lit("stem:"), last(r"\\")))))
+        .when(lang == "rust", at(F.concat(rust, F.lit(".rs")), F.concat(rust, F.lit("/mod.rs"))))
+        .when(lang.isin("c", "cpp"), F.concat(at(near), F.array(F.concat(F.lit("name:"), basename(name)))))
+    )
+    rows = imports.withColumn("import_id", F.sha2(F.to_json(F.struct("path", "name", "kind")), 256))
+    plain = rows.where(lang != "go").select("import_id", F.posexplode(keys).alias("place", "key"))
+    # prefixes of a Go import at its slashes, longest first; the rest is a folder
+    parts = F.split("name", "/")
+    go = rows.where(lang == "go").select("import_id", "name", F.explode(F.transform(F.sequence(F.size(parts), F.lit(1)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, 1, i), "/").alias("module")))).alias("x")).select("import_id", "name", "x.n", "x.module")
+    go = go.join(go_modules.select("module").distinct(), "module").select("import_id", (-F.col("n")).alias("place"), F.concat(F.lit("go:"), F.expr("trim(LEADING '/' FROM substring(name, length(module) + 1))")).alias("key"))
+    hit = plain.unionByName(go).join(places, "key").groupBy("import_id").agg(F.min_by("candidate", "place").alias("resolved"))
+    return rows.join(hit, "import_id", "left").drop("import_id")
+
+
 def import_edges(resolved: DataFrame) -> DataFrame:
     """Edges (source, target, kind, weight) of resolved imports without loops and repeats."""
     e = resolved.where("resolved is not null and resolved != path").select(F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("import").alias("kind"))

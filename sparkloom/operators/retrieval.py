@@ -67,6 +67,30 @@ def doc_slices(chunks: DataFrame, size: int = 4000, least: int = 40) -> DataFram
     return s.where(F.length(F.btrim("slice")) >= least).select("id", "start", "line", F.length("slice").alias("chars"))
 
 
+def code_chunks(files: DataFrame, symbols: DataFrame, body: int = 4000, most: int = 6000, head: int = 2500) -> DataFrame:
+    """Rows (path, symbol, kind, start_line, end_line, text, tokens): a chunk for each function, method, class and component, and one for a file of two symbols at most.
+
+    files: path, text, language; symbols: path, name, kind, parent, line, end_line, doc. A file's symbols are
+    brought to its row and their lines cut from it there, so a text is not repeated for each of them. Symbols
+    without lines give no chunk; a file whose first `head` characters hold 60 or less is left out, and so is a null text.
+    """
+    s = symbols.groupBy("path").agg(F.collect_list(F.struct("line", "end_line", "name", "kind", "parent", "doc")).alias("all"))  # the symbols of one file
+    rows = files.where("text is not null").select("path", "text", "language").join(s, "path", "left").withColumn("all", F.coalesce("all", F.array().cast(s.schema["all"].dataType)))
+    lines = F.split("text", r"\r\n|[\n\r]")
+    kept = F.filter("all", lambda x: x["kind"].isin("function", "method", "class", "component") & x["line"].isNotNull() & x["end_line"].isNotNull())
+    cut = F.transform(kept, lambda x: F.struct(x.alias("s"), F.array_join(F.slice(lines, x["line"], F.greatest(x["end_line"] - x["line"] + 1, F.lit(0))), "\n").alias("code")))
+    each = rows.select("path", "language", F.explode(cut).alias("x")).select("path", "language", "x.s.*", "x.code")
+    code = F.when(F.length("code") > body, F.concat(F.left("code", F.lit(body)), F.lit("\n… (truncated)"))).otherwise(F.col("code"))
+    within = F.coalesce(F.concat(F.lit(" in class "), "parent"), F.lit(""))
+    purpose = F.coalesce(F.concat(F.lit("purpose: "), "doc", F.lit("\n")), F.lit(""))
+    whole = F.concat(F.lit("file: "), "path", F.lit("\nlanguage: "), "language", F.lit("\nsymbol: "), "kind", F.lit(" "), "name", within, F.lit("\n"), purpose, F.lit("code:\n"), code)
+    out = each.select("path", F.col("name").alias("symbol"), F.lit("symbol").alias("kind"), F.col("line").alias("start_line"), "end_line", whole.alias("text"))
+    first = rows.where(F.size("all") <= 2).withColumn("head", F.left("text", F.lit(head))).where(F.length(F.regexp_replace("head", r"^\s+|\s+$", "")) > 60)
+    file = F.concat(F.lit("file: "), "path", F.lit("\nlanguage: "), "language", F.lit("\ncontent:\n"), "head")
+    small = first.select("path", F.lit(None).cast("string"), F.lit("file"), F.lit(1), F.greatest(F.lit(1), F.regexp_count("head", F.lit("\n"))), file, F.greatest(F.lit(1), F.floor(F.length("head") / 4)))
+    return out.withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("text") / 4))).union(small).withColumn("text", F.left("text", F.lit(most)))
+
+
 def term_index(chunks: DataFrame, most: int = 800) -> DataFrame:
     """Distinct terms of each chunk in order of first place, most at the most: id, n_terms, digest."""
     kept = F.slice(t.terms(F.col("text")), 1, most)

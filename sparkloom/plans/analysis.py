@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import paths as p
 from sparkloom.functions import text as t
-from sparkloom.operators import endpoints, extract, graph, impact, quality, resolve, retrieval, store
+from sparkloom.operators import endpoints, extract, graph, impact, quality, resolve, retrieval, store, workflow
 from sparkloom.plans.storage import staged
 from sparkloom.sources import corpus
 
@@ -57,8 +57,10 @@ class Analysis:
     def imports(self) -> DataFrame:
         """path, name, resolved, names, external."""
         py = resolve.resolved_imports(self.records.where("record = 'import'"), self.files).select("path", "name", "names", "level", "line", "resolved")
-        js = resolve.resolved_js(self.other_records.where("record = 'import'"), self.files, corpus.aliases(self.files)).select("path", "name", "resolved")
-        both = py.unionByName(js, allowMissingColumns=True)
+        other, script = self.other_records.where("record = 'import'"), p.language(F.col("path")).isin("javascript", "typescript", "jsx", "tsx")
+        js = resolve.resolved_js(other.where(script), self.files, corpus.aliases(self.files)).select("path", "name", "resolved")
+        rest = resolve.resolved_modules(other.where(~script), self.files, corpus.go_modules(self.files)).select("path", "name", "resolved")
+        both = py.unionByName(js.unionByName(rest), allowMissingColumns=True)
         return staged(both.withColumn("external", F.col("resolved").isNull() & ~F.col("name").startswith(".") & (F.coalesce("level", F.lit(0)) == 0)), "imports")
 
     @cached_property
@@ -122,6 +124,34 @@ class Analysis:
     def workflows(self) -> DataFrame:
         return resolve.workflows(self.records.where("record = 'route'"), self.calls, self.files.select("path", "layer"))
 
+    @cached_property
+    def traces(self) -> tuple[DataFrame, DataFrame]:
+        """Steps and reports of the first sixty routes."""
+        routes = workflow.seeds(self.apis().where("not is_test"))
+        queries = self.records.where("record = 'query'").select("path", "parent", "line", F.col("target").alias("orm"), F.col("name").alias("table"))
+        return workflow.traced(routes, self.calls, self.records.where("record = 'symbol'"), queries, self.files.select("path", "layer"))
+
+    def trace_symbol(self, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """Steps and report of what one symbol calls."""
+        s = self.records.where((F.col("record") == "symbol") & (F.col("path") == path) & (F.col("name") == name))
+        routes = s.select(F.lit("CALL").alias("method"), F.col("name").alias("path"), F.col("path").alias("file_path"), "line", F.col("name").alias("handler"), F.lit(None).cast("string").alias("framework"), F.lit(False).alias("auth"))
+        queries = self.records.where("record = 'query'").select("path", "parent", "line", F.col("target").alias("orm"), F.col("name").alias("table"))
+        return workflow.traced(routes, self.calls, self.records.where("record = 'symbol'"), queries, self.files.select("path", "layer"))
+
+    def background(self) -> DataFrame:
+        return workflow.background(self.records.where("record = 'symbol'"))
+
+    def hints(self) -> DataFrame:
+        """Frameworks that each file's imports tell of."""
+        return extract.framework_hints(self.imports)
+
+    def chunks(self) -> DataFrame:
+        """Chunks of the code files that parse."""
+        broken = self.records.where("record = 'error'").select("path")
+        files = self.files.where(F.col("language").isin(*CODE)).join(broken, "path", "left_anti")
+        symbols = self.records.where("record = 'symbol'").select("path", "name", "kind", "parent", "line", "end_line", "doc")
+        return retrieval.code_chunks(files, symbols.unionByName(self.other_records.where("record = 'symbol'").select("path", "name", "kind"), allowMissingColumns=True))
+
     def packages(self, n: int = 60) -> DataFrame:
         """External packages by imports."""
         head = F.element_at(F.split("name", r"[./]"), 1)

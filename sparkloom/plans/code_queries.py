@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.operators import extract, reports
+from sparkloom.operators import extract, reports, workflow
 from sparkloom.plans.analysis import Analysis
 from sparkloom.sources import corpus, sample
 
@@ -114,11 +114,65 @@ def code_migration_only(spark: SparkSession, d: str) -> DataFrame:
     return reports.migration_only(extract.migrations(sample.files(spark)), _analysis(spark).database().select("table").distinct())
 
 
+def _more(spark: SparkSession) -> Analysis:
+    return Analysis(sample.files(spark, sample.MORE))
+
+
+def code_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of Go, Java, Ruby, PHP, Rust and C."""
+    return _more(spark).imports.where("level is null").select("path", "name", "resolved")
+
+
+def code_traces(spark: SparkSession, d: str) -> DataFrame:
+    return _more(spark).traces[0]
+
+
+def code_trace_reports(spark: SparkSession, d: str) -> DataFrame:
+    r = workflow.listed(_more(spark).traces[1])
+    return r.select("trigger", "category", "scope", "n_steps", "confidence", "truncated", "description", _joined("files"))
+
+
+def code_symbol_trace(spark: SparkSession, d: str) -> DataFrame:
+    return _more(spark).trace_symbol("services/accounts.py", "find")[0]
+
+
+def code_entering(spark: SparkSession, d: str) -> DataFrame:
+    return workflow.entering(_more(spark).traces[0], "repositories/people.py", "row_of")
+
+
+def code_background(spark: SparkSession, d: str) -> DataFrame:
+    return _more(spark).background().select("path", "trigger", _joined("tasks"))
+
+
+def code_hints(spark: SparkSession, d: str) -> DataFrame:
+    return _more(spark).hints()
+
+
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = _more(spark).chunks()
+    return c.select("path", "symbol", "kind", "start_line", "end_line", "tokens", F.sha1(F.col("text").cast("binary")).alias("sha1"))
+
+
+def code_query_sites(spark: SparkSession, d: str) -> DataFrame:
+    r = _more(spark).records.where("record = 'query'")
+    return r.select("path", "parent", "line", "kind", "name", F.col("target").alias("orm"), "detail")
+
+
+def code_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return _more(spark).records.where("record = 'symbol'").select("path", "name", "signature", "doc", "decorated")
+
+
+def code_script_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of the second tree's script file."""
+    return _more(spark).other_records.where("record = 'symbol' and path = 'web/store.ts'").select("kind", "name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         code_records, code_other_records, code_symbols, code_imports, code_calls, code_edges, code_nodes, code_routes, code_models, code_workflows, code_cycles, code_packages, code_manifests, code_aliases,
         code_references, code_architecture, code_issues, code_impact, code_django, code_migrations, code_migration_only,
+        code_modules, code_traces, code_trace_reports, code_symbol_trace, code_entering, code_background, code_hints, code_chunks, code_query_sites, code_signatures, code_script_symbols,
     )
 }
 
@@ -148,7 +202,7 @@ ORACLES = {
 ('app/models.py', 'symbol', 'LIMIT', 'constant', NULL, NULL, 13, 1, '', NULL, NULL),
 ('app/models.py', 'symbol', 'Team', 'class', NULL, NULL, 7, 1, '', NULL, 'Base'),
 ('app/models.py', 'symbol', 'User', 'class', NULL, NULL, 1, 1, '', NULL, 'Base'),
-('app/services/user.py', 'query', 'User', 'select', 'fetch', NULL, 9, NULL, '', NULL, NULL),
+('app/services/user.py', 'query', 'User', 'select', 'fetch', 'SQLAlchemy', 9, NULL, '', NULL, NULL),
 ('app/services/user.py', 'symbol', 'fetch', 'function', NULL, NULL, 8, 1, 'id', NULL, NULL),
 ('app/services/user.py', 'symbol', 'load_user', 'function', NULL, NULL, 4, 1, 'id', NULL, NULL),
 ('app/util/left.py', 'symbol', 'a', 'function', NULL, NULL, 4, 1, '', NULL, NULL),
@@ -177,7 +231,9 @@ ORACLES = {
 ('web/src/cats.controller.ts', 'symbol', 'class', 'Cat', NULL, 'approx'),
 ('web/src/cats.controller.ts', 'symbol', 'class', 'Cats', NULL, 'approx'),
 ('web/src/lib/api.ts', 'import', 'require', 'express', NULL, 'approx'),
-('web/src/lib/api.ts', 'route', 'express', '/items', 'GET', 'approx')""",
+('web/src/lib/api.ts', 'route', 'express', '/items', 'GET', 'approx'),
+('web/src/cats.controller.ts', 'symbol', 'method', 'add', NULL, 'approx'),
+('web/src/cats.controller.ts', 'symbol', 'method', 'one', NULL, 'approx')""",
     ),
     "code_symbols": _rows(
         "path name kind line loc complexity exported",
@@ -198,7 +254,9 @@ ORACLES = {
 ('web/app/(shop)/helper.ts', 'helper', 'function', NULL, NULL, NULL, NULL),
 ('web/app/(shop)/items/[id]/page.tsx', 'Page', 'function', NULL, NULL, NULL, NULL),
 ('web/src/cats.controller.ts', 'Cat', 'class', NULL, NULL, NULL, NULL),
-('web/src/cats.controller.ts', 'Cats', 'class', NULL, NULL, NULL, NULL)""",
+('web/src/cats.controller.ts', 'Cats', 'class', NULL, NULL, NULL, NULL),
+('web/src/cats.controller.ts', 'add', 'method', NULL, NULL, NULL, NULL),
+('web/src/cats.controller.ts', 'one', 'method', NULL, NULL, NULL, NULL)""",
     ),
     "code_imports": _rows(
         "path name names level resolved external",
@@ -405,4 +463,125 @@ ORACLES = {
         """('audit', 'alembic/versions/1_start.py'),
 ('log', 'db/migrate/2.sql')""",
     ),
+    "code_modules": _rows(
+        "path name resolved",
+        "VARCHAR VARCHAR VARCHAR",
+        r"""('c/main.c', '../inc/a.h', 'inc/a.h'),
+('c/main.c', 'b.h', 'z/b.h'),
+('c/main.c', 'stdio.h', NULL),
+('cmd/main.go', 'example.com/m/internal/store', 'internal/store/a.go'),
+('cmd/main.go', 'github.com/gin-gonic/gin', NULL),
+('j/App.java', 'com.shop.Cart', 'j/com/shop/Cart.java'),
+('j/App.java', 'org.springframework.boot.Run', NULL),
+('php/index.php', 'App\Models\Item', 'old/Item.php'),
+('php/index.php', 'Illuminate\Http\Request', NULL),
+('php/index.php', 'Model\Price', 'app/Model/Price.php'),
+('rb/app.rb', 'app/auth', 'rb/app/auth.rb'),
+('rb/app.rb', 'json', NULL),
+('rb/app.rb', 'lib/x', 'rb/lib/x.rb'),
+('src/lib.rs', 'crate::net::http', 'src/net/http.rs'),
+('src/lib.rs', 'serde::Serialize', NULL),
+('web/store.ts', 'react', NULL)""",
+    ),
+    "code_traces": _rows(
+        "workflow step kind label file line",
+        "VARCHAR INT VARCHAR VARCHAR VARCHAR INT",
+        """('GET /ping api/login.py ping', 1, 'api', 'GET /ping', 'api/login.py', 19),
+('GET /ping api/login.py ping', 2, 'controller', 'ping', 'api/login.py', 19),
+('POST /login api/login.py login', 1, 'api', 'POST /login', 'api/login.py', 8),
+('POST /login api/login.py login', 10, 'database', 'Django ORM · Person', 'repositories/people.py', 2),
+('POST /login api/login.py login', 2, 'middleware', 'Authentication / authorisation check', 'api/login.py', 8),
+('POST /login api/login.py login', 3, 'controller', 'login', 'api/login.py', 8),
+('POST /login api/login.py login', 4, 'service', 'find', 'services/accounts.py', 4),
+('POST /login api/login.py login', 5, 'service', 'remember', 'services/accounts.py', 9),
+('POST /login api/login.py login', 6, 'controller', 'helper', 'api/login.py', 14),
+('POST /login api/login.py login', 7, 'repository', 'row_of', 'repositories/people.py', 1),
+('POST /login api/login.py login', 8, 'database', 'SQLAlchemy', 'services/accounts.py', 11),
+('POST /login api/login.py login', 9, 'database', 'raw SQL', 'services/accounts.py', 11)""",
+    ),
+    "code_trace_reports": _rows(
+        "trigger category scope n_steps confidence truncated description files",
+        "VARCHAR VARCHAR VARCHAR BIGINT DOUBLE BOOLEAN VARCHAR VARCHAR",
+        """('GET /ping', 'crud', 'application', 2, 0.61, false, 'GET /ping handled in api/login.py', 'api/login.py'),
+('POST /login', 'auth', 'application', 10, 0.95, false, 'POST /login → login → find → remember → helper', 'api/login.py,repositories/people.py,services/accounts.py')""",
+    ),
+    "code_symbol_trace": _rows(
+        "workflow step kind label file line",
+        "VARCHAR INT VARCHAR VARCHAR VARCHAR INT",
+        """('CALL find services/accounts.py find', 1, 'api', 'CALL find', 'services/accounts.py', 4),
+('CALL find services/accounts.py find', 2, 'service', 'find', 'services/accounts.py', 4),
+('CALL find services/accounts.py find', 3, 'repository', 'row_of', 'repositories/people.py', 1),
+('CALL find services/accounts.py find', 4, 'database', 'SQLAlchemy', 'services/accounts.py', 11),
+('CALL find services/accounts.py find', 5, 'database', 'raw SQL', 'services/accounts.py', 11),
+('CALL find services/accounts.py find', 6, 'database', 'Django ORM · Person', 'repositories/people.py', 2)""",
+    ),
+    "code_entering": _rows(
+        "workflow",
+        "VARCHAR",
+        """('POST /login api/login.py login')""",
+    ),
+    "code_background": _rows(
+        "path trigger tasks",
+        "VARCHAR VARCHAR VARCHAR",
+        """('jobs/mail.py', 'background:mail.py', 'send,task_clean')""",
+    ),
+    "code_hints": _rows(
+        "path framework",
+        "VARCHAR VARCHAR",
+        """('api/login.py', 'FastAPI'),
+('cmd/main.go', 'Gin'),
+('j/App.java', 'Spring Boot'),
+('jobs/mail.py', 'Celery'),
+('php/index.php', 'Laravel'),
+('src/lib.rs', 'Serde'),
+('web/store.ts', 'React')""",
+    ),
+    "code_chunks": _rows(
+        "path symbol kind start_line end_line tokens sha1",
+        "VARCHAR VARCHAR VARCHAR INT INT BIGINT VARCHAR",
+        """('api/login.py', 'helper', 'symbol', 14, 15, 24, 'fecf51880b0b6d8916da3aae3d13e4f971b4e604'),
+('api/login.py', 'login', 'symbol', 8, 11, 43, '08b71ae800b12a16e90649507b52f157e2e54e7a'),
+('api/login.py', 'ping', 'symbol', 19, 20, 23, '05b46af44ac2d7b18b8acb2731853285c9c24f02'),
+('c/main.c', NULL, 'file', 1, 7, 22, '21ccbf75e7e1b09a2ae4b9076bac6f8029b49dc9'),
+('cmd/main.go', NULL, 'file', 1, 6, 21, 'cdd9cdf211756805cab96e6bd22b2e3cbb356ec8'),
+('j/App.java', NULL, 'file', 1, 4, 18, '6912edc70ef1831a54acb1a5f21fc40c270e98ba'),
+('jobs/mail.py', 'other', 'symbol', 13, 14, 22, '6e406b51a72d8ac5a89ec4fddf913ba2922f1bd5'),
+('jobs/mail.py', 'send', 'symbol', 5, 6, 22, '14f8f12a973644f0e6ce725472bf0b9f3a1e0214'),
+('jobs/mail.py', 'task_clean', 'symbol', 9, 10, 25, '46e1df8d47821e0fdbc7eef68f1ac28e1e7f7171'),
+('php/index.php', NULL, 'file', 1, 4, 18, '514b6abf5b6ce2da77f6ab5e38de983a81bdb523'),
+('repositories/people.py', 'row_of', 'symbol', 1, 2, 36, '3caf9ded681c8d498aeb60cd2b35777c8d145a77'),
+('repositories/people.py', NULL, 'file', 1, 2, 17, 'ac579f345389253157cf2f7c36e553fe6664ff03'),
+('services/accounts.py', 'find', 'symbol', 4, 6, 41, '7cb95a2c91b6181fa5417260c87a5f7d84a4d075'),
+('services/accounts.py', 'remember', 'symbol', 9, 11, 40, '33a2a0fe4c7e3faa92093289039890ccb7030ec3'),
+('services/accounts.py', NULL, 'file', 1, 11, 49, '3559e904aae160df377783f322af182a140df4b7')""",
+    ),
+    "code_query_sites": _rows(
+        "path parent line kind name orm detail",
+        "VARCHAR VARCHAR INT VARCHAR VARCHAR VARCHAR VARCHAR",
+        """('repositories/people.py', 'row_of', 2, 'select', 'Person', 'Django ORM', NULL),
+('services/accounts.py', 'remember', 10, 'insert', 'user', 'SQLAlchemy', NULL),
+('services/accounts.py', 'remember', 11, 'raw', '', 'SQLAlchemy', 'UPDATE people SET seen = 1'),
+('services/accounts.py', 'remember', 11, 'update', '', 'raw SQL', 'UPDATE people SET seen = 1')""",
+    ),
+    "code_signatures": _rows(
+        "path name signature doc decorated",
+        "VARCHAR VARCHAR VARCHAR VARCHAR BOOLEAN",
+        """('api/login.py', 'helper', 'def helper(user)', NULL, false),
+('api/login.py', 'login', 'def login(name, me)', NULL, true),
+('api/login.py', 'ping', 'def ping()', NULL, true),
+('jobs/mail.py', 'other', 'def other()', NULL, false),
+('jobs/mail.py', 'send', 'def send(to)', NULL, true),
+('jobs/mail.py', 'task_clean', 'def task_clean()', NULL, false),
+('repositories/people.py', 'row_of', 'def row_of(name) -> dict', NULL, false),
+('services/accounts.py', 'find', 'def find(name)', 'A person by name.', false),
+('services/accounts.py', 'remember', 'def remember(user)', NULL, false)""",
+    ),
+    "code_script_symbols": _rows(
+        "kind name",
+        "VARCHAR VARCHAR",
+        """('class', 'Cart'),
+('constant', 'LIMITS'),
+('method', 'total'),
+('state', 'Theme')""",
+    ),
 }

@@ -143,5 +143,11 @@ def aliases(files: DataFrame) -> DataFrame:
     return rows.select(base.alias("base"), strip(F.col("alias")).alias("alias"), F.explode("targets").alias("t")).select("base", "alias", strip(F.regexp_replace("t", r"^\./", "")).alias("target"))
 
 
+def go_modules(files: DataFrame) -> DataFrame:
+    """Rows (path, module) of the go.mod files."""
+    found = F.regexp_extract("text", r"(?m)^\s*module\s+(\S+)", 1)
+    return files.where(basename(F.col("path")) == "go.mod").select("path", found.alias("module")).where("module != ''")
+
+
 def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", language(F.col("path")))

@@ -38,7 +38,40 @@ FILES = {
     "go.mod": "module example.com/m\n\nrequire (\n\tgithub.com/a/b v1.2.3\n)\n",
 }
 
+#: A second tree: modules of several languages, and endpoints with queries and tasks behind them.
+MORE = {
+    "go.mod": "module example.com/m\n",
+    "cmd/main.go": 'package main\n\nimport (\n\t"example.com/m/internal/store"\n\t"github.com/gin-gonic/gin"\n)\n',
+    "internal/store/a.go": "package store\n\nfunc Open() {}\n",
+    "internal/store/a_test.go": "package store\n",
+    "j/App.java": "import com.shop.Cart;\nimport org.springframework.boot.Run;\n\nclass App {}\n",
+    "j/com/shop/Cart.java": "class Cart {}\n",
+    "rb/app.rb": "require 'app/auth'\nrequire_relative 'lib/x'\nrequire 'json'\n",
+    "rb/lib/x.rb": "class X\nend\n",
+    "rb/app/auth.rb": "def sign\nend\n",
+    "php/index.php": "<?php\nuse App\\Models\\Item;\nuse Model\\Price;\nuse Illuminate\\Http\\Request;\n",
+    "app/Model/Price.php": "<?php\nclass Price {}\n",
+    "old/Item.php": "<?php\nclass Item {}\n",
+    "src/lib.rs": "use crate::net::http;\nuse serde::Serialize;\n\npub fn go() {}\n",
+    "src/net/http.rs": "pub fn get() {}\n",
+    "c/main.c": '#include "../inc/a.h"\n#include "b.h"\n#include <stdio.h>\n\nint main(void) {\n  return 0;\n}\n',
+    "inc/a.h": "int a(void);\n",
+    "z/b.h": "int b(void);\n",
+    "api/login.py": (
+        "from fastapi import APIRouter, Depends\nfrom services.accounts import find, remember\n\nrouter = APIRouter()\n\n\n"
+        "@router.post('/login')\ndef login(name, me=Depends(current_user)):\n    user = find(name)\n    remember(user)\n    return helper(user)\n\n\n"
+        "def helper(user):\n    return user\n\n\n@router.get('/ping')\ndef ping():\n    return 'pong'\n"
+    ),
+    "services/accounts.py": (
+        "from repositories.people import row_of\n\n\ndef find(name):\n    \"\"\"A person by name.\"\"\"\n    return row_of(name)\n\n\n"
+        "def remember(user):\n    session.add(user)\n    db.execute('UPDATE people SET seen = 1')\n"
+    ),
+    "repositories/people.py": "def row_of(name) -> dict:\n    return Person.objects.filter(name=name)\n",
+    "jobs/mail.py": "from celery import shared_task\n\n\n@shared_task\ndef send(to):\n    return to\n\n\ndef task_clean():\n    return 1\n\n\ndef other():\n    return 2\n",
+    "web/store.ts": "import React, { createContext } from 'react'\nexport const Theme = createContext(null)\nconst LIMITS = { a: 1 }\nexport class Cart {\n  private total(x: number): number {\n    if (x) {\n      return x\n    }\n  }\n}\n",
+}
+
 
-def files(spark: SparkSession) -> DataFrame:
+def files(spark: SparkSession, tree: dict[str, str] = FILES) -> DataFrame:
     """Rows (path, text, size, reason) as corpus.read_tree gives them."""
-    return spark.createDataFrame([(k, v, len(v.encode()), None) for k, v in FILES.items()], "path string, text string, size long, reason string")
+    return spark.createDataFrame([(k, v, len(v.encode()), None) for k, v in tree.items()], "path string, text string, size long, reason string")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from sparkloom.functions import paths, text
-from sparkloom.operators import endpoints, extract, graph, resolve
+from sparkloom.operators import endpoints, extract, graph, resolve, retrieval, workflow
 from sparkloom.sources import corpus
 
 TREE = {
@@ -181,3 +181,62 @@ def test_missing_tests(spark):
     s = spark.createDataFrame([("a.py", "loadUser", 5), ("a.py", "save_all", 9), ("b.py", "orphan", 7)], "path string, name string, loc int")
     t = spark.createDataFrame([("user",), ("saveall",)], "name string")
     assert [r.name for r in resolve.missing_tests(s, t).collect()] == ["orphan"]
+
+
+def walked(start, calls, layer, base):
+    """A plain breadth-first trace: names of the steps behind a handler, and whether it was cut."""
+    todo, seen, steps, d = [(start, 1)], {start}, [], 0
+    while todo:
+        (at, d), todo = todo[0], todo[1:]
+        if d > workflow.MAX_DEPTH or base + len(steps) >= workflow.MAX_STEPS:
+            return steps, True
+        for to in calls.get(at, ()):
+            if to not in seen:
+                if len(seen) >= workflow.MAX_VISITED:
+                    return steps, True
+                seen.add(to)
+                if layer[to[0]] != "test":
+                    steps.append(to)
+                    todo.append((to, d + 1))
+    return steps, False
+
+
+@pytest.mark.parametrize("fan", [1, 3, 30])
+def test_traces_against_a_plain_search(spark, fan):
+    rng = random.Random(fan)
+    names = [(f"f{i % 9}.py", f"s{i}") for i in range(120)]
+    layer = {f"f{i}.py": "test" if i in (2, 7) else "service" for i in range(9)}
+    calls = {a: [names[rng.randrange(120)] for _ in range(rng.randrange(1, fan + 1))] for a in names}
+    rows = [(a[0], f"K.{a[1]}", b[1], f"x.{b[1]}", k, b[0]) for a, bs in calls.items() for k, b in enumerate(bs)]
+    routes = [("GET", f"/{i}", *names[i], i, "Flask" if i % 2 else None, i % 3 == 0) for i in range(25)] + [("PUT", "/lost", "f0.py", "nowhere", 1, None, None)]
+    steps, reports = workflow.traced(
+        spark.createDataFrame(routes, "method string, path string, file_path string, handler string, line int, framework string, auth boolean"),
+        spark.createDataFrame(rows, "path string, parent string, name string, target string, line int, callee string"),
+        spark.createDataFrame([(*n, 1) for n in names], "path string, name string, line int"),
+        spark.createDataFrame([], "path string, parent string, line int, orm string, table string"),
+        spark.createDataFrame(list(layer.items()), "path string, layer string"),
+    )
+    got = defaultdict(list)
+    for r in sorted(steps.collect(), key=lambda r: (r.workflow, r.step)):
+        got[r.workflow.split()[1]].append((r.file, r.label))
+    cut = {r.trigger.split()[1]: (r.truncated, r.confidence, r.n_steps) for r in reports.collect()}
+    assert len(cut) == 26 and cut["/lost"] == (True, 0.35, 1)
+    for _, path, file, name, _, framework, auth in routes[:-1]:
+        want, short = walked((file, name), calls, layer, 2 + auth)
+        assert [x for x in got[path][2 + auth :]] == want
+        sure = 0.4 + min(0.5, 0.08 * (2 + auth + len(want))) + (0.05 if framework else 0) - (0.08 if short else 0)
+        assert cut[path][0] == short and cut[path][1] == pytest.approx(min(0.95, sure), abs=0.006)
+
+
+def test_categories(spark):
+    df = spark.createDataFrame([("POST /login",), ("GET /cart checkout",), ("x",), (None,), ("search query upload",)], "t string")
+    assert [r[0] for r in df.select(workflow.category(df.t)).collect()] == ["auth", "payment", "general", "general", "search"]
+
+
+def test_chunks_of_symbols(spark):
+    f = spark.createDataFrame([("a.py", "def f():\r\n    return 1\n" + "x = 2\n" * 900, "python"), ("b.py", None, "python"), ("c.py", "", "python")], "path string, text string, language string")
+    s = spark.createDataFrame([("a.py", "f", "function", None, 1, 2, "Gives one."), ("a.py", "K", "class", "O", 3, 902, None), ("a.py", "n", "constant", None, 1, 1, None), ("b.py", "g", "function", None, 1, 2, None)], "path string, name string, kind string, parent string, line int, end_line int, doc string")
+    got = {r.symbol: r for r in retrieval.code_chunks(f, s).collect()}
+    assert got["f"].text == "file: a.py\nlanguage: python\nsymbol: function f\npurpose: Gives one.\ncode:\ndef f():\n    return 1" and got["f"].tokens == len(got["f"].text) // 4
+    assert " in class O\n" in got["K"].text and got["K"].text.endswith("\n… (truncated)") and set(got) == {"f", "K"}
+    assert retrieval.code_chunks(f, s.limit(0)).collect()[0].kind == "file" and retrieval.code_chunks(f.limit(0), s).count() == 0
