@@ -75,11 +75,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Rows (header, digest, record): the original records, joined from headers and payloads.
 
-    A response's record is header, payload and two line ends; a revisit's has no block.
+    A response's record is header, payload and two line ends; a revisit's has no block. A response
+    whose payload is not stored raises.
     """
     heads, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     end = F.lit(CRLF + CRLF).cast("binary")
-    full = heads.where(~F.col("header").startswith(REVISIT_HEAD)).join(payloads, "digest")
+    full = heads.where(~F.col("header").startswith(REVISIT_HEAD)).join(payloads, "digest", "left")
+    lost = F.raise_error(F.concat(F.lit("no payload is stored for digest "), F.col("digest"))).cast("binary")
+    full = full.withColumn("payload", F.coalesce("payload", lost))
     bare = heads.where(F.col("header").startswith(REVISIT_HEAD))
     return full.select("digest", F.concat(F.col("header").cast("binary"), "payload", end).alias("record")).unionByName(
         bare.select("digest", F.concat(F.col("header").cast("binary"), end).alias("record"))
@@ -120,8 +123,8 @@ def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the archive, reads it back, and returns per page what its record says.
 
     Rows (page_id, payload_bytes, payload_digest, record_type, refers_to). A record that fails its
-    own length or digest, or a revisit whose payload is not stored under a right digest, raises. An
-    empty table gives an empty result.
+    own length or digest, a response whose payload is lost, or a revisit whose payload is not stored
+    under a right digest, raises. An empty table gives an empty result.
     """
     path = path or common.work_dir(pages.sparkSession, "warc")
     write_archive(pages, path)
