@@ -13,8 +13,11 @@ from . import common
 BUCKETS = 1 << 15
 #: Labelled documents of each language that train the text model, at most about this many.
 TRAIN_DOCS = 1500
-#: Labels that are modelled at most (128 KB each in every task); more of them are an error, none is dropped.
-MOST_LABELS = 2000
+#: Labels that get a text model, those of most documents (128 KB each in every task). Any other label is known by
+#: being declared: it is given where a document declares it and no model fits its text.
+MODELS = 256
+#: Documents that a label needs for a text model of its own, or as many as the most frequent label has, if fewer.
+LEAST_DOCS = 4
 #: Weight of a trigram's log likelihood (neighbouring trigrams overlap, so each is worth a third).
 TEMPER = 1 / 3
 #: Strength of the prior above: of the suffix for a host, of all documents for a suffix.
@@ -63,49 +66,65 @@ def _counter(batches):
             yield pa.record_batch([pa.array([x] * len(hit), pa.string()), pa.array(hit), pa.array(n[hit])], ["lang", "bucket", "n"])
 
 
-def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, train_docs: int, seed: int = 5) -> tuple[list[str], np.ndarray]:
-    """Languages and the log likelihoods (BUCKETS, languages + 1) of trigrams; the last column is the unknown language's.
+def train(docs: DataFrame, label_col: str, id_col: str, text_col: str, train_docs: int, seed: int = 5) -> tuple[list[str], np.ndarray, Column]:
+    """Languages, how often each has each trigram (BUCKETS, languages), and the place of the language that a document trains (-1: none).
 
-    Fitted on a seeded sample of about train_docs labelled documents of each language, whole texts.
-    Every label is modelled, however rare, so that whether a language exists does not hang on the others.
-    Without labelled documents there is only the unknown language.
+    Counted on a seeded sample of about train_docs labelled documents, whole texts, of each of the
+    MODELS most frequent labels that have LEAST_DOCS. Without labelled documents there is only the
+    unknown language.
     """
     label = named_language(F.col(label_col))
     named = docs.where(label.isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["count"] for r in named.groupBy(label.alias("lang")).count().limit(MOST_LABELS + 1).collect()}  # a row a language
-    if len(sizes) > MOST_LABELS:
-        raise ValueError(f"{label_col} has over {MOST_LABELS} labels; map them to languages first")
-    langs = sorted(sizes)
-    table = np.zeros((BUCKETS, len(langs) + 1))
-    if langs:
-        u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-        share = F.coalesce(*[F.when(label == x, F.lit(min(1.0, train_docs / sizes[x]))) for x in langs], F.lit(0.0))
-        sample = named.where(u < share).select(label.alias("lang"), F.col(text_col).alias("text"))
-        counts = sample.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        got = counts.toArrow()  # columns, at most BUCKETS rows a language
-        place = {x: i for i, x in enumerate(langs)}
-        table[got["bucket"].to_numpy(), np.array([place[x] for x in got["lang"].to_pylist()], np.int64)] = got["n"].to_numpy()
-        seen = max(1, int((table.sum(1) > 0).sum()))
-        for k in range(len(langs)):
-            table[:, k] = np.log((1 - UNSEEN) * table[:, k] / max(1.0, table[:, k].sum()) + UNSEEN / seen)
-        table[:, -1] = -np.log(seen)
-    return langs, table.astype(np.float32)
-
-
-def _scorer(table: np.ndarray):
+    sizes = {r["lang"]: r["n"] for r in named.groupBy(label.alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MODELS).collect()}
+    langs = sorted(x for x, n in sizes.items() if n >= min(LEAST_DOCS, max(sizes.values())))
+    table = np.zeros((BUCKETS, len(langs)), np.float32)
+    if not langs:
+        return langs, table, F.lit(-1)
+    of = lambda f: F.try_element_at(F.create_map(*[y for x in langs for y in (F.lit(x), f(x))]), label)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    drawn = u < of(lambda x: F.lit(min(1.0, train_docs / sizes[x])))
+    sample = named.where(F.coalesce(drawn, F.lit(False))).select(label.alias("lang"), F.col(text_col).alias("text"))
+    counts = sample.mapInArrow(_counter, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = counts.toArrow()  # columns, at most BUCKETS rows a language
+    place = {x: i for i, x in enumerate(langs)}
+    table[got["bucket"].to_numpy(), np.array([place[x] for x in got["lang"].to_pylist()], np.int64)] = got["n"].to_numpy()
+    own = F.when(F.col(text_col).isNotNull() & drawn, of(lambda x: F.lit(place[x])))
+    return langs, table, F.coalesce(own, F.lit(-1))
+
+
+def _log_model(counts: np.ndarray, total: np.ndarray | float, seen: int) -> np.ndarray:
+    """Log likelihood of trigrams seen so often among total; that of the unknown language where there are none."""
+    share = np.where(total > 0, 1 - UNSEEN, 0.0)
+    return np.log(share * counts / np.maximum(total, 1) + (1 - share) / seen)
+
+
+def _scorer(counts: np.ndarray):
+    """Adds ll (log likelihood of the text in each language, then in the unknown one) and grams to the columns before own and text.
+
+    A document that trained a language (own) is judged there by the counts of the others alone.
+    """
+
     def run(batches):
+        total, seen = counts.sum(0, dtype=np.float64), max(1, int((counts.sum(1) > 0).sum()))
+        table = np.concatenate([_log_model(counts, total, seen), np.full((len(counts), 1), -np.log(seen))], 1).astype(np.float32)
         for b in batches:
             raw, at = common.utf8_of(b.column(b.num_columns - 1))
+            own = b.column(b.num_columns - 2).to_numpy()
             n = len(at) - 1
             ll, grams = np.zeros((n, table.shape[1])), np.zeros(n, np.int64)
             for i, j in common.cuts(at, common.SLICE_BYTES * 8 // max(8, table.shape[1])):
                 key, doc = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-                if len(key):
-                    first = np.flatnonzero(np.diff(doc, prepend=-1))
-                    ll[i + doc[first]] = np.add.reduceat(table[key], first, axis=0)
-                    grams[i : j] += np.bincount(doc, minlength=j - i)
+                if not len(key):
+                    continue
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                ll[i + doc[first]] = np.add.reduceat(table[key], first, axis=0)
+                grams[i : j] += np.bincount(doc, minlength=j - i)
+                for lo, hi in zip(first, np.append(first[1:], len(key)), strict=True):
+                    if (k := own[i + doc[lo]]) >= 0:
+                        each, times = np.unique(key[lo:hi], return_counts=True)
+                        ll[i + doc[lo], k] = (times * _log_model(counts[each, k] - times, total[k] - (hi - lo), seen)).sum()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * table.shape[1] + 1, table.shape[1], dtype=np.int32)), pa.array(np.round(ll, 3).ravel()))
-            yield pa.record_batch([*[b.column(i) for i in range(b.num_columns - 1)], lists, pa.array(grams)], [*b.schema.names[:-1], "ll", "grams"])
+            yield pa.record_batch([*[b.column(i) for i in range(b.num_columns - 2)], lists, pa.array(grams)], [*b.schema.names[:-2], "ll", "grams"])
 
     return run
 
@@ -134,18 +153,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     log P(l | all) = TEMPER * log P(text | l) + log P(declared | l) + log P(l | host) + const, where
 
-    - P(text | l) is a trigram model trained on labelled documents (label_col, or else declared_col:
-      a wrong declaration then weighs one in the model's some TRAIN_DOCS documents, beside its own evidence),
+    - P(text | l) is a trigram model trained on labelled documents (label_col, or else declared_col); a
+      document that trained a model is judged without its own trigrams, so a label that nobody else
+      uses says no more about a text than the unknown language does,
     - P(declared | l) comes from counts of declared languages by language of the text,
     - P(l | host) is the host's mean of text posteriors, smoothed by its suffix's, and that by all.
 
     Hosts, suffixes and declared languages are counted over all documents by grouped aggregation.
-    Without letters there is no text evidence and the document is not kept; nor is one whose best
-    language is the unknown one (all trigrams alike) or has less than threshold.
+    A label of fewer than LEAST_DOCS documents, or beyond the MODELS most frequent, has no model: it
+    is given where a document declares it and the unknown language is the best. Without letters there is no text evidence and the document
+    is not kept; nor is one whose best language is still the unknown one (all trigrams alike) or has
+    less than threshold.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    langs, table = train(docs, label_col or declared_col, id_col, text_col, train_docs)
+    langs, counts, own = train(docs, label_col or declared_col, id_col, text_col, train_docs)
     k = len(langs) + 1
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     suffix = F.col(suffix_col) if suffix_col else suffix_of(host)
@@ -154,9 +176,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         F.coalesce(named_language(F.col(declared_col)), F.lit("")).alias("declared"),
         F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce(suffix, F.lit("")).alias("suffix"),
+        own.alias("own"),
         common.text_or_empty(text_col).alias("text"),
     )
-    scored = src.mapInArrow(_scorer(table), "row_key binary, declared string, host string, suffix string, ll array<double>, grams long")
+    scored = src.mapInArrow(_scorer(counts), "row_key binary, declared string, host string, suffix string, ll array<double>, grams long")
     prior = [np.log((1 - UNKNOWN_PRIOR) / max(1, k - 1))] * (k - 1) + [np.log(UNKNOWN_PRIOR)]
     flat = F.array(*[F.lit(float(x)) for x in prior])
     text_part = F.transform("ll", lambda v: v * F.lit(TEMPER))
@@ -172,6 +195,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     whole = [x / sum(whole) for x in whole]
     mean = lambda at, above, strength: _array(k, lambda i: (F.col(f"c{i}") / UNIT + F.lit(strength) * above(i)) / (F.col("all") / UNIT + F.lit(strength))).alias(at)
     suffixes = hosts.groupBy("suffix").agg(*sums, F.sum("all").alias("all")).select("suffix", mean("above", lambda i: F.lit(whole[i]), SUFFIX_STRENGTH))
+    suffixes = common.sized(common.staged(suffixes, "lang-suffixes"), 40 + 8 * k)  # a plain table, so that the hosts of a hot suffix may be split
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", mean("prior", lambda i: F.get("above", F.lit(i)), HOST_STRENGTH))
     priors = common.sized(common.staged(priors, "lang-priors"), 60 + 8 * k)
 
@@ -186,9 +210,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     base = F.array(*[F.lit(float(np.log(x))) for x in whole])
     fused = scored.join(priors, ["host", "suffix"], "left").join(likely, "declared", "left")
     fused = fused.withColumn("lp", F.coalesce(F.transform("prior", lambda v: F.log(v)), base)).withColumn("ld", F.coalesce("said", F.array(*[F.lit(0.0)] * k)))
-    fused = fused.select("row_key", "grams", _softmax(F.zip_with(F.zip_with("lt", "lp", lambda a, b: a + b), "ld", lambda a, b: a + b)).alias("post"))
+    fused = fused.select("row_key", "declared", "grams", _softmax(F.zip_with(F.zip_with("lt", "lp", lambda a, b: a + b), "ld", lambda a, b: a + b)).alias("post"))
     fused = fused.withColumn("best", F.array_max("post")).withColumn("at", F.array_position("post", F.col("best")).cast("int"))
-    names = F.array(*[F.lit(x) for x in (*langs, UNKNOWN)])
+    unmodelled = (F.col("declared") != "") & ~F.array_contains(F.array(*[F.lit(x) for x in (*langs, UNKNOWN)]), F.col("declared"))
+    names = F.array(*[F.lit(x) for x in langs], F.when(unmodelled, F.col("declared")).otherwise(UNKNOWN))
     letters = F.col("grams") > 0
     out = fused.select(
         "row_key",

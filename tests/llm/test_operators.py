@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import media_chunks, near_duplicates, secret_scan, substrings
+from sparkloom.llm import language, media_chunks, near_duplicates, secret_scan, substrings
 from sparkloom.llm.decontaminate import MASKS, SHARE, SHORT, WINDOW, drop_leaks, leak_report
 from sparkloom.llm.language import keep_identified, language_report, page_languages
 from sparkloom.llm.media_chunks import chunk_ends, media_report, padded
@@ -259,23 +259,27 @@ def fused(data, train=1500):
         ok = [f[i : i + 3] for i in range(len(f) - 2) if b" " not in (f[i : i + 1], f[i + 1 : i + 2]) or (f[i] == 32) != (f[i + 1] == 32)]
         return Counter((int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for g in ok if not (g[1] == 32 and g[2] == 32))
 
-    langs = sorted({label(x) for _, t, x, _ in data if label(x) and t is not None})
+    named = Counter(label(x) for _, t, x, _ in data if label(x) and t is not None)
+    langs = sorted(x for x, n in named.items() if n >= min(4, max(named.values())))
     docs = [grams(t) for _, t, _, _ in data]
     model = {x: Counter() for x in langs}
     for g, (_, t, x, _) in zip(docs, data):
-        if label(x) and t is not None:
+        if label(x) in model and t is not None:
             model[label(x)].update(g)
     seen = max(1, len(set().union(*model.values())))
-    prob = {x: lambda b, m=m, n=max(1, sum(m.values())): 0.8 * m[b] / n + 0.2 / seen for x, m in model.items()}
-    prob["und"] = lambda b: 1 / seen
     names = [*langs, "und"]
     import math
 
+    def prob(i, x, b):  # by all documents that train x but i itself
+        m, mine = model.get(x, Counter()), docs[i] if label(data[i][2]) == x and data[i][1] is not None else Counter()
+        n = sum(m.values()) - sum(mine.values())
+        return 0.8 * (m[b] - mine[b]) / n + 0.2 / seen if n else 1 / seen
+
     def soft(w):
         e = [math.exp(x - max(w)) for x in w]
         return [x / sum(e) for x in e]
 
-    text = [[sum(n * math.log(prob[x](b)) for b, n in g.items()) / 3 for x in names] for g in docs]
+    text = [[sum(n * math.log(prob(i, x, b)) for b, n in g.items()) / 3 for x in names] for i, g in enumerate(docs)]
     flat = [math.log(0.999 / max(1, len(langs)))] * len(langs) + [math.log(0.001)]
     post = [soft([a + b for a, b in zip(lt, flat)]) for lt in text]
     known = [i for i, g in enumerate(docs) if g]
@@ -322,6 +326,26 @@ def test_language_ties_and_single_label(spark):
     assert {r.language for r in language_report(documents(spark, data=[(1, "no label at all", None, "h")])).collect()} == {"und"}
 
 
+def test_labels_of_one_document_are_not_believed(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda x: " ".join(rng.choice(TEXTS[x].split()) for _ in range(40))
+    odd = [(5000, text("en"), "enn", None), (5001, text("en"), "eng-x", None), (5002, text("de"), "zz", None), (5003, text("de"), "gr", None)]
+    foreign = [(6000, "il di che non per una sono della con anche questo come più nel alla gli dei delle suo ma era essere", "it", None)]
+    data = labelled(5, 900) + odd + foreign
+    want = {5000: "en", 5001: "en", 5002: "de", 5003: "de", 6000: "it"}
+    for most in (256, 3):  # with a model for each label, and for the frequent ones alone
+        monkeypatch.setattr(language, "MODELS", most)
+        by = {r.doc_id: r for r in language_report(documents(spark, data=data)).collect()}
+        assert {i: by[i].language for i in want} == want and all(by[i].kept for i in want)
+
+
+def test_very_many_labels(spark):
+    data = labelled(7, 300) + [(7000 + i, t, f"q{i}", h) for i, (_, t, _, h) in enumerate(labelled(10, 2100))]
+    got = {r.doc_id: r.language for r in language_report(documents(spark, data=data)).collect()}
+    right = sum(got[7000 + i] == x for i, (_, _, x, _) in enumerate(labelled(10, 2100)))
+    assert len(got) == 2400 and right >= 0.95 * 2100
+
+
 def test_language_of_half_a_percent(spark):
     rng = random.Random(5)
     vocabulary = "ja on ei se että oli hän mutta kun niin kuin myös jos sen olla joka minä ovat tai mitä vain sitä nyt".split()
@@ -721,6 +745,19 @@ def test_archive(spark):
     assert archive_report(df.limit(0)).count() == 0
 
 
+def test_archive_of_lost_payloads(spark):
+    from sparkloom.llm import common
+
+    path, bad = common.work_dir(spark, "warc"), common.work_dir(spark, "warc")
+    df = spark.createDataFrame([(i, "u", f"{i}" * 120) for i in range(6)], "page_id long, url string, html string")
+    assert archive_report(df, path).count() == 6
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{bad}/headers")
+    lost = hashlib.sha256(b"4" * 120).hexdigest()
+    spark.read.parquet(f"{path}/payloads").where(F.col("digest") != lost).write.parquet(f"{bad}/payloads")
+    with pytest.raises(Exception, match=f"no payload is stored for digest {lost}"):
+        read_report(spark, bad).collect()
+
+
 def test_archive_of_foreign_addresses(spark):
     pages = [(i, u, h) for i, (u, h) in enumerate([("http://a/é", "<p>é</p>"), ("http://例え.jp/日本語?𝒳=1", "x" * 200), ("http://例え.jp/é", "x" * 200), ("http://a/e", "")])]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
