@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back; a local folder only where that is unset and the master is local."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -20,6 +19,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    return base
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written below the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
