@@ -8,14 +8,14 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
-N_WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 96
-#: Texts and n-gram bytes of a block; larger candidate groups are verified block against block.
+N_WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
+#: Texts and n-gram bytes of a block; larger cells are verified block against block.
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 
 
@@ -84,17 +84,18 @@ def _set_maker(n: int):
     def run(batches):
         for b in batches:
             sets = pa.array([s.tobytes() for s in _sets(b.column(b.schema.get_field_index("text")), n)], pa.binary())
-            names = ["comp", "key", "copies", "blocks", "block"]
+            names = ["comp", "key", "copies", "cells", "bands"]
             yield pa.record_batch([*[b.column(b.schema.get_field_index(c)) for c in names], sets], [*names, "grams"])
 
     return run
 
 
-def verify(keys: list[bytes], copies: np.ndarray, sets: list[np.ndarray], part: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(keys: list[bytes], copies: np.ndarray, sets: list[np.ndarray], part: np.ndarray, bands: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of texts whose sets reach the threshold: each one's component (least place) and number of linked copies.
 
-    Only pairs within part 0, or between parts 0 and 1 if there are both, are compared. Common n-grams
-    are kept as bits, rare ones as lists of places, so memory stays within that of the sets.
+    Only pairs within part 0, or between parts 0 and 1 if there are both, are looked at, and of these
+    only those that share a band (any if band is -1, else this one and none before it) are compared.
+    Common n-grams are kept as bits, rare ones as lists of places, so memory stays within that of the sets.
     """
     g, t = len(keys), Fraction(threshold).limit_denominator(1000)
     size = np.array([len(s) for s in sets], np.int64)
@@ -121,6 +122,9 @@ def verify(keys: list[bytes], copies: np.ndarray, sets: list[np.ndarray], part:
         other = np.flatnonzero(part) if two else np.arange(i + 1, g)
         lo, hi = size[i] * t, size[i] / t
         other = other[(size[other] >= lo) & (size[other] <= hi)]
+        if len(other):
+            same = bands[other] == bands[i]
+            other = other[same.any(1) if band < 0 else ~same[:, :band].any(1)]
         if not len(other):
             continue
         inter = np.bitwise_count(bits[other] & bits[i]).sum(1, dtype=np.int64)
@@ -139,10 +143,11 @@ def verify(keys: list[bytes], copies: np.ndarray, sets: list[np.ndarray], part:
 
 
 def _verifier(threshold: float):
-    def close(rows):
+    def close(rows, band):
         keys = [r[0] for r in rows]
         part = np.array([r[3] for r in rows], bool)
-        label, links = verify(keys, np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], part, threshold)
+        bands = np.array([r[4] for r in rows], np.int64)
+        label, links = verify(keys, np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows], part, bands, band, threshold)
         return keys, [keys[x] for x in label], links
 
     def run(batches):
@@ -150,20 +155,20 @@ def _verifier(threshold: float):
 
         def end():
             if len(rows) > 1:
-                for o, x in zip(out, close(rows), strict=True):
+                for o, x in zip(out, close(rows, at[1]), strict=True):
                     o.extend(x)
             rows.clear()
             seen.clear()
 
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            for comp, i, j, key, copies, second, grams in zip(*cols, strict=True):
-                if (comp, i, j) != at:
+            for comp, band, value, i, j, key, copies, second, bands, grams in zip(*cols, strict=True):
+                if (comp, band, value, i, j) != at:
                     end()
-                    at = (comp, i, j)
+                    at = (comp, band, value, i, j)
                 if (key, second) not in seen:  # a repeated row
                     seen.add((key, second))
-                    rows.append((key, copies, grams, second))
+                    rows.append((key, copies, grams, second, bands))
             yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["a", "b", "links"])
             out = ([], [], [])
         end()
@@ -172,6 +177,30 @@ def _verifier(threshold: float):
     return run
 
 
+def _blocks() -> Column:
+    """How many blocks a cell of the grouped keys needs."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+
+
+def _celled(want: DataFrame) -> DataFrame:
+    """want (comp, key, size, bands, ...) with cells: array of (band, value, blocks, block), where a key meets others.
+
+    The keys of a group that fits a block meet in one cell (band -1). Those of a larger group, which
+    chance may have chained, meet in a cell for each band hash that several of them share, and a
+    cell has as many blocks as it needs. So a key's set goes to at most as many cells as it has bands.
+    """
+    spread = lambda blocks: F.pmod(F.xxhash64("key"), blocks).cast("int")
+    groups = common.sized(common.staged(want.groupBy("comp").agg(_blocks()), "jaccard-groups"), 40)  # a plain table, so that the rows of a hot group may be split
+    grouped = common.staged(want.join(groups, "comp"), "jaccard-grouped")
+    one = grouped.where("blocks = 1").withColumn("cells", F.array(F.struct(F.lit(-1).alias("band"), F.lit(0).cast("long").alias("value"), F.lit(1).alias("blocks"), F.lit(0).alias("block"))))
+    large = grouped.where("blocks > 1")
+    places = large.select("comp", "key", "size", F.posexplode("bands").alias("band", "value"))
+    shared = common.sized(common.staged(places.groupBy("comp", "band", "value").agg(_blocks(), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "jaccard-cells"), 60)
+    cells = places.join(shared, ["comp", "band", "value"]).groupBy("key").agg(F.collect_list(F.struct("band", "value", "blocks", spread(F.col("blocks")).alias("block"))).alias("cells"))  # at most one a band
+    many = large.join(common.staged(cells, "jaccard-met"), "key")
+    return one.unionByName(many).drop("blocks")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(texts, classes), both staged.
 
@@ -181,8 +210,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one key from the start. Keys that share a band hash are tied to the least key of
     that band, never to each other, and the components of these ties are the candidate groups. Each
-    key's set then goes to its group once; all pairs of a group are compared in blocks of bounded
-    size, and only links' counts and each key's component leave a block.
+    key's set then goes to the cells where it meets others (_celled): its group, or the bands
+    that it shares if the group is larger than a block. Only pairs that share a band are compared,
+    each pair once, in blocks of bounded size; only links' counts and each key's component leave a block.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -201,17 +231,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(ties)
     groups = common.staged(groups.unionByName(groups.select(F.col("b").alias("a"), "b").distinct()).toDF("key", "comp"), "jaccard-groups")
 
-    per_key = signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "content")).alias("one"), F.max("size").alias("size"))
-    want = common.staged(groups.join(per_key, "key"), "jaccard-want")
-    blocks = want.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    want = want.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    want = common.staged(want.select("comp", "key", "copies", "blocks", "block", F.col("one.doc_id").alias("one_id"), F.col("one.content").alias("content")), "jaccard-blocks")
-    held = src.join(common.sized(want, 220), "content").where("doc_id <=> one_id").select("comp", "key", "copies", "blocks", "block", "text")
-    sets = held.mapInArrow(_set_maker(n), "comp binary, key binary, copies long, blocks int, block int, grams binary")
-    # block x meets every block y: as first side where x <= y, as second where y < x
-    meets = sets.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("comp", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "key", "copies", (F.col("y") < F.col("block")).alias("second"), "grams")
-    pairs = meets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    per_key = signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "content")).alias("one"), F.max("size").alias("size"), F.any_value("bands").alias("bands"))
+    want = _celled(common.staged(groups.join(per_key, "key"), "jaccard-want"))
+    want = common.staged(want.select("comp", "key", "copies", "cells", "bands", F.col("one.doc_id").alias("one_id"), F.col("one.content").alias("content")), "jaccard-blocks")
+    held = src.join(common.sized(want, 220, F.size("cells") + F.size("bands"), 16), "content").where("doc_id <=> one_id").select("comp", "key", "copies", "cells", "bands", "text")
+    kind = "array<struct<band:int,value:bigint,blocks:int,block:int>>"
+    sets = held.mapInArrow(_set_maker(n), f"comp binary, key binary, copies long, cells {kind}, bands array<long>, grams binary")
+    # block x of a cell meets every block y: as first side where x <= y, as second where y < x
+    meets = sets.withColumn("cell", F.explode("cells")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cell.blocks") - 1)))
+    x = F.col("cell.block")
+    meets = meets.select("comp", "cell.band", "cell.value", F.least(x, "y").alias("i"), F.greatest(x, "y").alias("j"), "key", "copies", (F.col("y") < x).alias("second"), "bands", "grams")
+    place = ["comp", "band", "value", "i", "j"]
+    pairs = meets.repartition(*place).sortWithinPartitions(*place)
     found = common.staged(pairs.mapInArrow(_verifier(threshold), "a binary, b binary, links long"), "jaccard-links")
     roots = components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links")).where("links > 0")

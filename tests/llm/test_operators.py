@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -718,6 +719,25 @@ def test_jaccard_of_very_long_texts(spark):
     assert result(jaccard_report(documents(spark, data=data))) == [(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0)]
 
 
+def test_jaccard_of_templates(spark, monkeypatch):
+    """Texts of one template share bands by chance and are chained into large groups, but none is near another."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 40)
+    compared = []
+    rng = random.Random(7)
+    template = words(rng, 60, 10**6)
+    data = [(i, " ".join(template + words(rng, 60, 10**6)), "en", "s") for i in range(400)]
+    data += [(1000 + i, data[i][1] + " end", "en", "s") for i in range(0, 400, 50)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_report(documents(spark, data=data)).collect()}
+    want = {i: (i % 1000, 1) if i >= 1000 or i % 50 == 0 else (i, 0) for i, *_ in data}
+    assert got == want
+    rows = [near_duplicates.shingles(np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint64), 5) for _, t, *_ in data[:200]]
+    bands = np.array([[i // 2, -i] for i in range(200)], np.int64)  # neighbours share one band
+    intersect = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(len(x)) or intersect(x))
+    near_duplicates.verify([b"%d" % i for i in range(200)], np.ones(200, np.int64), rows, np.zeros(200, bool), bands, -1, 0.8)
+    assert sum(compared) == 100
+
+
 def test_bands_reach_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = choose_bands(t, 0.99, 256)
