@@ -32,12 +32,17 @@ def lexical_score(query: str, text: Column) -> Column:
     if not wanted:
         return F.lit(0.0)
     low = F.lower(text)
-    found = F.array_intersect(F.array(*[F.lit(t) for t in wanted]), terms(text))
-    score = F.size(found) / F.lit(float(len(wanted)))
-    for t in wanted:
-        if len(t) > 4:
-            score = score + F.when(F.array_contains(found, t), F.least(F.lit(0.25), 0.05 * occurrences(low, F.lit(t)))).otherwise(0.0)
-    return F.when(F.size(found) > 0, F.least(F.lit(1.5), score)).otherwise(0.0)
+
+    def scored(x: Column) -> Column:
+        score = F.size(x["found"]) / F.lit(float(len(wanted)))
+        for t in wanted:
+            if len(t) > 4:
+                score = score + F.when(F.array_contains(x["found"], t), F.least(F.lit(0.25), 0.05 * occurrences(x["low"], F.lit(t)))).otherwise(0.0)
+        return F.when(F.size(x["found"]) > 0, F.least(F.lit(1.5), score)).otherwise(0.0)
+
+    # the terms are found once, however many of the parts below ask for them
+    once = F.struct(F.array_intersect(F.array(*[F.lit(t) for t in wanted]), identifiers(low)).alias("found"), low.alias("low"))
+    return F.get(F.transform(F.array(once), scored), F.lit(0))
 
 
 def truncated(c: Column, n: int) -> Column:

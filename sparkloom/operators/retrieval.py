@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as t
+from sparkloom.plans.storage import staged
 
 
 def lexical_search(chunks: DataFrame, query: str, n: int = 12, least: float = 0.01, per_path: int | None = None) -> DataFrame:
@@ -119,22 +120,51 @@ def within_budget(chunks: DataFrame, budget: int) -> DataFrame:
     return chunks.withColumn("left", left).where("left > 0").select("id", "path", F.least(F.length("text").cast("long"), F.col("left")).alias("chars"))
 
 
+#: UTF-8 bytes of short needles that one pass over the chunks looks for together.
+NEEDLE_BYTES = 4 << 20
+
+
+def _searcher(needles: list[tuple]):
+    """Finds all needles (id, text) in each chunk by one automaton, in the time of reading the chunk and its hits."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        machine = ahocorasick.Automaton()
+        for i, text in needles:
+            machine.add_word(text, [*machine.get(text, []), i])
+        machine.make_automaton()
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(n, i) for n in {n for _, held in machine.iter(text) for n in held}] if text else []
+            yield pa.record_batch([pa.array([n for n, _ in rows], pa.int64()), pa.array([i for _, i in rows], b.column(0).type)], ["needle_id", "id"])
+
+    return run
+
+
 def mentions(chunks: DataFrame, needles: DataFrame, words: int = 5) -> DataFrame:
-    """Rows (needle_id, id): chunks (id, text) that hold a needle (needle_id, needle) as it stands.
+    """Rows (needle_id, id): chunks (id, text) that hold a needle (needle_id, needle) as it stands, each pair once.
 
-    A needle's inner words are whole words wherever it occurs, so the first few of them (one, of a
-    needle with fewer) are an exact key: both sides are joined on it and each candidate is then
-    searched. A needle of fewer than three words has no inner word and is not looked for.
+    A needle's inner words are whole words wherever it occurs. Of a needle with `words` of them the first
+    are an exact key: both sides are joined on its 64-bit hash and each candidate is then searched. The shorter
+    needles have no such key, or one that half of all texts hold; they are looked for together, by an automaton
+    of at most NEEDLE_BYTES of needles a pass over the chunks. needle_id is a whole number; empty and null needles are not looked for.
     """
     split = lambda c: F.array_remove(F.split(c, r"\s+"), "")
-    inner = needles.withColumn("w", split(F.col("needle"))).where(F.size("w") >= 3).withColumn("w", F.slice("w", F.lit(2), F.size("w") - 2))
-    def runs(n: int):  # of n words
-        w = split(F.col("text"))
-        rows = chunks.select("id", w.alias("w")).where(F.size("w") >= n)
-        return rows.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("key"))
-
-    out = []
-    for n, some in ((words, inner.where(F.size("w") >= words)), (1, inner.where(F.size("w") < words))):
-        keyed = some.select("needle_id", "needle", F.array_join(F.slice("w", 1, n), " ").alias("key"))
-        out.append(runs(n).join(keyed, "key").select("id", "needle_id", "needle").join(chunks.select("id", "text"), "id").where(F.contains(F.col("text"), F.col("needle"))).select("needle_id", "id"))
-    return out[0].unionByName(out[1]).distinct()
+    given = needles.where(F.length("needle") > 0).withColumn("w", split(F.col("needle")))
+    given = staged(given.withColumn("long", F.size("w") >= words + 2), "needles")
+    keyed = given.where("long").select("needle_id", "needle", F.xxhash64(F.slice("w", 2, words)).alias("key"))
+    w = split(F.col("text"))
+    rows = chunks.select("id", w.alias("w")).where(F.size("w") >= words)
+    runs = rows.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.slice("w", i, words))))).alias("key"))
+    out = runs.join(keyed, "key").select("id", "needle_id", "needle").join(chunks.select("id", "text"), "id").where(F.contains(F.col("text"), F.col("needle"))).select("needle_id", "id").distinct()
+    short = given.where("not long").select(F.col("needle_id").cast("long"), "needle")
+    size = short.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("b")).first()["b"]
+    waves = -(-size // NEEDLE_BYTES)
+    kind = dict(chunks.dtypes)["id"]
+    for k in range(waves):
+        some = short.where(F.pmod(F.xxhash64(F.lit("wave"), "needle_id", "needle"), F.lit(waves)) == k).collect()  # about NEEDLE_BYTES
+        out = out.unionByName(chunks.select("id", "text").mapInArrow(_searcher([tuple(r) for r in some]), f"needle_id long, id {kind}").distinct())
+    return out

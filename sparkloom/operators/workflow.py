@@ -22,7 +22,7 @@ SIGNALS = {
     "crud": ("create", "update", "delete", "list", "get", "post", "put", "patch"),
     "realtime": ("websocket", "socket", "sse", "eventsource", "subscribe", "channel"),
 }
-STEP_KINDS = {"ui": "ui", "route": "controller", "middleware": "middleware", "service": "service", "repository": "repository", "util": "util", "config": "external", "entrypoint": "controller", "other": "service"}
+STEP_KINDS = {"ui": "ui", "route": "controller", "middleware": "middleware", "service": "service", "repository": "repository", "util": "util", "config": "external", "entrypoint": "controller", "other": "service", "test": "util"}
 FIRST_CATEGORIES = ("auth", "payment", "signup")
 
 

@@ -9,6 +9,7 @@ from sparkloom.operators import graph as g
 from sparkloom.operators import impact, resolve, retrieval, store
 from sparkloom.plans.graph_queries import _BOTH, _DEGREE, _SCC
 from sparkloom.plans.storage import staged
+from sparkloom.sources import corpus
 from sparkloom.sources.proxy import DECLARATIONS_SQL, NODES_SQL, chunks, declarations, edges, nodes, runs, table
 
 _NOW = "2024-01-20 00:00:00"
@@ -74,6 +75,24 @@ def path_in_text(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy(F.col("needle_id").alias("item_id")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("chunks"))
 
 
+def short_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks hold the first one, two and three words of each item, or a piece of its first word."""
+    words = F.split("text", " ")
+    parts = [F.slice(words, 1, n) for n in (1, 2, 3)]
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(F.array(*[F.array_join(p, " ") for p in parts], F.substring("text", 2, 4))).alias("kind", "needle"))
+    hit = retrieval.mentions(chunks(spark, d).select("id", "text"), rows.select((F.col("item_id") * 4 + F.col("kind")).alias("needle_id"), "needle"))
+    return hit.groupBy("needle_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("chunks"))
+
+
+def scan_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files by source, a tenth of them as many as may be scanned, and a fifth of all bytes."""
+    size = F.octet_length("text").cast("long")
+    docs = table(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt")).alias("path"), size.alias("size"))
+    sums = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
+    reason = F.when(F.col("size") == 0, "empty").when(F.col("size") > 20_000, "too large")
+    return corpus.budgeted(docs.withColumn("reason", reason), sums["n"] * 3 // 10, sums["b"] // 5)
+
+
 def marker_join(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of markers: brands by a fixed table."""
     marks = spark.createDataFrame([("Brand#11", "web", 0.75), ("Brand#22", "web", 0.7), ("Brand#33", "store", 0.6)], "p_brand string, framework string, weight double")
@@ -165,7 +184,7 @@ def stage_finish(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        impact_dependents, affected_endpoints, related_tests, change_risks, reverse_callers, symbol_search, symbol_lookup, target_path, path_in_text, marker_join, file_summaries, file_complexity, issue_cap,
+        impact_dependents, affected_endpoints, related_tests, change_risks, reverse_callers, symbol_search, symbol_lookup, target_path, path_in_text, short_mentions, scan_budget, marker_join, file_summaries, file_complexity, issue_cap,
         seeds, default_file, ownerless_runs, index_status, upsert, orphaned_repos, endpoint_markdown, layer_artifact, secret_lines, stage_finish,
     )
 }
@@ -197,6 +216,13 @@ SELECT target, source FROM (SELECT *, row_number() OVER (PARTITION BY target ORD
 r AS (SELECT path, CASE WHEN path = q THEN 1 WHEN ends_with(path, '/' || q) THEN 2 WHEN split_part(path, '/', -1) = split_part(q, '/', -1) THEN 3 WHEN contains(lower(path), lower(q)) THEN 4 END AS rank FROM f, q)
 SELECT min(path) AS path, rank FROM r WHERE rank IS NOT NULL GROUP BY rank HAVING rank < 4 OR count(*) = 1 ORDER BY rank LIMIT 1""",
     "path_in_text": "SELECT item_id, min(doc_id) AS first, count(*) AS chunks FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id",
+    "short_mentions": """WITH w AS (SELECT item_id, text, string_split(text, ' ') AS ws FROM benchmark),
+n AS (SELECT item_id * 4 + k AS needle_id, CASE WHEN k < 3 THEN array_to_string(list_slice(ws, 1, k + 1), ' ') ELSE substr(text, 2, 4) END AS needle FROM w, range(4) r(k))
+SELECT needle_id, min(doc_id) AS first, count(*) AS chunks FROM documents d JOIN n ON contains(d.text, n.needle) GROUP BY needle_id""",
+    "scan_budget": """WITH f AS (SELECT coalesce(source, '') || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents),
+s AS (SELECT count(*) * 3 // 10 AS n, sum(size) // 5 AS b FROM f), e AS (SELECT *, CASE WHEN size = 0 THEN 'empty' WHEN size > 20000 THEN 'too large' END AS early FROM f),
+k AS (SELECT path, size, row_number() OVER (ORDER BY path) - 1 AS at, sum(size) OVER (ORDER BY path) AS upto FROM e WHERE early IS NULL)
+SELECT path, size, early AS reason FROM e WHERE early IS NOT NULL UNION ALL SELECT path, size, CASE WHEN at >= n THEN 'over count' WHEN upto > b THEN 'over budget' END FROM k, s""",
     "marker_join": """WITH m AS (SELECT * FROM (VALUES ('Brand#11', 'web', 0.75), ('Brand#22', 'web', 0.7), ('Brand#33', 'store', 0.6)) AS t(p_brand, framework, weight)),
 x AS (SELECT DISTINCT p_brand FROM part) SELECT framework, CAST(round(least(0.99, sum(weight)), 2) AS DOUBLE) AS confidence, string_agg(p_brand, ',' ORDER BY p_brand) AS evidence FROM m JOIN x USING (p_brand) GROUP BY framework""",
     "file_summaries": f"""WITH {NODES_SQL}, k AS (SELECT layer, language, count(*) AS n FROM nodes GROUP BY ALL)

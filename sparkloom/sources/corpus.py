@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.paths import basename, language
+from sparkloom.operators import ordered
+from sparkloom.plans.storage import staged
 
 # Fixed values.
 IGNORED_FOLDERS = ("node_modules", ".next", "dist", "build", "out", "target", "vendor", "__pycache__", ".venv", "venv", ".tox", ".cache", "coverage", ".idea", ".vscode", "site-packages", ".git")
 BINARY = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "bz2", "xz", "7z", "jar", "class", "pyc", "so", "dll", "exe", "bin", "woff", "woff2", "ttf", "mp3", "mp4", "sqlite", "db", "parquet", "lock")
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml", "composer.json", "Gemfile", "pom.xml", "build.gradle", "setup.py")
-MAX_FILES, MAX_BYTES, MAX_MANIFESTS, MAX_DEPENDENCIES = 4000, 1 << 20, 12, 400
+MAX_FILES, MAX_BYTES, MAX_TOTAL, MAX_MANIFESTS, MAX_DEPENDENCIES = 4000, 1 << 20, 400 << 20, 12, 400
 
 
 def is_binary(content: Column) -> Column:
@@ -27,43 +29,92 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.left(head, F.lit(1024)), F.lit("\x00")) | (bad > 0.3 * F.length(head))
 
 
-def read_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Rows (path, text, size, reason) of the files below root; reason says why a file was passed over.
+def budgeted(files: DataFrame, max_files: int, max_total: int) -> DataFrame:
+    """files (path, size, reason, ...) whose reason also says `over count` or `over budget`.
 
-    Only files without a reason carry their text. The first max_files kept files by path stay.
-    Spark's file sources leave out files of no bytes, so empty files have no row.
+    Files without a reason are taken in order of path while they are at most max_files and at most
+    max_total bytes in all; the rest gets a reason. A file too large for what is left is passed over
+    and still counts, so that what is taken does not hang on gaps. Places and bytes before
+    a file are running sums over ranges of paths, not one task's.
+    """
+    kept = ordered.running(files.where("reason is null"), [F.col("path")], F.lit(1), "_at")
+    kept = ordered.running(kept, [F.col("path")], F.col("size"), "_before")
+    why = F.when(F.col("_at") >= max_files, "over count").when(F.col("_before") + F.col("size") > max_total, "over budget")
+    return kept.withColumn("reason", why).drop("_at", "_before").unionByName(files.where("reason is not null"))
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (path, size) of the files of no bytes below root, which Spark's file sources leave out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    left, out = [at], []
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while left:
+        for f in fs.listStatus(left.pop()):
+            if f.isDirectory():
+                if f.getPath().getName() not in IGNORED_FOLDERS:
+                    left.append(f.getPath())
+            elif f.getLen() == 0:
+                out.append((f.getPath().toString(), 0))
+    return spark.createDataFrame(out, "path string, length long")
+
+
+def read_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL) -> DataFrame:
+    """Rows (path, text, size, reason), one for each file below root; reason says why a file was passed over.
+
+    Only files without a reason carry their text: the first by path, at most max_files and max_total bytes
+    of them (budgeted). Empty files, which Spark's file sources leave out, are listed by the driver,
+    ignored folders aside.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
-    files = raw.select(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "").alias("path"), "length", "content")
+    named = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(base) + "/", "").alias("path")
+    files = raw.select(named, F.col("length").alias("size"), "content")
     ignored = F.exists(F.split("path", "/"), lambda s: s.isin(*IGNORED_FOLDERS))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    reason = F.when(ignored, "ignored folder").when(suffix.isin(*BINARY), "binary suffix").when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large").when(is_binary(F.col("content")), "binary content")
-    out = files.select("path", F.col("length").alias("size"), reason.alias("reason"), F.when(reason.isNull(), F.decode("content", "UTF-8")).alias("text"))
-    kept = out.where("reason is null").orderBy("path").limit(max_files)
-    return kept.unionByName(out.where("reason is not null")).select("path", "text", "size", "reason")
+    early = F.when(ignored, "ignored folder").when(suffix.isin(*BINARY), "binary suffix").when(F.col("size") == 0, "empty").when(F.col("size") > max_bytes, "too large")
+    light = files.select("path", "size", F.when(early.isNotNull(), early).when(is_binary(F.col("content")), "binary content").alias("reason"))
+    none = empty_files(spark, root).select(named, F.col("length").alias("size"))
+    light = staged(light.unionByName(none.select("path", "size", early.alias("reason"))), "tree")
+    light = staged(budgeted(light, max_files, max_total), "tree")
+    kept = light.where("reason is null").select("path", "size", "reason")  # at most max_files rows
+    texts = files.select("path", F.decode("content", "UTF-8").alias("text")).join(F.broadcast(kept) if max_files <= MAX_FILES else kept, "path")
+    return texts.select("path", "text", "size", "reason").unionByName(light.where("reason is not null").select("path", F.lit(None).cast("string").alias("text"), "size", "reason"))
+
 
+def read_tarballs(spark: SparkSession, path: str, max_entries: int = 40_000, max_bytes: int = MAX_BYTES, max_total: int = MAX_TOTAL) -> DataFrame:
+    """Rows (archive, path, text, size, reason), one for each file in .tar.gz files; only safe ones without a reason carry their text.
 
-def read_tarballs(spark: SparkSession, path: str, max_entries: int = 40_000, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Rows (archive, path, text, size) of the safe members of .tar.gz files: no links, no absolute or parent paths."""
+    Reasons: `unsafe path`, `link`, `empty`, `too large`, `over budget` (max_total expanded bytes of an archive, in its
+    order) and `over count` (one row with the path of the first entry past max_entries, where reading ends).
+    """
 
     def members(batches):
         import io
         import tarfile
 
+        def row(tar, m, left):
+            safe = not m.name.startswith("/") and ".." not in m.name.split("/")
+            why = "unsafe path" if not safe else "link" if m.issym() or m.islnk() else "empty" if not m.size else "too large" if m.size > max_bytes else "over budget" if m.size > left else None
+            return (posixpath.normpath(m.name) if safe else m.name), None if why else tar.extractfile(m).read().decode("utf-8", "replace"), m.size, why
+
         for pdf in batches:
-            rows = []
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows, left = [], max_total
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
                     for k, m in enumerate(tar):
                         if k >= max_entries:
+                            rows.append((name, m.name, None, m.size, "over count"))
                             break
-                        if m.isfile() and 0 < m.size <= max_bytes and not m.name.startswith("/") and ".." not in m.name.split("/"):
-                            rows.append((name, posixpath.normpath(m.name), tar.extractfile(m).read().decode("utf-8", "replace"), m.size))
-            yield pd.DataFrame(rows, columns=["archive", "path", "text", "size"])
+                        if m.isfile() or m.issym() or m.islnk():
+                            rows.append((name, *row(tar, m, left)))
+                            left -= m.size if rows[-1][4] is None else 0
+                        if len(rows) >= 500:
+                            yield pd.DataFrame(rows, columns=["archive", "path", "text", "size", "reason"])
+                            rows = []
+                yield pd.DataFrame(rows, columns=["archive", "path", "text", "size", "reason"])
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(members, "archive string, path string, text string, size long")
+    return raw.mapInPandas(members, "archive string, path string, text string, size long, reason string")
 
 
 def _toml_dependencies(text: str, name: str) -> list[tuple[str, str]]:

@@ -56,16 +56,38 @@ def records(files):
 def test_tree(files):
     got = {r.path: r.reason for r in files.collect()}
     assert got["node_modules/x/index.js"] == "ignored folder" and got["logo.png"] == "binary suffix" and got["data.dat"] == "binary content"
-    assert "app/__init__.py" not in got and got["app/main.py"] is None
+    assert got["app/__init__.py"] == "empty" and got["app/main.py"] is None
     assert files.where("path = 'app/main.py'").first().text == TREE["app/main.py"]
 
 
 def test_tarball(spark, files, tmp_path_factory):
     path = str(tmp_path_factory.getbasetemp() / "tree.tar.gz")
     got = next(p for p in tmp_path_factory.getbasetemp().rglob("tree.tar.gz"))
-    rows = {r.path: r.text for r in corpus.read_tarballs(spark, str(got)).collect()}
-    assert rows["app/models.py"] == TREE["app/models.py"] and "app/__init__.py" not in rows, path
-
+    rows = {r.path: (r.text, r.reason) for r in corpus.read_tarballs(spark, str(got)).collect()}
+    assert rows["app/models.py"] == (TREE["app/models.py"], None) and rows["app/__init__.py"] == (None, "empty"), path
+    few = {r.path: r.reason for r in corpus.read_tarballs(spark, str(got), max_entries=3).collect()}
+    assert list(few.values()).count("over count") == 1 and len(few) <= 4
+    tight = corpus.read_tarballs(spark, str(got), max_total=120).collect()
+    assert len(tight) == len(rows) and sum(r.size for r in tight if r.reason is None) <= 120 and any(r.reason == "over budget" for r in tight)
+
+
+def test_tree_beyond_its_limits(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.py").write_text("x = 1\n" * (i + 1))
+    (tmp_path / "none.py").write_text("")
+    rows = {r.path: (r.reason, r.text is not None) for r in corpus.read_tree(spark, str(tmp_path), max_files=3).collect()}
+    assert rows == {f"{i}.py": (None, True) for i in range(3)} | {f"{i}.py": ("over count", False) for i in range(3, 6)} | {"none.py": ("empty", False)}
+    rows = {r.path: r.reason for r in corpus.read_tree(spark, str(tmp_path), max_total=6 + 12 + 17).collect()}
+    assert rows == {"0.py": None, "1.py": None, **{f"{i}.py": "over budget" for i in range(2, 6)}, "none.py": "empty"}
+
+
+def test_short_needles_are_found(spark):
+    from sparkloom.operators.retrieval import mentions
+
+    texts = [(1, "say foo bar, xhellox and more"), (2, "hello"), (3, None), (4, ""), (5, "foo  bar"), (6, "one two three four five six seven eight"), (7, "é日本語é")]
+    needles = [(1, "foo bar"), (2, "hello"), (3, ""), (4, None), (5, "two three four five six seven e"), (6, "hello"), (7, "日本"), (8, " "), (9, "x"), (10, "two three four five six seven x")]
+    got = mentions(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(needles, "needle_id long, needle string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, i) for n, x in needles if x for i, t in texts if t and x in t)
 
 def test_python_records(records):
     by = defaultdict(list)
