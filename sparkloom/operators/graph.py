@@ -115,7 +115,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, key: str | None = None
 
 
 #: Trimmed edges up to which one task finds the components; more are coloured by joins.
-ONE_TASK_EDGES = 1_000_000
+ONE_TASK_EDGES = 50_000
 
 
 def _tarjan(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
-"""Extraction, resolution and reports over a small source tree.
+"""Extraction, resolution and reports over a code base that is written from the driver's tables, with the SQL that checks them.
 
-SQL cannot parse source code, so the checking SQL lists the rows that sources/sample.py must give.
+SQL cannot parse source code; it computes the same facts from the tables that the code base was written from.
 """
 
 from __future__ import annotations
@@ -8,580 +8,223 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import paths
 from sparkloom.operators import extract, reports, workflow
 from sparkloom.plans.analysis import Analysis
-from sparkloom.sources import corpus, sample
+from sparkloom.sources import corpus, written
 
+_made: dict[tuple[str, str], Analysis] = {}
 
-def _analysis(spark: SparkSession) -> Analysis:
-    return Analysis(sample.files(spark))
+
+def _analysis(spark: SparkSession, d: str) -> Analysis:
+    """The analysis of the code base of d, made once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _made:
+        _made[key] = Analysis(written.files(spark, d))
+    return _made[key]
 
 
 def _joined(c: str):
     return F.array_join(c, ",").alias(c)
 
 
-def code_records(spark: SparkSession, d: str) -> DataFrame:
-    """What the module walk finds: symbols, routers, mounts, routes, models, queries, errors."""
-    r = _analysis(spark).records.where("record not in ('import', 'call')")
-    return r.select("path", "record", "name", "kind", "parent", "target", "line", "complexity", _joined("names"), "auth", "detail")
+def code_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).symbols.select("path", "name", "kind", "line", "loc", "complexity", "exported")
 
 
-def code_other_records(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).other_records.select("path", "record", "kind", "name", "detail", "fidelity")
+def code_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).records.where("record = 'symbol'").select("path", "name", "signature", "doc", "decorated", _joined("names"))
 
 
-def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).symbols.select("path", "name", "kind", "line", "loc", "complexity", "exported")
+def code_other_records(spark: SparkSession, d: str) -> DataFrame:
+    """What patterns find in scripts, Java and C."""
+    return _analysis(spark, d).other_records.select("path", "record", "kind", "name", "detail", "fidelity")
 
 
 def code_imports(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).imports.select("path", "name", _joined("names"), "level", "resolved", "external")
+    return _analysis(spark, d).imports.select("path", "name", _joined("names"), "level", "resolved", "external")
 
 
 def code_calls(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).calls.select("path", "parent", "target", "line", "callee")
+    return _analysis(spark, d).calls.select("path", "parent", "target", "line", "callee")
 
 
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).edges
+    return _analysis(spark, d).edges
 
 
 def code_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Files kept in the graph with their roles."""
-    return _analysis(spark).nodes.select("path", "layer", "loc", "language", "is_test", "is_example")
+    return _analysis(spark, d).nodes.select("path", "layer", "loc", "language", "is_test", "is_example")
+
+
+def code_architecture(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).architecture()
 
 
 def code_routes(spark: SparkSession, d: str) -> DataFrame:
     """Routes behind the whole prefix of their router."""
-    return _analysis(spark).apis().select("method", "path", "file_path", "line", "framework", "handler", "auth")
+    return _analysis(spark, d).apis().select("method", "path", "file_path", "line", "framework", "handler", "auth")
 
 
 def code_models(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).database()
+    return _analysis(spark, d).database()
 
 
-def code_workflows(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).workflows()
+def code_query_sites(spark: SparkSession, d: str) -> DataFrame:
+    r = _analysis(spark, d).records.where("record = 'query'")
+    return r.select("path", "parent", "line", "kind", "name", F.col("target").alias("orm"), "detail")
 
 
-def code_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).cycles()
+def code_workflows(spark: SparkSession, d: str) -> DataFrame:
+    """Each route's handler and what it calls in turn."""
+    return _analysis(spark, d).workflows()
 
 
-def code_packages(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).packages()
+def code_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of the first sixty routes; tests hold them against a plain search."""
+    return _analysis(spark, d).traces[0]
 
 
-def code_manifests(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).manifests()
+def code_trace_reports(spark: SparkSession, d: str) -> DataFrame:
+    r = workflow.listed(_analysis(spark, d).traces[1])
+    return r.select("trigger", "category", "scope", "n_steps", "confidence", "truncated", "description", _joined("files"))
 
 
-def code_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.aliases(sample.files(spark).select("path", "text", paths.language(F.col("path")).alias("language")))
+def code_background(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).background().select("path", "trigger", _joined("tasks"))
 
 
 def code_references(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).references("load_user")
+    """Who calls the function of part 20, which many parts do."""
+    return _analysis(spark, d).references("run_20")
 
 
-def code_architecture(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).architecture()
+def code_packages(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).packages()
 
 
-def code_issues(spark: SparkSession, d: str) -> DataFrame:
-    return _analysis(spark).issues()
+def code_hints(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).hints()
 
 
-def code_impact(spark: SparkSession, d: str) -> DataFrame:
-    """Dependents, tests and endpoints of one file."""
-    x = _analysis(spark).impact("services/user.py")
-    rows = [x["dependents"].select(F.lit("dependent").alias("kind"), "path", F.col("distance").cast("string").alias("detail")), x["tests"].select(F.lit("test"), "path", "reason"), x["endpoints"].select(F.lit("endpoint"), "path", "endpoint")]
-    return rows[0].union(rows[1]).union(rows[2])
+def code_manifests(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.dependencies(_analysis(spark, d).files)
+
+
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of symbols: where they lie, and their code without its head."""
+    c = _analysis(spark, d).chunks().where("kind = 'symbol'")
+    return c.select("path", "symbol", "start_line", "end_line", F.sha1(F.substring_index("text", "\ncode:\n", -1).cast("binary")).alias("code"))
 
 
 def code_django(spark: SparkSession, d: str) -> DataFrame:
-    return extract.django_routes(sample.files(spark))
+    return extract.django_routes(_analysis(spark, d).files)
 
 
 def code_migrations(spark: SparkSession, d: str) -> DataFrame:
-    return extract.migrations(sample.files(spark))
+    return extract.migrations(_analysis(spark, d).files)
 
 
 def code_migration_only(spark: SparkSession, d: str) -> DataFrame:
     """Tables that migrations create and no model has."""
-    return reports.migration_only(extract.migrations(sample.files(spark)), _analysis(spark).database().select("table").distinct())
-
+    x = _analysis(spark, d)
+    return reports.migration_only(extract.migrations(x.files), x.database().select("table").distinct())
 
-def _more(spark: SparkSession) -> Analysis:
-    return Analysis(sample.files(spark, sample.MORE))
 
-
-def code_modules(spark: SparkSession, d: str) -> DataFrame:
-    """Imports of Go, Java, Ruby, PHP, Rust and C."""
-    return _more(spark).imports.where("level is null").select("path", "name", "resolved")
-
-
-def code_traces(spark: SparkSession, d: str) -> DataFrame:
-    return _more(spark).traces[0]
-
-
-def code_trace_reports(spark: SparkSession, d: str) -> DataFrame:
-    r = workflow.listed(_more(spark).traces[1])
-    return r.select("trigger", "category", "scope", "n_steps", "confidence", "truncated", "description", _joined("files"))
-
-
-def code_symbol_trace(spark: SparkSession, d: str) -> DataFrame:
-    return _more(spark).trace_symbol("services/accounts.py", "find")[0]
-
-
-def code_entering(spark: SparkSession, d: str) -> DataFrame:
-    return workflow.entering(_more(spark).traces[0], "repositories/people.py", "row_of")
-
-
-def code_background(spark: SparkSession, d: str) -> DataFrame:
-    return _more(spark).background().select("path", "trigger", _joined("tasks"))
-
-
-def code_hints(spark: SparkSession, d: str) -> DataFrame:
-    return _more(spark).hints()
-
-
-def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = _more(spark).chunks()
-    return c.select("path", "symbol", "kind", "start_line", "end_line", "tokens", F.sha1(F.col("text").cast("binary")).alias("sha1"))
-
-
-def code_query_sites(spark: SparkSession, d: str) -> DataFrame:
-    r = _more(spark).records.where("record = 'query'")
-    return r.select("path", "parent", "line", "kind", "name", F.col("target").alias("orm"), "detail")
-
-
-def code_signatures(spark: SparkSession, d: str) -> DataFrame:
-    return _more(spark).records.where("record = 'symbol'").select("path", "name", "signature", "doc", "decorated")
-
-
-def code_script_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of the second tree's script file."""
-    return _more(spark).other_records.where("record = 'symbol' and path = 'web/store.ts'").select("kind", "name")
+def code_overview(spark: SparkSession, d: str) -> DataFrame:
+    return _analysis(spark, d).overview().select("files", "languages", "test_files", "modules", "routes", "models", "errors", "symbols", "skipped")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        code_records, code_other_records, code_symbols, code_imports, code_calls, code_edges, code_nodes, code_routes, code_models, code_workflows, code_cycles, code_packages, code_manifests, code_aliases,
-        code_references, code_architecture, code_issues, code_impact, code_django, code_migrations, code_migration_only,
-        code_modules, code_traces, code_trace_reports, code_symbol_trace, code_entering, code_background, code_hints, code_chunks, code_query_sites, code_signatures, code_script_symbols,
+        code_symbols, code_signatures, code_other_records, code_imports, code_calls, code_edges, code_nodes, code_architecture, code_routes, code_models, code_query_sites, code_workflows, code_traces,
+        code_trace_reports, code_background, code_references, code_packages, code_hints, code_manifests, code_chunks, code_django, code_migrations, code_migration_only, code_overview,
     )
 }
 
-
-def _rows(columns: str, types: str, rows: str) -> str:
-    """The rows as a typed table."""
-    names = columns.split()
-    cast = ", ".join(f'CAST("{n}" AS {t}) AS "{n}"' for n, t in zip(names, types.split(), strict=True))
-    heads = ", ".join(f'"{n}"' for n in names)
-    return f"SELECT {cast} FROM (VALUES {rows}) AS t({heads})"
-
+_W = f"WITH RECURSIVE {written.SQL}"
+_SYMBOLS = """, syms AS (SELECT path, 'Part' || i AS name, 'class' AS kind, 4 + k AS line, 3 + r AS loc, 1 AS complexity, false AS exported, 'class Part' || i || '(Base)' AS signature, NULL::BOOLEAN AS decorated, '' AS names FROM m
+  UNION ALL SELECT path, run, 'function', f, 4 + k, 2, true, 'def run_' || i || '(x)', false, 'x' FROM m
+  UNION ALL SELECT path, handler, 'function', line, 2, 1, true, 'def read_' || i || CASE WHEN i % 3 = 0 THEN '(id, me)' ELSE '(id)' END, true, CASE WHEN i % 3 = 0 THEN 'id,me' ELSE 'id' END FROM read
+  UNION ALL SELECT test, 'test_run_' || i, 'function', 4, 2, 1, true, 'def test_run_' || i || '()', false, '' FROM tests
+  UNION ALL SELECT path, 'upgrade', 'function', 1, 2 + ops, 1, true, 'def upgrade()', false, '' FROM moves
+  UNION ALL SELECT 'jobs/supplier_' || s || '.py', name || s, 'function', line, 2, 1, true, 'def ' || name || s || a, name = 'send_', CASE WHEN name = 'send_' THEN 'to' ELSE '' END
+    FROM apis, (VALUES ('send_', 5, '(to)'), ('task_clean_', 9, '()'), ('other_', 13, '()')) AS t(name, line, a))"""
+_OTHER = """, other AS (SELECT 'web/src/supplier_' || s || '.ts' AS path, record, kind, replace(replace(name, '#n', nation::VARCHAR), '#', s::VARCHAR) AS name, detail FROM apis,
+    (VALUES ('import', 'import', './nation_#n', NULL), ('import', 'import', 'axios', NULL), ('symbol', 'function', 'load#', NULL), ('route', 'express', '/web/s#', 'GET')) AS t(record, kind, name, detail)
+  UNION ALL SELECT 'web/src/nation_' || nation || '.ts', 'symbol', 'function', 'api' || nation, NULL FROM apps
+  UNION ALL SELECT 'j/com/shop/S' || s || '.java', record, kind, replace(replace(name, '#t', ((s + 1) % ns)::VARCHAR), '#', s::VARCHAR), detail FROM apis, nsup,
+    (VALUES ('import', 'import', 'java.util.List', NULL), ('import', 'import', 'com.shop.S#t', NULL), ('symbol', 'class', 'S#', NULL), ('route', 'spring', '/java/s#', 'GET')) AS t(record, kind, name, detail)
+  UNION ALL SELECT 'c/s' || s || '.c', record, kind, replace(replace(name, '#t', ((s + 1) % ns)::VARCHAR), '#', s::VARCHAR), detail FROM apis, nsup,
+    (VALUES ('import', 'include', 'inc/s#t.h', NULL), ('import', 'include', 'stdio.h', NULL), ('symbol', 'function', 'go_#', NULL)) AS t(record, kind, name, detail))"""
+_IMPORTS = """, imports AS (SELECT path, 'json' AS name, 'json' AS names, 0 AS level, NULL AS resolved FROM m
+  UNION ALL SELECT m.path, d.module, d.run, 0, d.path FROM deps JOIN m USING (i) JOIN m AS d ON d.i = deps.j
+  UNION ALL SELECT path, 'fastapi', 'APIRouter,Depends', 0, NULL FROM apis UNION ALL SELECT path, module, run, 0, part FROM read
+  UNION ALL SELECT path, 'fastapi', 'FastAPI', 0, NULL FROM apps UNION ALL SELECT path, 'api', 'supplier_' || s, 0, 'api/supplier_' || s || '.py' FROM mounts
+  UNION ALL SELECT test, module, run, 0, path FROM tests UNION ALL SELECT 'jobs/supplier_' || s || '.py', 'celery', 'shared_task', 0, NULL FROM apis
+  UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', 'django.urls', 'include,path', 0, NULL FROM apps
+  UNION ALL SELECT 'web/src/supplier_' || s || '.ts', './nation_' || nation, NULL, NULL, 'web/src/nation_' || nation || '.ts' FROM apis UNION ALL SELECT 'web/src/supplier_' || s || '.ts', 'axios', NULL, NULL, NULL FROM apis
+  UNION ALL SELECT 'j/com/shop/S' || s || '.java', 'java.util.List', NULL, NULL, NULL FROM apis UNION ALL SELECT 'j/com/shop/S' || s || '.java', 'com.shop.S' || ((s + 1) % ns), NULL, NULL, 'j/com/shop/S' || ((s + 1) % ns) || '.java' FROM apis, nsup
+  UNION ALL SELECT 'c/s' || s || '.c', 'stdio.h', NULL, NULL, NULL FROM apis UNION ALL SELECT 'c/s' || s || '.c', 'inc/s' || ((s + 1) % ns) || '.h', NULL, NULL, 'inc/s' || ((s + 1) % ns) || '.h' FROM apis, nsup)"""
+_CALLS = """, calls AS (SELECT path, 'Part' || i AS parent, 'Column' AS target, 6 + k AS line, NULL AS callee FROM m UNION ALL SELECT path, 'Part' || i, 'relationship', 7 + k, NULL FROM m WHERE r = 1
+  UNION ALL SELECT path, run, 'json.dumps', f + 2, NULL FROM m UNION ALL SELECT path, run, 'session.query', f + 3 + k, NULL FROM m
+  UNION ALL SELECT m.path, m.run, d.run, m.f + 2 + place, d.path FROM deps JOIN m USING (i) JOIN m AS d ON d.i = deps.j
+  UNION ALL SELECT path, NULL, 'APIRouter', 3 + c, NULL FROM apis UNION ALL SELECT path, handler, CASE WHEN i % 2 = 0 THEN 'router.get' ELSE 'router.post' END, line - 1, NULL FROM read
+  UNION ALL SELECT path, handler, 'Depends', line, NULL FROM read WHERE i % 3 = 0 UNION ALL SELECT path, handler, run, line + 1, part FROM read
+  UNION ALL SELECT path, NULL, 'FastAPI', 3 + c, NULL FROM apps UNION ALL SELECT path, NULL, 'app.include_router', 4 + c + q, NULL FROM mounts
+  UNION ALL SELECT test, 'test_run_' || i, run, 5, path FROM tests
+  UNION ALL SELECT path, 'upgrade', 'op.create_table', 1 + unnest(range(1, ops + 1)), NULL FROM moves
+  UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', NULL, 'path', 3 + unnest(range(1, c + 2)), NULL FROM apps UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', NULL, 'include', 4 + c, NULL FROM apps)"""
+_EDGES = f"""{_IMPORTS}{_CALLS}, edges AS (SELECT DISTINCT path AS source, resolved AS target, 'import' AS kind, 1::BIGINT AS weight FROM imports WHERE resolved <> path
+  UNION ALL SELECT path, callee, 'call', count(DISTINCT coalesce(parent, '<module>') || ' -> ' || target) FROM calls WHERE callee <> path GROUP BY 1, 2)"""
+_NODES = """, nodes AS (SELECT path, CASE folder WHEN 'services' THEN 'service' WHEN 'repositories' THEN 'repository' WHEN 'utils' THEN 'util' ELSE 'route' END AS layer, f + 3 + k AS loc, 'python' AS language, false AS is_test FROM m
+  UNION ALL SELECT test, 'test', 5, 'python', true FROM tests UNION ALL SELECT path, 'other', 2 + ops, 'python', false FROM moves
+  UNION ALL SELECT path, 'route', 3 + c + 5 * c, 'python', false FROM apis UNION ALL SELECT 'web/src/supplier_' || s || '.ts', 'other', 7, 'typescript', false FROM apis
+  UNION ALL SELECT 'j/com/shop/S' || s || '.java', 'other', 7, 'java', false FROM apis UNION ALL SELECT 'c/s' || s || '.c', 'other', 6, 'c', false FROM apis UNION ALL SELECT 'inc/s' || s || '.h', 'other', 1, 'c', false FROM apis
+  UNION ALL SELECT 'jobs/supplier_' || s || '.py', 'other', 14, 'python', false FROM apis
+  UNION ALL SELECT path, 'route', 3 + 2 * c, 'python', false FROM apps UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', 'route', 5 + c, 'python', false FROM apps UNION ALL SELECT 'web/src/nation_' || nation || '.ts', 'other', 1, 'typescript', false FROM apps)"""
 
 ORACLES = {
-    "code_records": _rows(
-        "path record name kind parent target line complexity names auth detail",
-        "VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR INT INT VARCHAR BOOLEAN VARCHAR",
-        """('alembic/versions/1_start.py', 'symbol', 'upgrade', 'function', NULL, NULL, 1, 1, '', NULL, NULL),
-('app/api/users.py', 'route', '', 'POST', 'create', 'router', 16, NULL, '', NULL, 'FastAPI'),
-('app/api/users.py', 'route', '/{id}', 'GET', 'read', 'router', 9, NULL, '', true, 'FastAPI'),
-('app/api/users.py', 'router', 'router', NULL, NULL, '/users', 5, NULL, '', NULL, NULL),
-('app/api/users.py', 'symbol', 'create', 'function', NULL, NULL, 16, 1, 'name', NULL, NULL),
-('app/api/users.py', 'symbol', 'read', 'function', NULL, NULL, 9, 4, 'id,me', NULL, NULL),
-('app/main.py', 'mount', 'users.router', NULL, 'app', '/v1', 5, NULL, '', NULL, NULL),
-('app/main.py', 'router', 'app', NULL, NULL, '', 4, NULL, '', NULL, NULL),
-('app/models.py', 'model', 'Team', NULL, NULL, 'teams', 7, NULL, 'id,users', NULL, 'people'),
-('app/models.py', 'model', 'User', NULL, NULL, 'people', 1, NULL, 'id,team', NULL, 'Team'),
-('app/models.py', 'symbol', 'LIMIT', 'constant', NULL, NULL, 13, 1, '', NULL, NULL),
-('app/models.py', 'symbol', 'Team', 'class', NULL, NULL, 7, 1, '', NULL, 'Base'),
-('app/models.py', 'symbol', 'User', 'class', NULL, NULL, 1, 1, '', NULL, 'Base'),
-('app/services/user.py', 'query', 'User', 'select', 'fetch', 'SQLAlchemy', 9, NULL, '', NULL, NULL),
-('app/services/user.py', 'symbol', 'fetch', 'function', NULL, NULL, 8, 1, 'id', NULL, NULL),
-('app/services/user.py', 'symbol', 'load_user', 'function', NULL, NULL, 4, 1, 'id', NULL, NULL),
-('app/util/left.py', 'symbol', 'a', 'function', NULL, NULL, 4, 1, '', NULL, NULL),
-('app/util/right.py', 'symbol', 'b', 'function', NULL, NULL, 4, 3, '', NULL, NULL),
-('bad.py', 'error', 'SyntaxError', NULL, NULL, NULL, 1, NULL, '', NULL, NULL),
-('tests/test_user.py', 'symbol', 'test_load_user', 'function', NULL, NULL, 4, 1, '', NULL, NULL)""",
-    ),
-    "code_other_records": _rows(
-        "path record kind name detail fidelity",
-        "VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR",
-        """('svc/Shop.java', 'import', 'import', 'java.util.List', NULL, 'approx'),
-('svc/Shop.java', 'route', 'spring', '/shop', 'GET', 'approx'),
-('svc/Shop.java', 'symbol', 'class', 'Shop', NULL, 'approx'),
-('svc/main.go', 'route', 'gin', '/ping', 'GET', 'approx'),
-('svc/main.go', 'symbol', 'function', 'Serve', NULL, 'approx'),
-('web/app/(shop)/helper.ts', 'symbol', 'function', 'helper', NULL, 'approx'),
-('web/app/(shop)/items/[id]/page.tsx', 'import', 'import', '../../helper', NULL, 'approx'),
-('web/app/(shop)/items/[id]/page.tsx', 'import', 'import', '@/lib/api', NULL, 'approx'),
-('web/app/(shop)/items/[id]/page.tsx', 'symbol', 'function', 'Page', NULL, 'approx'),
-('web/src/cats.controller.ts', 'model', 'typeorm', 'Cat', NULL, 'approx'),
-('web/src/cats.controller.ts', 'mount', 'express', 'adminRouter', '/admin', 'approx'),
-('web/src/cats.controller.ts', 'mount', 'nest', 'Cats', 'cats', 'approx'),
-('web/src/cats.controller.ts', 'query', 'prisma', 'cat', 'findMany', 'approx'),
-('web/src/cats.controller.ts', 'route', 'nest', '', 'POST', 'approx'),
-('web/src/cats.controller.ts', 'route', 'nest', ':id', 'GET', 'approx'),
-('web/src/cats.controller.ts', 'symbol', 'class', 'Cat', NULL, 'approx'),
-('web/src/cats.controller.ts', 'symbol', 'class', 'Cats', NULL, 'approx'),
-('web/src/lib/api.ts', 'import', 'require', 'express', NULL, 'approx'),
-('web/src/lib/api.ts', 'route', 'express', '/items', 'GET', 'approx'),
-('web/src/cats.controller.ts', 'symbol', 'method', 'add', NULL, 'approx'),
-('web/src/cats.controller.ts', 'symbol', 'method', 'one', NULL, 'approx')""",
-    ),
-    "code_symbols": _rows(
-        "path name kind line loc complexity exported",
-        "VARCHAR VARCHAR VARCHAR INT INT INT BOOLEAN",
-        """('alembic/versions/1_start.py', 'upgrade', 'function', 1, 4, 1, true),
-('app/api/users.py', 'create', 'function', 16, 2, 1, true),
-('app/api/users.py', 'read', 'function', 9, 4, 4, true),
-('app/models.py', 'LIMIT', 'constant', 13, 1, 1, true),
-('app/models.py', 'Team', 'class', 7, 4, 1, false),
-('app/models.py', 'User', 'class', 1, 4, 1, false),
-('app/services/user.py', 'fetch', 'function', 8, 2, 1, true),
-('app/services/user.py', 'load_user', 'function', 4, 2, 1, true),
-('app/util/left.py', 'a', 'function', 4, 2, 1, true),
-('app/util/right.py', 'b', 'function', 4, 5, 3, true),
-('svc/Shop.java', 'Shop', 'class', NULL, NULL, NULL, NULL),
-('svc/main.go', 'Serve', 'function', NULL, NULL, NULL, NULL),
-('tests/test_user.py', 'test_load_user', 'function', 4, 2, 1, true),
-('web/app/(shop)/helper.ts', 'helper', 'function', NULL, NULL, NULL, NULL),
-('web/app/(shop)/items/[id]/page.tsx', 'Page', 'function', NULL, NULL, NULL, NULL),
-('web/src/cats.controller.ts', 'Cat', 'class', NULL, NULL, NULL, NULL),
-('web/src/cats.controller.ts', 'Cats', 'class', NULL, NULL, NULL, NULL),
-('web/src/cats.controller.ts', 'add', 'method', NULL, NULL, NULL, NULL),
-('web/src/cats.controller.ts', 'one', 'method', NULL, NULL, NULL, NULL)""",
-    ),
-    "code_imports": _rows(
-        "path name names level resolved external",
-        "VARCHAR VARCHAR VARCHAR INT VARCHAR BOOLEAN",
-        """('app/api/users.py', 'app.models', 'User', 0, 'app/models.py', false),
-('app/api/users.py', 'fastapi', 'APIRouter,Depends', 0, NULL, true),
-('app/api/users.py', 'services.user', 'load_user', 2, 'app/services/user.py', false),
-('app/main.py', 'app.api', 'users', 0, 'app/api/users.py', false),
-('app/main.py', 'fastapi', 'FastAPI', 0, NULL, true),
-('app/services/user.py', 'app.models', 'User', 0, 'app/models.py', false),
-('app/util/left.py', 'app.util.right', 'b', 0, 'app/util/right.py', false),
-('app/util/right.py', 'left', 'a', 1, 'app/util/left.py', false),
-('shop/urls.py', 'django.urls', 'include,path', 0, NULL, true),
-('svc/Shop.java', 'java.util.List', NULL, NULL, NULL, true),
-('tests/test_user.py', 'app.services.user', 'load_user', 0, 'app/services/user.py', false),
-('web/app/(shop)/items/[id]/page.tsx', '../../helper', NULL, NULL, 'web/app/(shop)/helper.ts', false),
-('web/app/(shop)/items/[id]/page.tsx', '@/lib/api', NULL, NULL, 'web/src/lib/api.ts', false),
-('web/src/lib/api.ts', 'express', NULL, NULL, NULL, true)""",
-    ),
-    "code_calls": _rows(
-        "path parent target line callee",
-        "VARCHAR VARCHAR VARCHAR INT VARCHAR",
-        """('alembic/versions/1_start.py', 'upgrade', 'op.add_column', 4, NULL),
-('alembic/versions/1_start.py', 'upgrade', 'op.create_table', 2, NULL),
-('alembic/versions/1_start.py', 'upgrade', 'op.create_table', 3, NULL),
-('app/api/users.py', NULL, 'APIRouter', 5, NULL),
-('app/api/users.py', 'create', 'load_user', 17, 'app/services/user.py'),
-('app/api/users.py', 'create', 'router.post', 15, NULL),
-('app/api/users.py', 'read', 'Depends', 9, NULL),
-('app/api/users.py', 'read', 'load_user', 11, 'app/services/user.py'),
-('app/api/users.py', 'read', 'range', 12, NULL),
-('app/api/users.py', 'read', 'router.get', 8, NULL),
-('app/main.py', NULL, 'FastAPI', 4, NULL),
-('app/main.py', NULL, 'app.include_router', 5, NULL),
-('app/models.py', 'Team', 'Column', 9, NULL),
-('app/models.py', 'Team', 'relationship', 10, NULL),
-('app/models.py', 'User', 'Column', 3, NULL),
-('app/models.py', 'User', 'relationship', 4, NULL),
-('app/services/user.py', 'fetch', 'session.query', 9, NULL),
-('app/services/user.py', 'load_user', 'fetch', 5, 'app/services/user.py'),
-('app/util/left.py', 'a', 'b', 5, 'app/util/right.py'),
-('app/util/right.py', 'b', 'a', 5, 'app/util/left.py'),
-('shop/urls.py', NULL, 'include', 6, NULL),
-('shop/urls.py', NULL, 'path', 4, NULL),
-('shop/urls.py', NULL, 'path', 6, NULL),
-('shop/urls.py', NULL, 're_path', 5, NULL),
-('tests/test_user.py', 'test_load_user', 'load_user', 5, 'app/services/user.py')""",
-    ),
-    "code_edges": _rows(
-        "source target kind weight",
-        "VARCHAR VARCHAR VARCHAR BIGINT",
-        """('app/api/users.py', 'app/models.py', 'import', 1),
-('app/api/users.py', 'app/services/user.py', 'call', 2),
-('app/api/users.py', 'app/services/user.py', 'import', 1),
-('app/main.py', 'app/api/users.py', 'import', 1),
-('app/services/user.py', 'app/models.py', 'import', 1),
-('app/util/left.py', 'app/util/right.py', 'call', 1),
-('app/util/left.py', 'app/util/right.py', 'import', 1),
-('app/util/right.py', 'app/util/left.py', 'call', 1),
-('app/util/right.py', 'app/util/left.py', 'import', 1),
-('tests/test_user.py', 'app/services/user.py', 'call', 1),
-('tests/test_user.py', 'app/services/user.py', 'import', 1),
-('web/app/(shop)/items/[id]/page.tsx', 'web/app/(shop)/helper.ts', 'import', 1),
-('web/app/(shop)/items/[id]/page.tsx', 'web/src/lib/api.ts', 'import', 1)""",
-    ),
-    "code_nodes": _rows(
-        "path layer loc language is_test is_example",
-        "VARCHAR VARCHAR BIGINT VARCHAR BOOLEAN BOOLEAN",
-        """('alembic/versions/1_start.py', 'other', 4, 'python', false, false),
-('app/api/__init__.py', 'route', 1, 'python', false, false),
-('app/api/users.py', 'route', 17, 'python', false, false),
-('app/main.py', 'entrypoint', 5, 'python', false, false),
-('app/models.py', 'repository', 13, 'python', false, false),
-('app/services/__init__.py', 'service', 1, 'python', false, false),
-('app/services/user.py', 'service', 9, 'python', false, false),
-('app/util/left.py', 'util', 5, 'python', false, false),
-('app/util/right.py', 'util', 8, 'python', false, false),
-('bad.py', 'other', 1, 'python', false, false),
-('shop/urls.py', 'route', 7, 'python', false, false),
-('svc/Shop.java', 'other', 7, 'java', false, false),
-('svc/main.go', 'entrypoint', 5, 'go', false, false),
-('tests/test_user.py', 'test', 5, 'python', true, false),
-('web/app/(shop)/helper.ts', 'util', 2, 'typescript', false, false),
-('web/app/(shop)/items/[id]/page.tsx', 'route', 3, 'typescript', false, false),
-('web/src/cats.controller.ts', 'other', 10, 'typescript', false, false),
-('web/src/lib/api.ts', 'route', 2, 'typescript', false, false)""",
-    ),
-    "code_routes": _rows(
-        "method path file_path line framework handler auth",
-        "VARCHAR VARCHAR VARCHAR INT VARCHAR VARCHAR BOOLEAN",
-        """('GET', '/v1/users/{id}', 'app/api/users.py', 9, 'FastAPI', 'read', true),
-('POST', '/v1/users', 'app/api/users.py', 16, 'FastAPI', 'create', NULL)""",
-    ),
-    "code_models": _rows(
-        "model table related target resolved queries",
-        "VARCHAR VARCHAR VARCHAR VARCHAR BOOLEAN BIGINT",
-        """('Team', 'teams', 'people', 'User', true, 0),
-('User', 'people', 'Team', 'Team', true, 1)""",
-    ),
-    "code_workflows": _rows(
-        "route step distance file name layer",
-        "VARCHAR INT INT VARCHAR VARCHAR VARCHAR",
-        """('GET /{id}', 1, 0, 'app/api/users.py', 'read', 'route'),
-('GET /{id}', 2, 1, 'app/services/user.py', 'load_user', 'service'),
-('GET /{id}', 3, 2, 'app/services/user.py', 'fetch', 'service'),
-('POST ', 1, 0, 'app/api/users.py', 'create', 'route'),
-('POST ', 2, 1, 'app/services/user.py', 'load_user', 'service'),
-('POST ', 3, 2, 'app/services/user.py', 'fetch', 'service')""",
-    ),
-    "code_cycles": _rows(
-        "id component",
-        "VARCHAR VARCHAR",
-        """('app/util/left.py', 'app/util/left.py'),
-('app/util/right.py', 'app/util/left.py')""",
-    ),
-    "code_packages": _rows(
-        "package imports",
-        "VARCHAR BIGINT",
-        """('django', 1),
-('express', 1),
-('fastapi', 2),
-('java', 1)""",
-    ),
-    "code_manifests": _rows(
-        "manifest ecosystem name version",
-        "VARCHAR VARCHAR VARCHAR VARCHAR",
-        """('go.mod', 'go', 'github.com/a/b', 'v1.2.3'),
-('package.json', 'npm', 'react', '^18'),
-('package.json', 'npm', 'vite', '5'),
-('pyproject.toml', 'pypi', 'attrs', '^1'),
-('pyproject.toml', 'pypi', 'httpx', '>=0.2'),
-('pyproject.toml', 'pypi', 'rich', NULL),
-('requirements.txt', 'pypi', 'fastapi', '==0.1'),
-('requirements.txt', 'pypi', 'plain', NULL),
-('requirements.txt', 'pypi', 'uvicorn', '>=2')""",
-    ),
-    "code_aliases": _rows(
-        "base alias target",
-        "VARCHAR VARCHAR VARCHAR",
-        """('web', '@', 'src')""",
-    ),
-    "code_references": _rows(
-        "path caller line",
-        "VARCHAR VARCHAR INT",
-        """('app/api/users.py', 'create', 17),
-('app/api/users.py', 'read', 11),
-('tests/test_user.py', 'test_load_user', 5)""",
-    ),
-    "code_architecture": _rows(
-        "source_layer target_layer weight edges kinds",
-        "VARCHAR VARCHAR BIGINT BIGINT VARCHAR",
-        """('entrypoint', 'route', 1, 1, 'import'),
-('route', 'repository', 1, 1, 'import'),
-('route', 'service', 3, 2, 'call,import'),
-('route', 'util', 1, 1, 'import'),
-('service', 'repository', 1, 1, 'import'),
-('test', 'service', 2, 2, 'call,import')""",
-    ),
-    "code_issues": _rows(
-        "kind severity path detail",
-        "VARCHAR VARCHAR VARCHAR VARCHAR",
-        """('circular_dependency', 'medium', 'app/util/left.py', '2'),
-('isolated_module', 'info', 'app/api/__init__.py', 'app/api/__init__.py'),
-('isolated_module', 'info', 'app/services/__init__.py', 'app/services/__init__.py'),
-('isolated_module', 'info', 'bad.py', 'bad.py'),
-('isolated_module', 'info', 'shop/urls.py', 'shop/urls.py'),
-('isolated_module', 'info', 'svc/Shop.java', 'svc/Shop.java'),
-('isolated_module', 'info', 'web/src/cats.controller.ts', 'web/src/cats.controller.ts'),
-('missing_tests', 'low', 'app/api/users.py', 'create'),
-('missing_tests', 'low', 'app/api/users.py', 'read'),
-('missing_tests', 'low', 'app/services/user.py', 'fetch'),
-('missing_tests', 'low', 'app/util/left.py', 'a'),
-('missing_tests', 'low', 'app/util/right.py', 'b'),
-('possible_secret', 'high', 'app/util/right.py', 'db_password:8'),
-('tech_debt', 'info', 'web/app/(shop)/helper.ts', '1')""",
-    ),
-    "code_impact": _rows(
-        "kind path detail",
-        "VARCHAR VARCHAR VARCHAR",
-        """('dependent', 'app/api/users.py', '1'),
-('dependent', 'app/main.py', '2'),
-('dependent', 'tests/test_user.py', '1'),
-('endpoint', 'app/api/users.py', 'GET /v1/users/{id}'),
-('endpoint', 'app/api/users.py', 'POST /v1/users'),
-('test', 'tests/test_user.py', 'imports the file')""",
-    ),
-    "code_django": _rows(
-        "path method local handler included",
-        "VARCHAR VARCHAR VARCHAR VARCHAR VARCHAR",
-        """('shop/urls.py', 'ANY', '/api/', NULL, 'shop.api.urls'),
-('shop/urls.py', 'ANY', '/items/<int:pk>/', 'views.item', NULL),
-('shop/urls.py', 'ANY', '/old/', 'views.old', NULL)""",
-    ),
-    "code_migrations": _rows(
-        "path table operations",
-        "VARCHAR VARCHAR BIGINT",
-        """('alembic/versions/1_start.py', 'audit', 3),
-('alembic/versions/1_start.py', 'people', 3),
-('db/migrate/2.sql', 'log', 2)""",
-    ),
-    "code_migration_only": _rows(
-        "table path",
-        "VARCHAR VARCHAR",
-        """('audit', 'alembic/versions/1_start.py'),
-('log', 'db/migrate/2.sql')""",
-    ),
-    "code_modules": _rows(
-        "path name resolved",
-        "VARCHAR VARCHAR VARCHAR",
-        r"""('c/main.c', '../inc/a.h', 'inc/a.h'),
-('c/main.c', 'b.h', 'z/b.h'),
-('c/main.c', 'stdio.h', NULL),
-('cmd/main.go', 'example.com/m/internal/store', 'internal/store/a.go'),
-('cmd/main.go', 'github.com/gin-gonic/gin', NULL),
-('j/App.java', 'com.shop.Cart', 'j/com/shop/Cart.java'),
-('j/App.java', 'org.springframework.boot.Run', NULL),
-('php/index.php', 'App\Models\Item', 'old/Item.php'),
-('php/index.php', 'Illuminate\Http\Request', NULL),
-('php/index.php', 'Model\Price', 'app/Model/Price.php'),
-('rb/app.rb', 'app/auth', 'rb/app/auth.rb'),
-('rb/app.rb', 'json', NULL),
-('rb/app.rb', 'lib/x', 'rb/lib/x.rb'),
-('src/lib.rs', 'crate::net::http', 'src/net/http.rs'),
-('src/lib.rs', 'serde::Serialize', NULL),
-('web/store.ts', 'react', NULL)""",
-    ),
-    "code_traces": _rows(
-        "workflow step kind label file line",
-        "VARCHAR INT VARCHAR VARCHAR VARCHAR INT",
-        """('GET /ping api/login.py ping', 1, 'api', 'GET /ping', 'api/login.py', 19),
-('GET /ping api/login.py ping', 2, 'controller', 'ping', 'api/login.py', 19),
-('POST /login api/login.py login', 1, 'api', 'POST /login', 'api/login.py', 8),
-('POST /login api/login.py login', 10, 'database', 'Django ORM · Person', 'repositories/people.py', 2),
-('POST /login api/login.py login', 2, 'middleware', 'Authentication / authorisation check', 'api/login.py', 8),
-('POST /login api/login.py login', 3, 'controller', 'login', 'api/login.py', 8),
-('POST /login api/login.py login', 4, 'service', 'find', 'services/accounts.py', 4),
-('POST /login api/login.py login', 5, 'service', 'remember', 'services/accounts.py', 9),
-('POST /login api/login.py login', 6, 'controller', 'helper', 'api/login.py', 14),
-('POST /login api/login.py login', 7, 'repository', 'row_of', 'repositories/people.py', 1),
-('POST /login api/login.py login', 8, 'database', 'SQLAlchemy', 'services/accounts.py', 11),
-('POST /login api/login.py login', 9, 'database', 'raw SQL', 'services/accounts.py', 11)""",
-    ),
-    "code_trace_reports": _rows(
-        "trigger category scope n_steps confidence truncated description files",
-        "VARCHAR VARCHAR VARCHAR BIGINT DOUBLE BOOLEAN VARCHAR VARCHAR",
-        """('GET /ping', 'crud', 'application', 2, 0.61, false, 'GET /ping handled in api/login.py', 'api/login.py'),
-('POST /login', 'auth', 'application', 10, 0.95, false, 'POST /login → login → find → remember → helper', 'api/login.py,repositories/people.py,services/accounts.py')""",
-    ),
-    "code_symbol_trace": _rows(
-        "workflow step kind label file line",
-        "VARCHAR INT VARCHAR VARCHAR VARCHAR INT",
-        """('CALL find services/accounts.py find', 1, 'api', 'CALL find', 'services/accounts.py', 4),
-('CALL find services/accounts.py find', 2, 'service', 'find', 'services/accounts.py', 4),
-('CALL find services/accounts.py find', 3, 'repository', 'row_of', 'repositories/people.py', 1),
-('CALL find services/accounts.py find', 4, 'database', 'SQLAlchemy', 'services/accounts.py', 11),
-('CALL find services/accounts.py find', 5, 'database', 'raw SQL', 'services/accounts.py', 11),
-('CALL find services/accounts.py find', 6, 'database', 'Django ORM · Person', 'repositories/people.py', 2)""",
-    ),
-    "code_entering": _rows(
-        "workflow",
-        "VARCHAR",
-        """('POST /login api/login.py login')""",
-    ),
-    "code_background": _rows(
-        "path trigger tasks",
-        "VARCHAR VARCHAR VARCHAR",
-        """('jobs/mail.py', 'background:mail.py', 'send,task_clean')""",
-    ),
-    "code_hints": _rows(
-        "path framework",
-        "VARCHAR VARCHAR",
-        """('api/login.py', 'FastAPI'),
-('cmd/main.go', 'Gin'),
-('j/App.java', 'Spring Boot'),
-('jobs/mail.py', 'Celery'),
-('php/index.php', 'Laravel'),
-('src/lib.rs', 'Serde'),
-('web/store.ts', 'React')""",
-    ),
-    "code_chunks": _rows(
-        "path symbol kind start_line end_line tokens sha1",
-        "VARCHAR VARCHAR VARCHAR INT INT BIGINT VARCHAR",
-        """('api/login.py', 'helper', 'symbol', 14, 15, 24, 'fecf51880b0b6d8916da3aae3d13e4f971b4e604'),
-('api/login.py', 'login', 'symbol', 8, 11, 43, '08b71ae800b12a16e90649507b52f157e2e54e7a'),
-('api/login.py', 'ping', 'symbol', 19, 20, 23, '05b46af44ac2d7b18b8acb2731853285c9c24f02'),
-('c/main.c', NULL, 'file', 1, 7, 22, '21ccbf75e7e1b09a2ae4b9076bac6f8029b49dc9'),
-('cmd/main.go', NULL, 'file', 1, 6, 21, 'cdd9cdf211756805cab96e6bd22b2e3cbb356ec8'),
-('j/App.java', NULL, 'file', 1, 4, 18, '6912edc70ef1831a54acb1a5f21fc40c270e98ba'),
-('jobs/mail.py', 'other', 'symbol', 13, 14, 22, '6e406b51a72d8ac5a89ec4fddf913ba2922f1bd5'),
-('jobs/mail.py', 'send', 'symbol', 5, 6, 22, '14f8f12a973644f0e6ce725472bf0b9f3a1e0214'),
-('jobs/mail.py', 'task_clean', 'symbol', 9, 10, 25, '46e1df8d47821e0fdbc7eef68f1ac28e1e7f7171'),
-('php/index.php', NULL, 'file', 1, 4, 18, '514b6abf5b6ce2da77f6ab5e38de983a81bdb523'),
-('repositories/people.py', 'row_of', 'symbol', 1, 2, 36, '3caf9ded681c8d498aeb60cd2b35777c8d145a77'),
-('repositories/people.py', NULL, 'file', 1, 2, 17, 'ac579f345389253157cf2f7c36e553fe6664ff03'),
-('services/accounts.py', 'find', 'symbol', 4, 6, 41, '7cb95a2c91b6181fa5417260c87a5f7d84a4d075'),
-('services/accounts.py', 'remember', 'symbol', 9, 11, 40, '33a2a0fe4c7e3faa92093289039890ccb7030ec3'),
-('services/accounts.py', NULL, 'file', 1, 11, 49, '3559e904aae160df377783f322af182a140df4b7')""",
-    ),
-    "code_query_sites": _rows(
-        "path parent line kind name orm detail",
-        "VARCHAR VARCHAR INT VARCHAR VARCHAR VARCHAR VARCHAR",
-        """('repositories/people.py', 'row_of', 2, 'select', 'Person', 'Django ORM', NULL),
-('services/accounts.py', 'remember', 10, 'insert', 'user', 'SQLAlchemy', NULL),
-('services/accounts.py', 'remember', 11, 'raw', '', 'SQLAlchemy', 'UPDATE people SET seen = 1'),
-('services/accounts.py', 'remember', 11, 'update', '', 'raw SQL', 'UPDATE people SET seen = 1')""",
-    ),
-    "code_signatures": _rows(
-        "path name signature doc decorated",
-        "VARCHAR VARCHAR VARCHAR VARCHAR BOOLEAN",
-        """('api/login.py', 'helper', 'def helper(user)', NULL, false),
-('api/login.py', 'login', 'def login(name, me)', NULL, true),
-('api/login.py', 'ping', 'def ping()', NULL, true),
-('jobs/mail.py', 'other', 'def other()', NULL, false),
-('jobs/mail.py', 'send', 'def send(to)', NULL, true),
-('jobs/mail.py', 'task_clean', 'def task_clean()', NULL, false),
-('repositories/people.py', 'row_of', 'def row_of(name) -> dict', NULL, false),
-('services/accounts.py', 'find', 'def find(name)', 'A person by name.', false),
-('services/accounts.py', 'remember', 'def remember(user)', NULL, false)""",
-    ),
-    "code_script_symbols": _rows(
-        "kind name",
-        "VARCHAR VARCHAR",
-        """('class', 'Cart'),
-('constant', 'LIMITS'),
-('method', 'total'),
-('state', 'Theme')""",
-    ),
+    "code_symbols": f"""{_W}{_SYMBOLS}{_OTHER} SELECT path, name, kind, line::INT AS line, loc::INT AS loc, complexity::INT AS complexity, exported FROM syms
+UNION ALL SELECT path, name, kind, NULL, NULL, NULL, NULL FROM other WHERE record = 'symbol'""",
+    "code_signatures": f"{_W}{_SYMBOLS} SELECT path, name, signature, NULL::VARCHAR AS doc, decorated, names FROM syms",
+    "code_other_records": f"{_W}{_OTHER} SELECT *, 'approx' AS fidelity FROM other",
+    "code_imports": f"{_W}{_IMPORTS} SELECT *, resolved IS NULL AS external FROM imports",
+    "code_calls": f"{_W}{_CALLS} SELECT path, parent, target, line::INT AS line, callee FROM calls",
+    "code_edges": f"{_W}{_EDGES} SELECT * FROM edges",
+    "code_nodes": f"{_W}{_NODES} SELECT path, layer, loc::BIGINT AS loc, language, is_test, false AS is_example FROM nodes",
+    "code_architecture": f"""{_W}{_EDGES}{_NODES} SELECT a.layer AS source_layer, b.layer AS target_layer, sum(weight)::BIGINT AS weight, count(*) AS edges, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds
+FROM edges JOIN nodes a ON a.path = source JOIN nodes b ON b.path = target WHERE a.layer <> b.layer GROUP BY 1, 2""",
+    "code_routes": f"""{_W} SELECT CASE WHEN i % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, '/n' || nation || '/s' || s || '/p' || i AS path, path AS file_path, line::INT AS line, 'FastAPI' AS framework, handler,
+  CASE WHEN i % 3 = 0 THEN true END AS auth FROM read""",
+    "code_models": f"""{_W} SELECT 'Part' || i AS model, 'part_' || i AS "table", CASE WHEN r = 1 THEN 'Part' || first END AS related, CASE WHEN r = 1 THEN 'Part' || first END AS target, r = 1 AS resolved, 1::BIGINT AS queries FROM m""",
+    "code_query_sites": f"{_W} SELECT path, run AS parent, (f + 3 + k)::INT AS line, 'select' AS kind, 'Part' || i AS name, 'SQLAlchemy' AS orm, NULL::VARCHAR AS detail FROM m",
+    "code_workflows": f"""{_W}, calls AS (SELECT m.path AS file, m.run AS caller, d.path AS callee, d.run AS called FROM deps JOIN m USING (i) JOIN m AS d ON d.i = deps.j UNION SELECT path, handler, part, run FROM read),
+walk AS (SELECT CASE WHEN i % 2 = 0 THEN 'GET /p' ELSE 'POST /p' END || i AS route, path AS file, handler AS name, 0 AS distance FROM read
+  UNION SELECT w.route, c.callee, c.called, w.distance + 1 FROM walk w JOIN calls c ON c.file = w.file AND c.caller = w.name WHERE w.distance < 7),
+least AS (SELECT route, file, name, min(distance) AS distance FROM walk GROUP BY ALL),
+steps AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY distance, file, name) AS step FROM least){_NODES}
+SELECT route, step::INT AS step, distance::INT AS distance, file, name, layer FROM steps JOIN nodes ON path = file WHERE step <= 14""",
+    "code_background": f"""{_W} SELECT 'jobs/supplier_' || s || '.py' AS path, 'background:supplier_' || s || '.py' AS trigger, 'send_' || s || ',task_clean_' || s AS tasks FROM apis ORDER BY path LIMIT 6""",
+    "code_references": f"{_W}{_CALLS} SELECT path, coalesce(parent, '<module>') AS caller, min(line)::INT AS line FROM calls WHERE target = 'run_20' GROUP BY 1, 2",
+    "code_packages": f"""{_W}{_IMPORTS} SELECT regexp_extract(name, '^[^./]*') AS package, count(*) AS imports FROM imports WHERE resolved IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60""",
+    "code_hints": f"""{_W} SELECT path, 'FastAPI' AS framework FROM apis UNION ALL SELECT path, 'FastAPI' FROM apps UNION ALL SELECT 'jobs/supplier_' || s || '.py', 'Celery' FROM apis
+UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', 'Django' FROM apps UNION ALL SELECT 'web/src/supplier_' || s || '.ts', 'Axios' FROM apis""",
+    "code_manifests": """SELECT 'svc/r' || n_regionkey || '/requirements.txt' AS manifest, 'pypi' AS ecosystem, 'lib' || s_suppkey AS name, '==' || s_suppkey || '.0' AS version FROM supplier JOIN nation ON n_nationkey = s_nationkey
+QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) <= 400""",
+    "code_chunks": f"""{_W}{_SYMBOLS}, codes AS (SELECT path, 'Part' || i AS name, 'class Part' || i || '(Base):' || chr(10) || '    __tablename__ = ''part_' || i || '''' || chr(10) || '    id = Column(Integer)' || CASE WHEN r = 1 THEN chr(10) || '    near = relationship(''Part' || first || ''')' ELSE '' END AS code FROM m
+  UNION ALL SELECT path, run, 'def run_' || i || '(x):' || chr(10) || '    if x:' || chr(10) || '        json.dumps(x)' || chr(10) || coalesce((SELECT string_agg('        run_' || j || '(x)' || chr(10), '' ORDER BY j) FROM deps WHERE deps.i = m.i), '') || '    return session.query(Part' || i || ')' FROM m
+  UNION ALL SELECT path, handler, 'def read_' || i || CASE WHEN i % 3 = 0 THEN '(id, me=Depends(current_user)):' ELSE '(id):' END || chr(10) || '    return run_' || i || '(id)' FROM read
+  UNION ALL SELECT test, 'test_run_' || i, 'def test_run_' || i || '():' || chr(10) || '    run_' || i || '(1)' FROM tests
+  UNION ALL SELECT path, 'upgrade', 'def upgrade():' || chr(10) || coalesce((SELECT string_agg(CASE WHEN i % 2 = 0 THEN '    op.create_table(''part_' || i || ''')' || chr(10) ELSE '' END || CASE WHEN i % 50 = 0 THEN '    op.create_table(''audit_' || i || ''')' || chr(10) ELSE '' END, '' ORDER BY i) FROM m WHERE i // 50 = q), '') || '    return 1' FROM moves
+  UNION ALL SELECT 'jobs/supplier_' || s || '.py', name || s, 'def ' || name || s || a || ':' || chr(10) || '    return ' || coalesce(v, s::VARCHAR) FROM apis, (VALUES ('send_', '(to)', 'to'), ('task_clean_', '()', NULL), ('other_', '()', '2')) AS t(name, a, v))
+SELECT path, name AS symbol, line::INT AS start_line, (line + loc - 1)::INT AS end_line, sha1(code) AS code FROM syms JOIN codes USING (path, name)""",
+    "code_django": f"""{_W} SELECT 'shop/nation_' || nation || '/urls.py' AS path, 'ANY' AS method, '/s' || s || '/' AS local, 'views.s' || s AS handler, NULL AS included FROM mounts
+UNION ALL SELECT 'shop/nation_' || nation || '/urls.py', 'ANY', '/more/', NULL, 'shop.nation_' || ((nation + 1) % 25) || '.urls' FROM apps""",
+    "code_migrations": f"{_W} SELECT moves.path, 'part_' || i AS \"table\", ops AS operations FROM moves JOIN m ON i // 50 = q WHERE i % 2 = 0 UNION ALL SELECT moves.path, 'audit_' || i, ops FROM moves JOIN m ON i // 50 = q WHERE i % 50 = 0",
+    "code_migration_only": f"{_W} SELECT 'audit_' || i AS \"table\", moves.path FROM moves JOIN m ON i // 50 = q WHERE i % 50 = 0",
+    "code_overview": f"""{_W}{_NODES}{_SYMBOLS}{_OTHER} SELECT (SELECT count(*) FROM nodes) + (SELECT count(DISTINCT n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey) AS files, 5::BIGINT AS languages, (SELECT count(*) FROM tests) AS test_files,
+  13 + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM supplier JOIN nation ON n_nationkey = s_nationkey) AS modules,
+  (SELECT count(*) FROM read) AS routes, (SELECT count(*) FROM m) AS models, 0::BIGINT AS errors, (SELECT count(*) FROM syms) + (SELECT count(*) FROM other WHERE record = 'symbol') AS symbols, 0::BIGINT AS skipped""",
 }

@@ -78,6 +78,11 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
     return g.strong_components(edges(spark, d))
 
 
+def strong_components_stepwise(spark: SparkSession, d: str) -> DataFrame:
+    """The same by joins to the end, with nothing left for one task."""
+    return g.strong_components(edges(spark, d), one_task_edges=0)
+
+
 def cycles(spark: SparkSession, d: str) -> DataFrame:
     return g.cycles(edges(spark, d))
 
@@ -119,7 +124,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         coupling_hubs, orphans, edge_kind_stats, graph_stats, layer_cards, layer_rollup, module_rollup, module_stats, module_page, top_view_edges, layer_samples,
-        impact_cone, forward_trace, strong_components, cycles, duplicate_edges_dropped, isolated_modules, coupling_findings, neighbours, external_counts,
+        impact_cone, forward_trace, strong_components, strong_components_stepwise, cycles, duplicate_edges_dropped, isolated_modules, coupling_findings, neighbours, external_counts,
     )
 }
 
@@ -155,6 +160,7 @@ walk AS (SELECT id AS root, id, 0 AS d FROM roots UNION SELECT w.root, e.target,
 dist AS (SELECT root, id, min(d) AS distance FROM walk GROUP BY ALL)
 SELECT x.root, x.id, x.distance, min(y.id) AS via FROM dist x LEFT JOIN edges e ON e.target = x.id LEFT JOIN dist y ON y.root = x.root AND y.id = e.source AND y.distance = x.distance - 1 GROUP BY ALL""",
     "strong_components": f"{_BOTH}{_SCC} SELECT id, component FROM scc",
+    "strong_components_stepwise": f"{_BOTH}{_SCC} SELECT id, component FROM scc",
     "cycles": f"{_BOTH}{_SCC} SELECT component, count(*) AS size FROM scc GROUP BY component ORDER BY size DESC, component LIMIT 25",
     "duplicate_edges_dropped": f"{_BOTH} SELECT source, target, kind FROM edges WHERE kind <> 'require'",
     "isolated_modules": f"""{_BOTH} SELECT id, path FROM nodes WHERE id NOT IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges)

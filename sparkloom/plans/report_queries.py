@@ -109,7 +109,7 @@ def file_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 def file_complexity(spark: SparkSession, d: str) -> DataFrame:
     """Greatest line number of each file's records, 1 without any."""
-    m = table(spark, d, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_linenumber").alias("m"))
+    m = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_linenumber").alias("m"))
     return nodes(spark, d).select("id").join(m, "id", "left").select("id", F.coalesce("m", F.lit(1)).alias("complexity"))
 
 
@@ -221,13 +221,13 @@ n AS (SELECT item_id * 4 + k AS needle_id, CASE WHEN k < 3 THEN array_to_string(
 SELECT needle_id, min(doc_id) AS first, count(*) AS chunks FROM documents d JOIN n ON contains(d.text, n.needle) GROUP BY needle_id""",
     "scan_budget": """WITH f AS (SELECT coalesce(source, '') || '/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents),
 s AS (SELECT count(*) * 3 // 10 AS n, sum(size) // 5 AS b FROM f), e AS (SELECT *, CASE WHEN size = 0 THEN 'empty' WHEN size > 20000 THEN 'too large' END AS early FROM f),
-k AS (SELECT path, size, row_number() OVER (ORDER BY path) - 1 AS at, sum(size) OVER (ORDER BY path) AS upto FROM e WHERE early IS NULL)
-SELECT path, size, early AS reason FROM e WHERE early IS NOT NULL UNION ALL SELECT path, size, CASE WHEN at >= n THEN 'over count' WHEN upto > b THEN 'over budget' END FROM k, s""",
+k AS (SELECT path, size, row_number() OVER (ORDER BY path) - 1 AS place, sum(size) OVER (ORDER BY path) AS upto FROM e WHERE early IS NULL)
+SELECT path, size, early AS reason FROM e WHERE early IS NOT NULL UNION ALL SELECT path, size, CASE WHEN place >= n THEN 'over count' WHEN upto > b THEN 'over budget' END FROM k, s""",
     "marker_join": """WITH m AS (SELECT * FROM (VALUES ('Brand#11', 'web', 0.75), ('Brand#22', 'web', 0.7), ('Brand#33', 'store', 0.6)) AS t(p_brand, framework, weight)),
 x AS (SELECT DISTINCT p_brand FROM part) SELECT framework, CAST(round(least(0.99, sum(weight)), 2) AS DOUBLE) AS confidence, string_agg(p_brand, ',' ORDER BY p_brand) AS evidence FROM m JOIN x USING (p_brand) GROUP BY framework""",
     "file_summaries": f"""WITH {NODES_SQL}, k AS (SELECT layer, language, count(*) AS n FROM nodes GROUP BY ALL)
 SELECT layer, string_agg(n || ' ' || language, ', ' ORDER BY language) AS summary FROM k GROUP BY layer""",
-    "file_complexity": "SELECT p_partkey AS id, coalesce(max(l_linenumber), 1) AS complexity FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 45) ON l_partkey = p_partkey GROUP BY 1",
+    "file_complexity": "SELECT p_partkey AS id, coalesce(max(l_linenumber), 1) AS complexity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "issue_cap": f"WITH {NODES_SQL} SELECT id, CASE WHEN loc >= 48 THEN 0 WHEN loc >= 45 THEN 1 ELSE 2 END AS rank, loc FROM nodes WHERE loc >= 40 ORDER BY rank, id LIMIT 200",
     "seeds": f"WITH {DECLARATIONS_SQL} SELECT path, min(CASE WHEN contains(path, '/de/') THEN 0 WHEN contains(path, '/fr/') THEN 1 ELSE 2 END) AS rank FROM declarations GROUP BY path ORDER BY rank, path LIMIT 60",
     "default_file": f"""WITH {NODES_SQL} SELECT layer, id, path FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY loc DESC, len(string_split(path, '/')), length(path), path, id) AS r FROM nodes) WHERE r = 1""",

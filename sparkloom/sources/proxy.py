@@ -18,22 +18,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies: line items of large quantity. source, target, kind, weight; no loops, one row a key."""
+    """Dependencies: parts and suppliers that share two line items or more. source, target, kind, weight; no loops, one row a key."""
     n = table(spark, sf_dir, "part").count()
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    target = F.pmod(F.col("l_suppkey") * 20 + F.col("l_linenumber"), F.lit(n))
-    kind = F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "call").otherwise("require")
-    e = li.select(F.col("l_partkey").alias("source"), target.alias("target"), kind.alias("kind")).where("source != target")
-    return e.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.min("l_linenumber").alias("line"), F.min("l_returnflag").alias("flag")).where("items >= 2")
+    target = F.pmod(F.col("l_suppkey") * 20 + F.col("line"), F.lit(n))
+    kind = F.when(F.col("flag") == "A", "import").when(F.col("flag") == "N", "call").otherwise("require")
+    e = pairs.select(F.col("l_partkey").alias("source"), target.alias("target"), kind.alias("kind"), "items").where("source != target")
+    return e.groupBy("source", "target", "kind").agg(F.sum("items").alias("weight"))
 
 
 #: The same two tables for the checking SQL.
 NODES_SQL = """nodes AS (SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_name AS path, p_type AS layer,
   CAST(p_size AS BIGINT) AS loc, p_brand AS language FROM part)"""
-EDGES_SQL = """edges AS (SELECT source, target, kind, count(*) AS weight FROM (
-  SELECT l_partkey AS source, (l_suppkey * 20 + l_linenumber) % (SELECT count(*) FROM part) AS target,
-    CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'require' END AS kind
-  FROM lineitem WHERE l_quantity >= 49) WHERE source <> target GROUP BY ALL)"""
+EDGES_SQL = """edges AS (SELECT source, target, kind, CAST(sum(items) AS BIGINT) AS weight FROM (
+  SELECT l_partkey AS source, (l_suppkey * 20 + min(l_linenumber)) % (SELECT count(*) FROM part) AS target,
+    CASE min(l_returnflag) WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'require' END AS kind, count(*) AS items
+  FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) >= 2) WHERE source <> target GROUP BY ALL)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A small source tree as a table, for the queries whose operators read source code."""
+"""Two small source trees as tables, for the tests of operators that read source code."""
 
 from __future__ import annotations
 
