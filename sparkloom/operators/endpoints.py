@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.plans.storage import staged
@@ -30,7 +32,7 @@ def stats(declarations: DataFrame) -> DataFrame:
 
 
 def filtered(declarations: DataFrame, method: str | None = None, framework: str | None = None, needle: str | None = None) -> DataFrame:
-    """Declarations by method, framework and a substring of path or file, case aside; no wildcards."""
+    """Declarations by method, framework and a substring of path, file or (if they have one) handler, case aside; no wildcards."""
     out = declarations
     if method:
         out = out.where(F.contains(F.col("method"), F.lit(method.upper())))
@@ -38,7 +40,7 @@ def filtered(declarations: DataFrame, method: str | None = None, framework: str
         out = out.where(F.col("framework") == framework)
     if needle:
         n = F.lit(needle.lower())
-        out = out.where(F.contains(F.lower(F.coalesce("path", F.lit(""))), n) | F.contains(F.lower(F.coalesce("file_path", F.lit(""))), n))
+        out = out.where(reduce(Column.__or__, [F.contains(F.lower(F.coalesce(c, F.lit(""))), n) for c in ("path", "file_path", "handler") if c in out.columns]))
     return out
 
 
