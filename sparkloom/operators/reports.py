@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import ordered
+
 # Fixed values.
 MARKER_WEIGHT, ORM_START, ORM_STEP, ORM_MOST = 0.7, 0.6, 0.25, 0.95
 LABELS = {
@@ -18,6 +20,10 @@ LABELS = {
 }
 
 
+#: Excerpts of one prompt.
+PROMPT_EXCERPTS = 64
+
+
 def counted(rows: DataFrame, *facets: str) -> DataFrame:
     """Rows (facet, value, n): how often each value of each facet occurs, and all rows as facet 'all'."""
     sets = [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets]
@@ -97,19 +103,27 @@ def by_folded_name(repos: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.withColumn("key", F.lower("name")).join(key, "key", "left").drop("key")
 
 
-def citations(scored: DataFrame) -> DataFrame:
-    """Rows (n, path, start_line, end_line, score) of the excerpts of a prompt, numbered by score, path and line."""
-    from pyspark.sql import Window
+def citations(scored: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (n, path, start_line, end_line, score) of the excerpts of a prompt, numbered by score, path and line; the first `most` if given.
+
+    Numbers are places in ranges of the order, so any number of excerpts is numbered without one task for all.
+    """
+    order = [F.col("score").desc(), F.col("path"), F.col("start_line"), F.col("end_line")]
+    if most is not None:
+        scored = scored.orderBy(*order).limit(most)
+    return ordered.ranked(scored, order, "_at").select((F.col("_at") + 1).cast("int").alias("n"), "path", "start_line", "end_line", F.round("score", 3).alias("score"))
 
-    w = Window.orderBy(F.desc("score"), "path", "start_line")  # the few excerpts of one prompt
-    return scored.withColumn("n", F.row_number().over(w)).select("n", "path", "start_line", "end_line", F.round("score", 3).alias("score"))
 
+def prompt_excerpts(scored: DataFrame, most: int = PROMPT_EXCERPTS) -> DataFrame:
+    """One row (prompt): the numbered excerpts (path, start_line, end_line, text, score) of one prompt, best first, `most` at the most.
 
-def prompt_excerpts(scored: DataFrame) -> DataFrame:
-    """One row (prompt): numbered excerpts (path, start_line, end_line, text, score) of one prompt, best first."""
-    named = citations(scored).drop("score").join(scored.select("path", "start_line", "text"), ["path", "start_line"])
-    line = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"), F.col("text"))
-    return named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("s")))), lambda x: x["s"]), "\n\n").alias("prompt"))
+    The excerpts are cut to the best before they meet in the one row; each carries its own text, so equal places in a file stay apart.
+    """
+    order = F.struct(-F.col("score"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("text"))
+    best = scored.orderBy(F.desc("score"), "path", "start_line", "end_line", "text").limit(most)
+    rows = best.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "path", "start_line", "end_line", "text"))).alias("x"))  # at most `most`
+    line = lambda r, n: F.concat(F.lit("["), (n + 1).cast("string"), F.lit("] "), r["path"], F.lit(":"), r["start_line"].cast("string"), F.lit("-"), r["end_line"].cast("string"), F.lit("\n"), r["text"])
+    return rows.select(F.array_join(F.transform("x", line), "\n\n").alias("prompt"))
 
 
 def highlighted(text: Column, query: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import control, impact, reports
+from sparkloom.operators import control, impact, ordered, reports
 from sparkloom.operators import graph as g
 from sparkloom.plans.graph_queries import _BOTH, _DEGREE
 from sparkloom.plans.report_queries import _CONE, _root
@@ -158,10 +158,10 @@ def repo_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where("loc = 50").select("path", F.col("id").alias("start_line"), (F.col("id") + 9).alias("end_line"), F.concat(F.lit("text of "), F.col("language")).alias("text"), (1.0 / (1 + F.col("id") % 7)).alias("score"))
+    return nodes(spark, d).select("path", F.col("id").alias("start_line"), (F.col("id") + 9).alias("end_line"), F.concat(F.lit("text of "), F.col("language")).alias("text"), (1.0 / (1 + F.col("id") % 7)).alias("score"))
 
 
-_SCORED = f"WITH {NODES_SQL}, s AS (SELECT path, id AS start_line, id + 9 AS end_line, 'text of ' || language AS text, 1.0::DOUBLE / (1 + id % 7) AS score FROM nodes WHERE loc = 50), c AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path, start_line) AS INT) AS n FROM s)"
+_SCORED = f"WITH {NODES_SQL}, s AS (SELECT path, id AS start_line, id + 9 AS end_line, 'text of ' || language AS text, 1.0::DOUBLE / (1 + id % 7) AS score FROM nodes), c AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, path, start_line) AS INT) AS n FROM s)"
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -188,10 +188,8 @@ def selection_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def frameworks_ordered(spark: SparkSession, d: str) -> DataFrame:
     """The ordered read of frameworks: by confidence, then name, with the place of each."""
-    from pyspark.sql import Window
-
     f = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("framework")).agg(F.round(F.least(F.lit(0.99), F.count(F.lit(1)) * 0.15), 2).alias("confidence"))
-    return f.withColumn("place", F.row_number().over(Window.orderBy(F.desc("confidence"), "framework")))
+    return ordered.ranked(f, [F.col("confidence").desc(), F.col("framework")], "at").select("framework", "confidence", (F.col("at") + 1).cast("int").alias("place"))
 
 
 def impact_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +260,7 @@ UNION ALL SELECT 'layers by name only' FROM l WHERE NOT list_has_any(x, ['servic
 SELECT handler, path, (SELECT min(s.path) FROM s WHERE s.handler = r.handler) AS defined_in FROM r WHERE (handler, path) NOT IN (SELECT (handler, path) FROM s)""",
     "repo_by_name": """SELECT upper(replace(s_name, 'Supplier', 'Customer')) AS name, (SELECT min(c_custkey) FROM customer WHERE lower(c_name) = lower(replace(s_name, 'Supplier', 'Customer'))) AS id FROM supplier""",
     "citations": f"{_SCORED} SELECT n, path, start_line, end_line, round(score, 3) AS score FROM c",
-    "prompt_excerpts": f"""{_SCORED} SELECT string_agg('[' || n || '] ' || path || ':' || start_line || '-' || end_line || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS prompt FROM c""",
+    "prompt_excerpts": f"""{_SCORED} SELECT string_agg('[' || n || '] ' || path || ':' || start_line || '-' || end_line || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS prompt FROM c WHERE n <= 64""",
     "highlighted": r"SELECT doc_id AS id, sha1(regexp_replace(text, '(the|th\.n|Then)', '<mark>\1</mark>', 'gi')) AS digest FROM documents",
     "language_labels": """WITH p AS (SELECT lower(p_type) AS language FROM part UNION SELECT 'csharp' UNION SELECT 'objective_c')
 SELECT language, CASE language WHEN 'csharp' THEN 'C#' WHEN 'objective_c' THEN 'Objective C' ELSE upper(left(language, 1)) || substr(language, 2) END AS label FROM p""",
