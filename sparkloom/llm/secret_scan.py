@@ -52,13 +52,17 @@ HINT = rf"(?=[A-Ca-cPpSsTt])(?i:{_SET})|{_WITH_DIGIT}"
 PLAIN_WORDS = r"(?i)\b(?:sha(?:1|256)?|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|version|phone|card|order|invoice|isbn|id)\b"
 PLACEHOLDER = r"(?i)(?:example|sample|placeholder|change_?me|your[_-]|dummy|xxxx|test[_-]|fake|0{6,}|1234567|abcdef0)"
 LOGIN = r"(?i)(?:(?:^|\s)-u\s*[\"']?[\w.@-]{1,32}:|://[\w.%+-]{1,32}:|bearer\s+|basic\s+|-p\s*|--pass(?:word)?[= ]|authorization:\s*)$"
+TOLD = SECRET_WORDS + r"\s+(?:is|was|are|being)\s*[:=]?\s*[\"'`]?$"
+#: What follows a name in code: a call, an index, a member.
+CALLED = r"^(?:\(|\[|\.[A-Za-z_])"
 KEY_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ)"
 CONFIG_PATH = r"(?i)(?:^|[/_.-])(?:env|conf(?:ig)?|settings|secrets?|credentials?|prod|deploy)(?:[/_.-]|$)"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|specs?|examples?|fixtures?|mocks?|docs?|samples?)(?:[/_.-]|$)"
 
 FEATURES = (
     "length", "digit_share", "upper_share", "class_changes", "letter_runs", "distinct_share", "hex_only", "digits_only", "transitions", "letter_pairs", "dictionary", "vowel_share", "key_prefix",
-    "secret_before", "secret_near", "login_before", "assigned", "quoted", "plain_before", "plain_after", "placeholder", "test_path", "config_path", "dotted",
+    "secret_before", "secret_near", "told_before", "login_before", "assigned", "quoted", "plain_before", "plain_after", "placeholder", "test_path", "config_path", "dotted",
+    "called_after", "humps",
 )
 
 
@@ -143,6 +147,7 @@ def with_features(findings: DataFrame, usual: Usual) -> DataFrame:
         "key_prefix": flag(v.rlike(KEY_PREFIX)),
         "secret_before": flag(F.col("before").rlike(SECRET_WORDS + r"[^A-Za-z0-9]{0,8}$")),
         "secret_near": flag(F.col("before").rlike(SECRET_WORDS)),
+        "told_before": flag(F.col("before").rlike(TOLD)),
         "login_before": flag(F.col("before").rlike(LOGIN)),
         "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
@@ -152,6 +157,8 @@ def with_features(findings: DataFrame, usual: Usual) -> DataFrame:
         "test_path": flag(F.col("path").rlike(TEST_PATH)),
         "config_path": flag(F.col("path").rlike(CONFIG_PATH)),
         "dotted": flag(v.rlike(r"^[A-Za-z0-9]+(?:[./_-][A-Za-z0-9]+){2,}$")),
+        "called_after": flag(F.col("after").rlike(CALLED)),
+        "humps": flag(v.rlike(r"^[a-z]{3,}(?:[0-9]{0,2}[A-Z][a-z]{2,})*[0-9]{0,2}(?:[A-Z]?[a-z]{2,})?$")),
     }
     return findings.withColumns(cols).drop("_pairs", "letters")
 
@@ -195,6 +202,10 @@ SETS = ('token = "', "API_KEY=", 'the password: "', "secret: ", "client_secret :
 LOGINS = ("curl -u admin:", "login -u bob:", "https://joe:", "ftp://ann:", "Authorization: Bearer ", "header Bearer ", "mysql -p", "psql --password=")
 DIGESTS = ("commit ", "see revision ", "sha256:", "sha1 ", "md5 of it ", "checksum ", "etag: ", "uuid=", "version ", "digest ", "the hash ", "order id ")
 NEUTRAL = ("see ", "the ", "and ", "\n", "", "with ", "of ", "from ", "at ", "in ")
+TELLING = ("the password is ", "my passphrase is: ", 'your password was "', "its secret is ", "the auth token is ", "the pwd was ", "our credentials are ", "the api key is ")
+CODE = ("password = ", "const authToken = ", "token = ", "this.secret = ", "api_key: ", "return ", "let accessKey = ", "if secret == ", "auth=", "private_key = ")
+ENVIRON = ('os.getenv("', 'environ["', 'config.get("', "process.env.", 'settings["', "${", "ENV['", "System.getenv(\"")
+CALLS = ('("DB_PASSWORD")', "(self)", "(request, name)", "[0]", '("token")', ".get(name)", "()", '["key"]')
 CLOSES = ('" and', "\n", '"', " of the", "'", ", the", " then")
 TELLS = (" is the md5 of the file", " (commit hash)", " is its sha1 checksum", " as the digest says", " the revision", " is a version id")
 PATHS = ("src0", "src/app.py", "config/prod.env", "tests/fixtures/a.json", "docs/readme.md", "", "deploy/settings.yml", "web/index.html")
@@ -209,7 +220,9 @@ def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED
     or used to log in, and no word after says otherwise; vendors' keys are wherever they stand; digests
     and revisions named as such are not, nor is a bare hexadecimal run. Passphrases are secrets where
     they are set, but for natural words below a test path. Identifiers (set ones excepted), versions,
-    file and host names, numbers, dates, placeholders and plain words never are, set or not.
+    file and host names, numbers, dates, placeholders and plain words never are, set or not; nor are
+    names of code that is called or used there (members and names in camel case). Words with a number
+    between them are secrets where a sentence tells that they are the password.
     held_out findings have other contexts, besides other values for another seed.
     """
     d = lambda k: F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 256)
@@ -221,12 +234,13 @@ def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED
     word = lambda k: pick(k, DICTIONARY)
     size = (20 + roll(1, 21)).cast("int")
     hexes = F.left(d("h"), F.get(F.array(F.lit(32), F.lit(40), F.lit(40), F.lit(64)), roll(2, 4).cast("int")))
-    kind, context = roll(3, 21), roll(4, 5)  # contexts: set, login, named digest, neutral, set but told apart after it
+    kind, context = roll(3, 25), roll(4, 5)  # contexts: set, login, named digest, neutral, set but told apart after it
+    snake = roll(70, 3) == 0
     value = (
         F.when(kind < 5, F.when(roll(5, 6) == 0, F.upper(hexes)).otherwise(hexes))
         .when(kind < 7, F.left(b62, size))
         .when(kind == 7, F.left(b64, size + 8))
-        .when(kind == 8, F.concat(pick(6, ("AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza")), F.left(b62, size)))
+        .when(kind.isin(8, 24), F.concat(pick(6, ("AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza")), F.left(b62, size)))
         .when(kind == 9, F.concat_ws("-", *[F.translate(F.substr(d("w"), F.lit(1 + 8 * k), F.lit(4 + k)), "0123456789", "ghijklmnop") for k in range(4)]))
         .when(kind.isin(10, 11), F.regexp_replace(F.concat_ws("-", *[pick(40 + k, PHRASE) for k in range(3)]), F.lit("-"), F.when(kind == 10, "-").otherwise("")))
         .when(kind == 12, F.concat_ws("-", F.substr(d("u"), F.lit(1), F.lit(8)), F.substr(d("u"), F.lit(9), F.lit(4)), F.substr(d("u"), F.lit(13), F.lit(4)), F.substr(d("u"), F.lit(17), F.lit(4)), F.substr(d("u"), F.lit(21), F.lit(12))))
@@ -237,18 +251,24 @@ def made_findings(spark: SparkSession, n: int = TRAIN_FINDINGS, seed: int = SEED
         .when(kind == 17, F.concat(word(15), F.lit("."), word(16), roll(13, 100).cast("string"), F.lit(".example.com")))
         .when(kind == 18, F.concat_ws(" ", *[word(20 + k) for k in range(6)]))
         .when(kind == 19, F.concat_ws("-", *[word(30 + k) for k in range(3)], pick(17, ("service", "server", "config"))))
+        .when(kind == 21, F.concat_ws(".", word(50), pick(51, ("environ", "headers", "settings", "config", "session", "request")), pick(52, ("get", "getenv", "get_token", "password", "load", "secret"))))
+        .when((kind == 22) & snake, F.concat_ws("_", F.upper(word(68)), pick(69, ("PASSWORD", "TOKEN", "SECRET", "API_KEY", "CREDENTIAL")), F.when(roll(72, 2) == 0, roll(73, 10).cast("string"))))
+        .when(kind == 22, F.concat(word(53), F.initcap(word(54)), F.when(roll(55, 2) == 0, roll(56, 10).cast("string")).otherwise(""), F.initcap(word(57)), roll(58, 3).cast("string"), F.when(roll(59, 2) == 0, word(60)).otherwise("")))
+        .when(kind == 23, F.concat(pick(61, PHRASE), (10 + roll(62, 90)).cast("string"), pick(63, PHRASE)))
         .otherwise(F.concat_ws("-", F.lit("2024"), F.lpad(roll(14, 12).cast("string"), 2, "0"), F.lpad(roll(15, 28).cast("string"), 2, "0"), word(17), word(18)))
     )
     # base-62, base-64 and passphrases in a neutral place say neither, so they are always set
     context = F.when(kind.isin(5, 6, 7) & (context == 3), 0).when(kind.between(9, 11) & context.isin(1, 2, 3), 0).otherwise(context)
     path = pick(19, PATHS)
     used = context.isin(0, 1)
-    label = F.when(kind < 8, used).when(kind == 8, ~context.isin(2, 4)).when(kind == 9, context == 0).when(kind < 12, (context == 0) & ~path.rlike(TEST_PATH)).when(kind == 12, context == 0).otherwise(F.lit(False))
+    label = F.when(kind < 8, used).when(kind.isin(8, 24), ~context.isin(2, 4)).when(kind == 9, context == 0).when(kind < 12, (context == 0) & ~path.rlike(TEST_PATH)).when(kind == 12, context == 0).when(kind == 23, (context < 3) & ~path.rlike(TEST_PATH)).otherwise(F.lit(False))
     sets = pick(20, half(SETS))
     before = F.when(context.isin(0, 4), sets).when(context == 1, pick(21, half(LOGINS))).when(context == 2, pick(22, half(DIGESTS))).otherwise(pick(23, half(NEUTRAL)))
+    before = F.when((kind == 22) & snake, pick(71, half(ENVIRON))).when(kind.isin(21, 22), pick(64, half(CODE))).when((kind == 23) & (context < 3), pick(65, half(TELLING))).otherwise(before)
     # a quotation that the context opens is closed
     opened = F.regexp_extract(before, "[\"']$", 0)
     after = F.when(context == 4, F.concat(opened, pick(24, half(TELLS)))).when(opened != "", F.concat(opened, pick(25, (" and", "\n", ";")))).otherwise(pick(26, half(CLOSES)))
+    after = F.when((kind == 21) | ((kind == 22) & ~snake & (context < 3)), pick(66, half(CALLS))).when(kind == 22, F.concat(opened, pick(67, (";", "\n", ",", ")")))).otherwise(after)
     return spark.range(n).select(value.alias("value"), F.concat(pick(27, ("", "so ", "and now ", "x: 1\n")), before).alias("before"), after.alias("after"), path.alias("path"), label.cast("double").alias("label"))
 
 

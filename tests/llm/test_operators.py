@@ -110,6 +110,16 @@ def test_secret_probes(spark):
     assert got == {i: x for i, (_, x) in enumerate(probes)}
 
 
+def test_code_and_sentences(spark):
+    probes = [
+        ('password = os.environ.get("DB_PASSWORD2")', False), ("const authToken = useSelector2state(store)", False), ("token = request.headers.get_token(0)", False), ("authToken = useSelector2state", False),
+        ("the password is swordfish99swordfish", True), ("she said the password is tango42velvet today", True), ("see tango42velvet of the list", False),
+    ]
+    rows_ = scan(documents(spark, data=[(i, t, "en", "src") for i, (t, _) in enumerate(probes)])).collect()
+    got = {i: any(r.secret for r in rows_ if r.doc_id == i) for i in range(len(probes))}
+    assert got == {i: x for i, (_, x) in enumerate(probes)}, sorted((r.doc_id, r.score) for r in rows_)
+
+
 def test_forest_on_held_out_findings(spark):
     usual = secret_scan.learn(documents(spark))
     score = secret_scan.train_forest(secret_scan.made_findings(spark), usual)
