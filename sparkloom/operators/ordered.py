@@ -62,6 +62,25 @@ def sliding_distinct(events: DataFrame, key: str, at: str, width: int, groups: l
     return out.unionByName(absent)
 
 
+def open_spans(spans: DataFrame, start: str, end: str, name: str, groups: list[str] | None = None) -> DataFrame:
+    """spans with `name`: how many spans [start, end) of its group are open at its start, itself included.
+
+    Bounds are whole numbers; a span without one, or one that ends where it starts or before, is never open and has
+    a null. One difference up and one down a span, and the running sum by group and time is the count.
+    """
+    groups = groups or []
+    whole = F.coalesce(F.col(start) < F.col(end), F.lit(False))
+    ends = F.array(F.struct(F.col(start).cast("long").alias("t"), F.lit(1).alias("step")), F.struct(F.col(end).cast("long").alias("t"), F.lit(-1).alias("step")))
+    steps = spans.where(whole).select(*groups, F.explode(ends).alias("s")).groupBy(*groups, F.col("s.t").alias("_t")).agg(F.sum("s.step").alias("_step"))
+    counts = running(steps, [F.col(c) for c in (*groups, "_t")], F.col("_step"), "_before")
+    counts = staged(counts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)], "_t", (F.col("_before") + F.col("_step")).alias(name)), "open")
+    match = F.col(start).cast("long") == F.col("_t")
+    for i, c in enumerate(groups):
+        match = match & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    some = spans.where(whole).join(counts, match, "left").select(*spans.columns, name)
+    return some.unionByName(spans.where(~whole).select(*spans.columns, F.lit(None).cast("long").alias(name)))
+
+
 def sliding_sketch(events: DataFrame, key: str, at: str, width: int, step: int, groups: list[str] | None = None) -> DataFrame:
     """Rows (groups, upto, distinct): estimated keys in the width units up to each multiple of step (a divisor of width).
 

@@ -68,6 +68,29 @@ def markdown_table(df: DataFrame, columns: list[str], order: list[str], by: list
     return df.groupBy(*by).agg(F.concat(F.lit(head + "\n"), F.array_join(rows, "\n")).alias("markdown"))
 
 
+#: Bytes of a file that are shown.
+SHOWN_BYTES = 400_000
+
+
+def files_shown(asked: DataFrame, stored: DataFrame, checkout: DataFrame, remote: DataFrame, most: int = SHOWN_BYTES) -> DataFrame:
+    """Rows (path, origin, content, truncated), one for each asked path: the text stored with the run, else that of the checkout, else the remote one.
+
+    stored and checkout are (path, text), remote is (path, base64); a path stands once in each. A text is cut
+    to `most` bytes at a character's end; what no source holds is empty, of origin `none`, and counts as truncated.
+    """
+    rows = asked.select("path").join(stored.select("path", F.col("text").alias("_stored")), "path", "left").join(checkout.select("path", F.col("text").alias("_checkout")), "path", "left")
+    rows = rows.join(remote.select("path", F.try_to_binary("base64", F.lit("base64")).cast("string").alias("_remote")), "path", "left")
+    origin = F.when(F.col("_stored").isNotNull(), "stored").when(F.col("_checkout").isNotNull(), "checkout").when(F.col("_remote").isNotNull(), "remote").otherwise("none")
+    text = F.coalesce("_stored", "_checkout", "_remote", F.lit(""))
+    # in a binary that reads each byte as a character, those of a character that the cut goes through are left out
+    head = F.decode(F.substring(text.cast("binary"), 1, most), "ISO-8859-1")
+    whole = F.regexp_replace(head, "[À-ÿ][\u0080-¿]{0,2}$", "")
+    split = F.substring(text.cast("binary"), most + 1, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    long = F.octet_length(text) > most
+    cut = F.encode(F.when(split, whole).otherwise(head), "ISO-8859-1").cast("string")
+    return rows.select("path", origin.alias("origin"), F.when(long, cut).otherwise(text).alias("content"), (long | (origin == "none")).alias("truncated"))
+
+
 def index_status(now: Column, indexed_at: Column, model: Column, want_model: str, ttl_hours: int) -> Column:
     """missing, expired (the boundary included), stale model or ready."""
     return (

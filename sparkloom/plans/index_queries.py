@@ -142,6 +142,16 @@ def users_sketched(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("windows"), F.sum("users").alias("users"), (F.max(off) <= 0.05).alias("within_5_percent"))
 
 
+def quota_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases as runs of `k` minutes: a user's open runs and those of the last hour, all open ones, and whether all three are within their quota."""
+    e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("s", _seconds("ts"))
+    runs = e.select("event_id", "user_id", "s", (F.col("s") + F.get_json_object("props", "$.k").cast("long") * 60).alias("e"))
+    runs = ordered.open_spans(ordered.open_spans(runs, "s", "e", "active", ["user_id"]), "s", "e", "pending")
+    hour = ordered.sliding_distinct(runs, "event_id", "s", 3600, ["user_id"])
+    within = (F.coalesce("active", F.lit(0)) <= 2) & (F.col("distinct") <= 20) & (F.coalesce("pending", F.lit(0)) <= 20)
+    return hour.select("event_id", "active", "pending", F.col("distinct").alias("last_hour"), within.alias("within"))
+
+
 def overview_order(spark: SparkSession, d: str) -> DataFrame:
     """Line items in one order of all, each with its place and the quantity before it."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice"), F.col("l_quantity").cast("long").alias("quantity"))
@@ -154,7 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_index_search, lexical_index_rare, lexical_index_two_per_path, index_scores, index_vocabulary, vector_topk, vector_topk_of_label, vector_builds, vector_faults,
-        run_lease_overlaps, concurrent_runs, users_last_hour, users_last_day_of_type, users_sketched, overview_order,
+        run_lease_overlaps, concurrent_runs, users_last_hour, users_last_day_of_type, users_sketched, quota_windows, overview_order,
     )
 }
 
@@ -202,5 +212,9 @@ SELECT a.event_id, count(DISTINCT b.user_id) AS users FROM e a JOIN e b ON b.s >
 SELECT a.event_id, a.event_type, count(DISTINCT b.user_id) AS users FROM e a JOIN e b ON a.event_type = b.event_type AND b.s > a.s - 86400 AND b.s <= a.s GROUP BY ALL""",
     "users_sketched": """WITH c AS (SELECT user_id, unnest(range(CAST(ceil(floor(epoch_us(ts) / 1000000) / 600) AS BIGINT), CAST(ceil(floor(epoch_us(ts) / 1000000) / 600) AS BIGINT) + 6)) AS cell FROM events),
 u AS (SELECT cell, count(DISTINCT user_id) AS n FROM c GROUP BY cell) SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS users, true AS within_5_percent FROM u""",
+    "quota_windows": """WITH r AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s, CAST(json_extract(props, '$.k') AS BIGINT) * 60 AS n FROM events WHERE event_type = 'purchase'),
+c AS (SELECT a.event_id, count(*) FILTER (b.s <= a.s AND a.s < b.s + b.n AND a.user_id = b.user_id) AS active, count(*) FILTER (b.s <= a.s AND a.s < b.s + b.n) AS pending,
+  count(DISTINCT b.event_id) FILTER (a.user_id = b.user_id AND b.s > a.s - 3600 AND b.s <= a.s) AS last_hour, any_value(a.n) AS n FROM r a JOIN r b ON b.s > a.s - 360000 AND b.s <= a.s GROUP BY a.event_id)
+SELECT event_id, CASE WHEN n > 0 THEN active END AS active, CASE WHEN n > 0 THEN pending END AS pending, last_hour, (n = 0 OR active <= 2 AND pending <= 20) AND last_hour <= 20 AS within FROM c""",
     "overview_order": """WITH o AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(sum(q) OVER (ORDER BY l_orderkey) AS BIGINT) AS upto FROM o""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import endpoints, graph, impact, reports, resolve, views
+from sparkloom.operators import endpoints, graph, impact, reports, resolve, store, views
 from sparkloom.plans.code_queries import _EDGES, _NODES, _OTHER, _SYMBOLS, _W, _analysis
 from sparkloom.plans.code_queries import ORACLES as _CODE
 from sparkloom.plans.graph_queries import _BOTH, _DEGREE
@@ -95,6 +95,14 @@ def view_files(spark: SparkSession, d: str) -> DataFrame:
     return reports.holding(_analysis(spark, d).files.where("layer = 'route'"), " Part_1", "path").orderBy("path").limit(30).select("path", "layer")
 
 
+def view_files_shown(spark: SparkSession, d: str) -> DataFrame:
+    """Each part's module from where it is kept: with the run, in the checkout, remote, or nowhere; cut to 260 bytes."""
+    f = _analysis(spark, d).files.where("path rlike '/part_[0-9]+.py$' and not is_test").select("path", "text", F.regexp_extract("path", "([0-9]+).py$", 1).cast("long").alias("i"))
+    remote = f.where("i % 3 < 2 or i % 5 = 0").select("path", F.base64(F.encode("text", "UTF-8")).alias("base64"))
+    shown = store.files_shown(f, f.where("i % 5 = 0"), f.where("i % 3 = 0"), remote, 260)
+    return shown.select("path", "origin", F.octet_length("content").cast("long").alias("bytes"), "truncated")
+
+
 def view_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of a run by language of their file, and all."""
     x = _analysis(spark, d)
@@ -134,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         view_layer_cards, view_graph_facets, view_endpoint_facets, view_capped_nodes, view_capped_edges, view_boards, view_services, view_affected_workflows, view_symbols, view_endpoints, view_query_filter,
-        view_files, view_chunk_counts, view_prompts, view_overview,
+        view_files, view_files_shown, view_chunk_counts, view_prompts, view_overview,
     )
 }
 
@@ -172,6 +180,11 @@ SELECT route, arg_min(file, (step, file)) AS file FROM (SELECT * FROM steps WHER
     "view_endpoints": f"""{_W} SELECT 'GET' AS method, '/n' || nation || '/s' || s || '/p' || i AS path, handler FROM read WHERE i % 2 = 0 AND contains(handler, 'read_1')""",
     "view_query_filter": f"""{_W} SELECT path, 'Part' || i AS name, '' AS "table" FROM m WHERE contains(path, 'part_1') UNION ALL SELECT '', 'Part' || i, 'part_' || i FROM m WHERE contains('part_' || i, 'part_1')""",
     "view_files": f"{_W}{_NODES} SELECT path, layer FROM nodes WHERE layer = 'route' AND contains(path, 'part_1') ORDER BY path LIMIT 30",
+    "view_files_shown": f"""{_W}, t AS (SELECT path, i, strlen(repeat(chr(34), 3) || 'Part ' || i || '.' || repeat(chr(34), 3) || chr(10) || 'import json' || chr(10) || coalesce((SELECT string_agg('from ' || x.module || ' import ' || x.run || chr(10), '') FROM deps JOIN m AS x ON x.i = j WHERE deps.i = m.i), '')
+  || chr(10) || 'class Part' || i || '(Base):' || chr(10) || '    __tablename__ = ''part_' || i || '''' || chr(10) || '    id = Column(Integer)' || chr(10) || CASE WHEN r = 1 THEN '    near = relationship(''Part' || first || ''')' || chr(10) ELSE '' END
+  || chr(10) || chr(10) || 'def run_' || i || '(x):' || chr(10) || '    if x:' || chr(10) || '        json.dumps(x)' || chr(10) || coalesce((SELECT string_agg('        run_' || j || '(x)' || chr(10), '') FROM deps WHERE deps.i = m.i), '') || '    return session.query(Part' || i || ')' || chr(10)) AS n,
+  CASE WHEN i % 5 = 0 THEN 'stored' WHEN i % 3 = 0 THEN 'checkout' WHEN i % 3 < 2 THEN 'remote' ELSE 'none' END AS origin FROM m)
+SELECT path, origin, CASE WHEN origin = 'none' THEN 0 ELSE least(n, 260) END::BIGINT AS bytes, origin = 'none' OR n > 260 AS truncated FROM t""",
     "view_chunk_counts": f"{_W}{_SYMBOLS} SELECT 'all' AS facet, NULL::VARCHAR AS value, count(*) AS n FROM syms UNION ALL SELECT 'language', 'python', count(*) FROM syms",
     "view_prompts": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
 h AS (SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || left(coalesce(text, ''), 400), chr(10) ORDER BY turn) AS history FROM t WHERE back <= 6 GROUP BY conv_id),

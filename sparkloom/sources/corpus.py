@@ -19,7 +19,7 @@ from sparkloom.plans.storage import staged
 IGNORED_FOLDERS = ("node_modules", ".next", "dist", "build", "out", "target", "vendor", "__pycache__", ".venv", "venv", ".tox", ".cache", "coverage", ".idea", ".vscode", "site-packages", ".git")
 BINARY = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "bz2", "xz", "7z", "jar", "class", "pyc", "so", "dll", "exe", "bin", "woff", "woff2", "ttf", "mp3", "mp4", "sqlite", "db", "parquet", "lock")
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "Cargo.toml", "composer.json", "Gemfile", "pom.xml", "build.gradle", "setup.py")
-MAX_FILES, MAX_BYTES, MAX_TOTAL, MAX_MANIFESTS, MAX_DEPENDENCIES = 4000, 1 << 20, 400 << 20, 12, 400
+MAX_FILES, MAX_BYTES, MAX_TOTAL, MAX_MANIFESTS, MAX_DEPENDENCIES = 4000, 1_048_576, 104_857_600, 12, 400
 
 
 def is_binary(content: Column) -> Column:

@@ -178,3 +178,26 @@ def test_spans_of_nothing_and_clashing_names(spark):
     assert intervals.overlapping(a, b, ("s", "e", "x", "y")).count() == 0
     with pytest.raises(ValueError, match="both sides"):
         intervals.overlapping(a, a, ("s", "e", "s", "e"))
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_open_spans(spark, groups):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["x", "y", None]), rng.randrange(50), None if i % 40 == 7 else rng.randrange(60)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, g string, s long, e long")
+    got = {r["i"]: r["n"] for r in ordered.open_spans(df, "s", "e", "n", groups).collect()}
+    whole = [r for r in rows if r[3] is not None and r[2] < r[3]]
+    want = {i: sum(a <= s < b and (not groups or h == g) for _, h, a, b in whole) if (i, g, s, e) in whole else None for i, g, s, e in rows}
+    assert got == want
+
+
+def test_files_shown(spark):
+    import base64
+
+    from sparkloom.operators.store import files_shown
+
+    text = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    asked = spark.createDataFrame([(x,) for x in "abcdef"], "path string")
+    remote = spark.createDataFrame([("c", base64.b64encode("ßßß".encode()).decode()), ("a", "eA=="), ("f", "!!")], "path string, base64 string")
+    got = {r["path"]: tuple(r)[1:] for r in files_shown(asked, text([("a", "one"), ("d", "")]), text([("a", "two"), ("b", "ééé")]), remote, 5).collect()}
+    assert got == {"a": ("stored", "one", False), "b": ("checkout", "éé", True), "c": ("remote", "ßß", True), "d": ("stored", "", False), "e": ("none", "", True), "f": ("none", "", True)}
