@@ -164,22 +164,23 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_CHECKS = [records.cast_check("event_id", "long"), records.cast_check("ts", "timestamp"), records.cast_check("user_id", "long"), records.cast_check("value", "double"), records.range_check("value", 0.0, 1e9)]
+def _checks() -> list[records.Check]:
+    return [records.cast_check("event_id", "long"), records.cast_check("ts", "timestamp"), records.cast_check("user_id", "long"), records.cast_check("value", "double"), records.range_check("value", 0.0, 1e9)]
 
 
 def quarantined(spark: SparkSession, d: str) -> DataFrame:
-    _, bad = records.parted(_raw(spark, d), _CHECKS)
+    _, bad = records.parted(_raw(spark, d), _checks())
     return bad.select(F.col("event_id").cast("long"), F.explode("problems").alias("p")).select("event_id", "p.column", "p.code", "p.detail")
 
 
 def accepted(spark: SparkSession, d: str) -> DataFrame:
-    good, _ = records.parted(_raw(spark, d), _CHECKS)
+    good, _ = records.parted(_raw(spark, d), _checks())
     return good.select("event_id", F.unix_seconds("ts").alias("epoch"), "user_id", "value")
 
 
 def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows in, let through and set aside, and how many of these by their first problem."""
-    rows = records.checked(_raw(spark, d), _CHECKS)
+    rows = records.checked(_raw(spark, d), _checks())
     first = F.coalesce(F.get("problems", F.lit(0))["code"], F.lit("good"))
     return rows.groupBy(first.alias("code")).agg(F.count(F.lit(1)).alias("rows"))
 
