@@ -10,7 +10,8 @@ from sparkloom.plans.storage import staged
 
 def coupled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with fan_in, fan_out and coupling; every edge counts, parallel kinds too."""
-    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda c, o, i: F.struct(F.col(c).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(F.explode(F.array(end("source", 1, 0), end("target", 0, 1))).alias("e")).select("e.*")  # edges are read once
     degree = ends.groupBy("id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
     out = nodes.join(degree, "id", "left").na.fill(0, ["fan_in", "fan_out"])
     return out.withColumn("coupling", F.col("fan_in") + F.col("fan_out"))
@@ -27,7 +28,7 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for flag in ("is_entrypoint", "is_test"):
         if flag in nodes.columns:
             nodes = nodes.where(~F.coalesce(F.col(flag), F.lit(False)))
-    ends = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id")))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"))
     return nodes.join(ends, "id", "left_anti").select("id", "path")
 
 

@@ -18,22 +18,22 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies: parts and suppliers that share two line items or more. source, target, kind, weight; no loops, one row a key."""
+    """Dependencies: of a part's line items of one return flag, if they hold a first and a seventh line. source, target, kind, weight; no loops, one row a key."""
     n = table(spark, sf_dir, "part").count()
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("items"), F.min("l_linenumber").alias("line"), F.min("l_returnflag").alias("flag")).where("items >= 2")
-    target = F.pmod(F.col("l_suppkey") * 20 + F.col("line"), F.lit(n))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("flag"))
+    items = items.agg(F.count(F.lit(1)).alias("weight"), F.min("l_linenumber").alias("low"), F.max("l_linenumber").alias("high"), F.min("l_suppkey").alias("first"), F.sum("l_suppkey").alias("total")).where("low = 1 and high = 7")
+    target = F.when(F.col("flag") == "R", F.col("total") * 7).otherwise(F.col("first") * 20 + F.col("weight")) % F.lit(n)
     kind = F.when(F.col("flag") == "A", "import").when(F.col("flag") == "N", "call").otherwise("require")
-    e = pairs.select(F.col("l_partkey").alias("source"), target.alias("target"), kind.alias("kind"), "items").where("source != target")
-    return e.groupBy("source", "target", "kind").agg(F.sum("items").alias("weight"))
+    return items.select("source", target.alias("target"), kind.alias("kind"), "weight").where("source != target")
 
 
 #: The same two tables for the checking SQL.
 NODES_SQL = """nodes AS (SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_name AS path, p_type AS layer,
   CAST(p_size AS BIGINT) AS loc, p_brand AS language FROM part)"""
-EDGES_SQL = """edges AS (SELECT source, target, kind, CAST(sum(items) AS BIGINT) AS weight FROM (
-  SELECT l_partkey AS source, (l_suppkey * 20 + min(l_linenumber)) % (SELECT count(*) FROM part) AS target,
-    CASE min(l_returnflag) WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'require' END AS kind, count(*) AS items
-  FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) >= 2) WHERE source <> target GROUP BY ALL)"""
+EDGES_SQL = """edges AS (SELECT * FROM (SELECT l_partkey AS source,
+    CAST((CASE l_returnflag WHEN 'R' THEN sum(l_suppkey) * 7 ELSE min(l_suppkey) * 20 + count(*) END) % (SELECT count(*) FROM part) AS BIGINT) AS target,
+    CASE l_returnflag WHEN 'A' THEN 'import' WHEN 'N' THEN 'call' ELSE 'require' END AS kind, count(*) AS weight
+  FROM lineitem GROUP BY l_partkey, l_returnflag HAVING min(l_linenumber) = 1 AND max(l_linenumber) = 7) WHERE source <> target)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
