@@ -20,8 +20,8 @@ LABELS = {
 }
 
 
-#: Excerpts of one prompt.
-PROMPT_EXCERPTS = 64
+#: Excerpts whose lines are put together at once.
+EXCERPT_BLOCK = 1024
 
 
 def counted(rows: DataFrame, *facets: str) -> DataFrame:
@@ -114,16 +114,20 @@ def citations(scored: DataFrame, most: int | None = None) -> DataFrame:
     return ordered.ranked(scored, order, "_at").select((F.col("_at") + 1).cast("int").alias("n"), "path", "start_line", "end_line", F.round("score", 3).alias("score"))
 
 
-def prompt_excerpts(scored: DataFrame, most: int = PROMPT_EXCERPTS) -> DataFrame:
-    """One row (prompt): the numbered excerpts (path, start_line, end_line, text, score) of one prompt, best first, `most` at the most.
+def prompt_excerpts(scored: DataFrame, most: int | None = None) -> DataFrame:
+    """One row (prompt): the numbered excerpts (path, start_line, end_line, text, score) of one prompt, best first; all, or the first `most` if given.
 
-    The excerpts are cut to the best before they meet in the one row; each carries its own text, so equal places in a file stay apart.
+    Numbers are places in ranges of the order; each excerpt carries its own text, so equal places in a file stay
+    apart. Tasks put blocks of excerpts together; the row itself is the whole prompt, so it must fit one value (2 GB).
     """
-    order = F.struct(-F.col("score"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("text"))
-    best = scored.orderBy(F.desc("score"), "path", "start_line", "end_line", "text").limit(most)
-    rows = best.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "path", "start_line", "end_line", "text"))).alias("x"))  # at most `most`
-    line = lambda r, n: F.concat(F.lit("["), (n + 1).cast("string"), F.lit("] "), r["path"], F.lit(":"), r["start_line"].cast("string"), F.lit("-"), r["end_line"].cast("string"), F.lit("\n"), r["text"])
-    return rows.select(F.array_join(F.transform("x", line), "\n\n").alias("prompt"))
+    order = [F.col("score").desc(), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("text")]
+    if most is not None:
+        scored = scored.orderBy(*order).limit(most)
+    numbered = ordered.ranked(scored, order, "_at")
+    line = F.concat(F.lit("["), (F.col("_at") + 1).cast("string"), F.lit("] "), "path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"), "text")
+    joined = lambda k, s: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(k), s.alias("s")))), lambda x: x["s"]), "\n\n")
+    blocks = numbered.groupBy(F.floor(F.col("_at") / EXCERPT_BLOCK).alias("_block")).agg(joined("_at", line).alias("part"))
+    return blocks.agg(F.nullif(joined("_block", F.col("part")), F.lit("")).alias("prompt"))
 
 
 def highlighted(text: Column, query: str) -> Column:

@@ -63,3 +63,9 @@ def test_facets_of_endpoints(spark):
     df = spark.createDataFrame([("GET/POST", None, True, False, True), ("GET", "Flask", None, True, False)], "method string, framework string, auth boolean, is_test boolean, is_example boolean")
     got = {(r["facet"], r["value"]): r["n"] for r in views.endpoint_facets(df).collect()}
     assert got == {("method", "GET"): 2, ("method", "POST"): 1, ("framework", "unknown"): 1, ("framework", "Flask"): 1, ("total", "endpoints"): 2, ("total", "authenticated"): 1, ("total", "from_examples"): 1, ("total", "from_tests"): 1}
+
+
+def test_a_prompt_holds_all_its_excerpts(spark):
+    df = spark.range(3000).selectExpr("'p' AS path", "cast(id AS int) AS start_line", "cast(id AS int) AS end_line", "concat('t', id) AS text", "1.0D AS score")
+    told = reports.prompt_excerpts(df).first()[0].split("\n\n")
+    assert told == [f"[{i + 1}] p:{i}-{i}\nt{i}" for i in range(3000)]
