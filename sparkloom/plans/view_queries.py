@@ -24,7 +24,7 @@ def view_graph_facets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def view_endpoint_facets(spark: SparkSession, d: str) -> DataFrame:
-    return views.endpoint_facets(_analysis(spark, d).apis())
+    return views.endpoint_facets(_analysis(spark, d).routes())
 
 
 def view_capped_nodes(spark: SparkSession, d: str) -> DataFrame:

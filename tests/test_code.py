@@ -262,3 +262,36 @@ def test_chunks_of_symbols(spark):
     assert got["f"].text == "file: a.py\nlanguage: python\nsymbol: function f\npurpose: Gives one.\ncode:\ndef f():\n    return 1" and got["f"].tokens == len(got["f"].text) // 4
     assert " in class O\n" in got["K"].text and got["K"].text.endswith("\n… (truncated)") and set(got) == {"f", "K"}
     assert retrieval.code_chunks(f, s.limit(0)).collect()[0].kind == "file" and retrieval.code_chunks(f.limit(0), s).count() == 0
+
+
+def test_small_files_are_dealt_to_tasks_by_number(spark, monkeypatch):
+    monkeypatch.setattr(extract, "PARSED", 10)
+    files = spark.range(0, 100, 1, 1).selectExpr("concat('m', id, '.py') AS path", "'x = 1' AS text")
+    assert extract.python_records(files).rdd.getNumPartitions() >= 10
+
+
+def test_imports_that_read_alike_are_resolved_once(spark, monkeypatch):
+    tried = []
+    keep = resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, label: tried.append((label, keep(df, label))) or tried[-1][1])
+    paths = ["a/__init__.py", "a/m.py", "b/m.py", "b/x.py", "b/y.py", "m.py"]
+    files = spark.createDataFrame([(x,) for x in paths], "path string")
+    rows = [("b/x.py", "m", 0, ["f"], 1), ("b/y.py", "m", 0, ["f"], 9), ("b/x.py", "", 1, ["y"], 2), ("b/x.py", "a", 0, ["m", "q"], 3), ("b/x.py", "a", 0, ["q"], 4), ("b/x.py", "json", 0, ["json"], 5), ("a/m.py", "b.x", 0, ["*"], 1)]
+    imports = spark.createDataFrame(rows, "path string, name string, level int, names array<string>, line int")
+    got = {(r["path"], r["line"]): r["resolved"] for r in resolve.resolved_imports(imports, files).collect()}
+    assert got == {("b/x.py", 1): "m.py", ("b/y.py", 9): "m.py", ("b/x.py", 2): "b/y.py", ("b/x.py", 3): "a/m.py", ("b/x.py", 4): "a/__init__.py", ("b/x.py", 5): None, ("a/m.py", 1): "b/x.py"}
+    assert dict(tried)["resolved"].count() == 5
+
+
+def test_routes_that_have_all_steps_are_walked_no_further(spark, monkeypatch):
+    levels = []
+    keep = resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, label: levels.append((label, keep(df, label))) or levels[-1][1])
+    calls = [("f", f"g{i}", f"g{j}", "f") for i in range(200) for j in (2 * i + 1, 2 * i + 2)]
+    calls = spark.createDataFrame(calls, "path string, parent string, name string, callee string")
+    routes = spark.createDataFrame([("GET", "/a", "f", "g0"), ("GET", "/b", "f", "g399")], "kind string, name string, path string, parent string")
+    layers = spark.createDataFrame([("f", "service")], "path string, layer string")
+    got = {(r["route"], r["step"]): (r["distance"], r["name"], r["layer"]) for r in resolve.workflows(routes, calls, layers).collect()}
+    tree = [(0, "g0")] + [(d, n) for d in (1, 2, 3) for n in sorted(f"g{i}" for i in range(2**d - 1, 2 ** (d + 1) - 1))]
+    assert got == {("GET /a", k + 1): (*x, "service") for k, x in enumerate(tree[:14])} | {("GET /b", 1): (0, "g399", "service")}
+    assert max(df.groupBy("route").count().agg({"count": "max"}).first()[0] for label, df in levels if label == "trace" and not df.isEmpty()) == 14
